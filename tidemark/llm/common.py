@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six white space characters of ASCII; words are the runs between them.
 WORD_BREAKS = r"[ \t\n\x0B\f\r]+"
@@ -50,3 +52,8 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 def text_or_empty() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+
+
+def with_carried(rows: DataFrame, schema: str, carry: Sequence[str]) -> T.StructType:
+    """schema with the columns of rows that are carried along after it."""
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carry)])

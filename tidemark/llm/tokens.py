@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-KEEP, KEEP_CHARS = 1_200_000, 48
+KEEP, KEEP_CHARS = 1_500_000, 48
 
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where leading blanks belong to a token, a part may end only where a blank follows a non-blank.
 BLANKS_KEPT = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
 #: Where blanks are dropped, parts may end at any of them.
-BLANKS_DROPPED = "[^ \n]+"
+BLANKS_DROPPED = ""
+#: A pre-token of its own after a Latin-1 letter (others may end in a mark once normalised).
+STOPS = frozenset(".,;:!?")
 
 
 class Encoder:
@@ -29,28 +32,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.parts = re.compile(parts).findall
+        self.dtype, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.parts = re.compile(parts).findall if parts else lambda text: text.replace("\n", " ").split(" ")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as an unsigned array."""
-        split = [self.parts(t) for t in texts]
         if len(self.known) > KEEP:
             self.known.clear()
-        get, new = self.known.get, set()
-        for words in split:
-            new |= {w for w, ids in zip(words, map(get, words)) if ids is None}
-        fresh, long = list(new), {}
-        for w, found in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            (self.known if len(w) <= KEEP_CHARS else long)[w] = np.asarray(found.ids, self.dtype).tobytes()
-        ids = []
-        for words in split:
-            found = [get(w) for w in words]
-            if None in found:
-                found = [long[w] if x is None else x for w, x in zip(words, found)]
-            ids.append(np.frombuffer(b"".join(found), self.dtype))
-        return ids
+        split = [self.parts(t) for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        new = self.look_up({w for i in gaps for w, ids in zip(split[i], found[i]) if ids is None})
+        for i in gaps:
+            found[i] = [new[w] if ids is None else ids for w, ids in zip(split[i], found[i])]
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= KEEP_CHARS)
+        return [np.frombuffer(b"".join(ids), self.dtype) for ids in found]
+
+    def look_up(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new parts; a stop after a letter is looked up apart from what it follows."""
+        cut = {w: w[:-1] for w in words if w[-1:] in STOPS and "A" <= w[-2:-1] <= "\xff" and w[-2].isalpha()}
+        stems = [w for w in {cut.get(w, w) for w in words} | {w[-1] for w in cut} if w not in self.known]
+        new = {w: array(self.code, x.ids).tobytes() for w, x in zip(stems, self.library.encode_batch_fast(stems, add_special_tokens=False))}
+        ids_of = lambda w: new[w] if w in new else self.known[w]
+        return new | {w: ids_of(stem) + ids_of(w[-1]) for w, stem in cut.items()}
 
 
 @lru_cache(maxsize=4)
