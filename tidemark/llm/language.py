@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import with_carried
 
 SAMPLE, SHARE, MAX_LANGUAGES = 160, 600, 256
-CHUNK, LEVEL = 6000, 3
+CHUNK, LEVEL = 6000, 6
 NON_LETTERS = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
 
@@ -69,7 +69,7 @@ def total_sizes(text: str, by_language: list) -> list[int]:
     return [sum(len(c.compress(x)) for x in chunks) for _, c in by_language]
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, carry: Sequence[str] = ()) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.005, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score, accepted; after them the columns of carry."""
     model = tuple(sorted(dictionaries.items()))
 
