@@ -6,7 +6,6 @@ snapshot has take no part. Names compare with their case.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.names import dataset_name, drift_id
+from tidemark.operators.lineage import cut
 
 THRESHOLD = 0.55
 EVENT = ("id", "kind", "dataset_urn", "dataset_name", "old_column", "new_column", "old_type", "new_type", "confidence", "rationale")
@@ -90,12 +90,15 @@ def renamed(baseline: DataFrame, live: DataFrame) -> DataFrame:
     return fast.unionByName(renamed_greedy(baseline, live))
 
 
-def dropped(baseline: DataFrame, live: DataFrame) -> DataFrame:
-    return removed(baseline, live).join(renamed(baseline, live).select("dataset_urn", "old_column"), ["dataset_urn", "old_column"], "left_anti")
+def dropped(baseline: DataFrame, live: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Removed columns that no rename takes; pairs: the renames, where they are known already."""
+    pairs = renamed(baseline, live) if pairs is None else pairs
+    return removed(baseline, live).join(pairs.select("dataset_urn", "old_column"), ["dataset_urn", "old_column"], "left_anti")
 
 
-def appeared(baseline: DataFrame, live: DataFrame) -> DataFrame:
-    return added(baseline, live).join(renamed(baseline, live).select("dataset_urn", "new_column"), ["dataset_urn", "new_column"], "left_anti")
+def appeared(baseline: DataFrame, live: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = renamed(baseline, live) if pairs is None else pairs
+    return added(baseline, live).join(pairs.select("dataset_urn", "new_column"), ["dataset_urn", "new_column"], "left_anti")
 
 
 def event(rows: DataFrame, kind: str, confidence: Column, rationale: Column) -> DataFrame:
@@ -123,18 +126,11 @@ def detect(baseline: DataFrame, live: DataFrame) -> DataFrame:
     typed = F.format_string("`%s` remains present, but its native type changed from %s to %s — detected as a retype.", "old_column", "old_type", "new_type")
     gone = F.format_string(f"`%s` disappeared from the live schema and no added column met the {THRESHOLD:.2f} rename-similarity threshold — detected as a drop.", "old_column")
     come = F.format_string("`%s` appeared in the live schema without a credible removed-column match — detected as an add.", "new_column")
-    parts: Iterator[DataFrame] = iter(
-        [
-            event(retyped(baseline, live), "RETYPE", F.lit(1.0), typed),
-            event(renamed(baseline, live), "RENAME", F.col("confidence"), _rename_rationale()),
-            event(dropped(baseline, live), "DROP", F.lit(1.0), gone),
-            event(appeared(baseline, live), "ADD", F.lit(1.0), come),
-        ]
-    )
-    found = next(parts)
-    for part in parts:
-        found = found.unionByName(part)
-    return found
+    pairs = cut(renamed(baseline, live))
+    found = event(retyped(baseline, live), "RETYPE", F.lit(1.0), typed)
+    found = found.unionByName(event(pairs, "RENAME", F.col("confidence"), _rename_rationale()))
+    found = found.unionByName(event(dropped(baseline, live, pairs), "DROP", F.lit(1.0), gone))
+    return found.unionByName(event(appeared(baseline, live, pairs), "ADD", F.lit(1.0), come))
 
 
 def declare(rows: DataFrame) -> DataFrame:

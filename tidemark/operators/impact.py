@@ -26,10 +26,10 @@ def unmapped_hits(hits: DataFrame, assets: DataFrame) -> DataFrame:
 def classify(code: DataFrame, edges: DataFrame, table_edges: DataFrame, catalog: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
     """urn, asset, kind, bucket, hops, matched_columns, n_references, reason, for datasets with code or in the catalog, and jobs with code."""
     assets = code.select(F.col("asset_urn").alias("urn"), "asset", "kind").distinct()
-    hits = lineage.column_impact(edges, urn, column, max_hops).withColumnRenamed("hops", "column_hops")
+    hits = lineage.cut(lineage.column_impact(edges, urn, column, max_hops).withColumnRenamed("hops", "column_hops"))
     if missing := [r["urn"] for r in unmapped_hits(hits, assets).limit(10).collect()]:
         raise LookupError(f"the column's lineage reaches {missing}, which have no code mapped; map it first")
-    tables = lineage.table_downstreams(table_edges, urn, max_hops).withColumnRenamed("hops", "table_hops")
+    tables = lineage.cut(lineage.table_downstreams(table_edges, urn, max_hops).withColumnRenamed("hops", "table_hops"))
     named = catalog.where(F.col("dataset_urn").contains("dataPlatform:dbt")).select(F.col("dataset_urn").alias("urn")).distinct()
     universe = named.join(assets, "urn", "full")
     refs = references.find(code)

@@ -51,7 +51,7 @@ def all_changes(spark: SparkSession) -> DataFrame:
 
 def mixed_snapshots(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     schema = "dataset_urn string, ordinal int, name string, native_type string"
-    return spark.createDataFrame(fx.MIXED_BASELINE, schema), spark.createDataFrame(fx.MIXED_LIVE, schema)
+    return fx.local(spark, fx.MIXED_BASELINE, schema), fx.local(spark, fx.MIXED_LIVE, schema)
 
 
 def scan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,16 +225,16 @@ def repaired(spark: SparkSession, scenario: str) -> tuple[DataFrame, DataFrame]:
     """The code after a scenario's repair, and what it patched."""
     kind, dataset, column, to = SCENARIOS[scenario]
     code = fx.code_lines(spark)
-    patch = assets(spark, scenario).where("bucket = 'REQUIRES_PATCH'").select(F.col("urn").alias("asset_urn"))
+    patch = lineage.cut(assets(spark, scenario).where("bucket = 'REQUIRES_PATCH'").select(F.col("urn").alias("asset_urn")))
     if kind == "RENAME":
-        return repair.rename(code, patch, column, to), patch
+        return lineage.cut(repair.rename(code, patch, column, to)), patch
     if kind == "RETYPE":
-        return repair.retype(code, patch, column, dict(fx.definitions()[dataset])[column]), patch
-    return repair.drop(code, patch, column, "2025-01-01"), patch
+        return lineage.cut(repair.retype(code, patch, column, dict(fx.definitions()[dataset])[column])), patch
+    return lineage.cut(repair.drop(code, patch, column, "2025-01-01")), patch
 
 
 def input_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, fx.urn(n)) for n in fx.definitions()], "input string, dataset_urn string")
+    return fx.local(spark, [(n, fx.urn(n)) for n in fx.definitions()], "input string, dataset_urn string")
 
 
 def checked(spark: SparkSession, scenario: str) -> DataFrame:
@@ -313,7 +313,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.createDataFrame(fx.RUNS, fx.RUN_SCHEMA)
+    runs = fx.local(spark, fx.RUNS, fx.RUN_SCHEMA)
     return events.completed_stages(runs).select("run_id", F.array_join("stages", ",").alias("stages"))
 
 
