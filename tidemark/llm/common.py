@@ -57,3 +57,15 @@ def text_or_empty() -> Column:
 def with_carried(rows: DataFrame, schema: str, carry: Sequence[str]) -> T.StructType:
     """schema with the columns of rows that are carried along after it."""
     return T.StructType([*T.StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carry)])
+
+
+def thinned(rows: DataFrame, by: str, sizes: dict, hashed: Column, keep: int) -> DataFrame:
+    """Of each group of by, about twice keep rows (all, if there are fewer): those of the smallest hashes.
+
+    Ranking what is left moves a bounded number of rows, however many the group has.
+    """
+    parts = 1 << 20
+    share = F.lit(0)
+    for group, size in sizes.items():
+        share = F.when(F.col(by) == group, F.lit(parts if size <= 2 * keep else max(1, -(-2 * keep * parts // size)))).otherwise(share)
+    return rows.where(F.pmod(hashed, F.lit(parts)) < share)

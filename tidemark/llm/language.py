@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import with_carried
+from tidemark.llm.common import staged, thinned, with_carried
 
 SAMPLE, SHARE, MAX_LANGUAGES = 160, 600, 256
-CHUNK, LEVEL = 6000, 6
+CHUNK, LEVEL = 6000, 12
 NON_LETTERS = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
 
@@ -41,10 +41,11 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, from docs with a text and a lang."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    hashed = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.lit(1).alias("one"))
-    chosen = hashed.join(F.broadcast(sizes), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = chosen.where(F.col("k") <= SAMPLE).select("lang", "h")
+    hashed = staged(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")), "texts")
+    by_lang = hashed.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
+    sizes = {r["lang"]: r["distinct"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    ranked = thinned(hashed, "lang", sizes, F.col("h"), SAMPLE).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("k") <= SAMPLE).select("lang", "h")
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
     texts = texts.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SHARE)).alias("text"))
     content: dict[str, list[str]] = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, with_carried
+from tidemark.llm.common import staged, thinned, with_carried
 
 PER_CLASS, TRAIN_WORDS, FEATURES = 4000, 50_000, 2048
 BEGINNINGS = (4, 5, 6)
@@ -53,8 +53,9 @@ def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     """The sample as doc, toxic, text; labelled rows by class."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_CLASS).drop("k")
+    hashed = F.xxhash64("doc_id")
+    order = Window.partitionBy("toxic").orderBy(hashed, "doc_id")
+    chosen = thinned(known, "toxic", sizes, hashed, PER_CLASS).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_CLASS).drop("k")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # A doc_id that many rows share teaches once.
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
