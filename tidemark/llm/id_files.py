@@ -83,7 +83,7 @@ def read_ids(spark: SparkSession, path: str, schema: str | None = None, emit: Ca
     With emit, what emit(doc_ids, starts, list of id arrays) returns for each block, a dict of columns of schema.
     """
     schema = schema or "doc_id long, start long, ids array<int>"
-    emit = emit or (lambda doc_ids, starts, ids: {"doc_id": doc_ids, "start": starts, "ids": ids})
+    emit = emit or (lambda doc_ids, starts, ids: {"doc_id": doc_ids, "start": pa.array(starts, pa.int64()), "ids": pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))})
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # A row for each range that was written: as many as shuffle partitions, however large the data.
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("size"))
