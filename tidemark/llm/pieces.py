@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-KEEP, KEEP_CHARS, KEEP_PAIRS = 1_000_000, 48, 2_000_000
+KEEP, KEEP_CHARS, KEEP_PAIRS = 1_500_000, 48, 2_000_000
 
 
 class Transducer:
@@ -53,7 +53,9 @@ class Transducer:
         self.parts = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+").findall
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.held = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
+        #: Pieces that their own text merges into; others are never met.
+        self.arcs = {x for x in self.ids if self.merged(x) == [x]}
         self.out = [b"" if model.is_control(i) or model.is_unknown(i) else self.text[i].replace(BLANK, " ").encode() for i in range(size)]
         for b, i in self.byte_ids.items():
             self.out[i] = bytes([b])
@@ -80,39 +82,59 @@ class Transducer:
             found = self.pairs[last, piece] = self.merged(last + piece) == [last, piece]
         return found
 
-    def is_whole(self, piece: str) -> bool:
-        """Whether a piece's own text merges into it; others are never met."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
-        return found
+    def cuts(self, part: str) -> list[str]:
+        """The part cut between neighbours that no piece holds; no piece spans such a cut."""
+        held, found, start = self.held, [], 0
+        for i in range(1, len(part)):
+            if part[i - 1 : i + 1] not in held:
+                found.append(part[start:i])
+                start = i
+        return [*found, part[start:]]
 
-    def path(self, part: str) -> bytes:
+    def path(self, part: str) -> list[int]:
         """The ids along the shortest path through a part.
 
         Each position keeps the one state that a valid path can be in there, for a path's beginning is the
-        valid path of its own text; a position inside a character's bytes has none.
+        valid path of its own text.
         """
-        n, scores, longest = len(part), self.score, self.longest
+        if part in self.arcs or len(part) == 1:
+            return self.ids_of(part)
+        n, arcs, pairs, longest = len(part), self.arcs, self.pairs, self.longest
         back: list[tuple[int, str] | None] = [None] * (n + 1)
         back[0] = (-1, "")
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 piece = part[start:end]
-                if (piece in scores or end - start == 1) and back[start]:
-                    last = back[start][1]
-                    if (end - start == 1 or self.is_whole(piece)) and (not last or self.may_follow(last, piece)):
+                if (piece in arcs or start == end - 1) and (before := back[start]):
+                    fits = True
+                    if start:
+                        fits = pairs.get((before[1], piece))
+                        if fits is None:
+                            fits = self.may_follow(before[1], piece)
+                    if fits:
                         back[end] = (start, piece)
                         break
         pieces, at = [], n
         while at:
             at, piece = back[at]
             pieces.append(piece)
-        ids = []
-        for piece in reversed(pieces):
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.asarray(ids, self.dtype).tobytes()
+        return [i for piece in reversed(pieces) for i in self.ids_of(piece)]
+
+    def ids_of(self, piece: str) -> list[int]:
+        i = self.ids.get(piece)
+        return [self.byte_ids[b] for b in piece.encode()] if i is None else [i]
+
+    def look_up(self, part: str) -> bytes:
+        found = b""
+        for cut in self.cuts(part):
+            if (ids := self.known.get(cut)) is None:
+                ids = np.asarray(self.path(cut), self.dtype).tobytes()
+                if len(cut) <= KEEP_CHARS:
+                    self.known[cut] = ids
+            found += ids
+        if len(part) <= KEEP_CHARS:
+            self.known[part] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -125,9 +147,7 @@ class Transducer:
         if None in found:
             for i, w in enumerate(words):
                 if found[i] is None:
-                    found[i] = get(w) or self.path(w)
-                    if len(w) <= KEEP_CHARS:
-                        self.known[w] = found[i]
+                    found[i] = get(w) or self.look_up(w)
         return np.frombuffer(b"".join(found), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
