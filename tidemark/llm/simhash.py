@@ -97,5 +97,6 @@ def grouped(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = linked.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
     labels = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    labels = staged(labels, "labels")  # a side of its own, so that Spark can split the other where a group of copies is hot
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "component", *carry)
