@@ -45,12 +45,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    found = simhash.grouped(named, carry=["_text"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_text")).alias("first")
-    stay = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_hash"))
-    kept = named.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    # Plain key columns, so that the join and the removal of repeated rows share one shuffle of the texts.
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no column of docs begins so
+    key = [f"{own}unknown", f"{own}id", f"{own}text"]
+    named = docs.withColumns(dict(zip(key, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))))
+    found = simhash.grouped(named, carry=key)
+    stay = found.groupBy("component").agg(F.min(F.struct(*key)).alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in key))
+    return named.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
