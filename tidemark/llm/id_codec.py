@@ -42,7 +42,8 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     codes[: len(ranks)] = lengths - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    longest = int(lengths.max(initial=1))
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :longest][np.arange(longest) < lengths[:, None]]
     return order.tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
 
 

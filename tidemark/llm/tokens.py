@@ -14,16 +14,24 @@ from functools import lru_cache
 
 import numpy as np
 
-KEEP, KEEP_CHARS = 1_500_000, 48
+KEEP, KEEP_CHARS = 2_000_000, 48
 
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = ("\t", "\x0b", "\x0c", "\r", " ", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 #: Where leading blanks belong to a token, a part may end only where a blank follows a non-blank.
 BLANKS_KEPT = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
 #: Where blanks are dropped, parts may end at any of them.
 BLANKS_DROPPED = ""
-#: A pre-token of its own after a Latin-1 letter (others may end in a mark once normalised).
-STOPS = frozenset(".,;:!?")
+#: What keeps a text from being cut at each blank and line break: blanks of other kinds or side by side, and the mark below.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\0", *(b for b in BLANKS if b != " "))
+#: Parts are kept without the blank before them; those that have none, or begin otherwise, after a mark or a line break.
+MARK = "\0"
+#: A line break, a word of Latin-1 letters, and ASCII signs after it: each one pre-token, and no special token among them.
+COMMON = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on, in order.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 class Encoder:
@@ -33,8 +41,31 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.parts = re.compile(parts).findall if parts else lambda text: text.replace("\n", " ").split(" ")
+        self.parts = self.blanks_kept if parts else lambda text: text.replace("\n", " ").split(" ")
+        self.uneven_parts = re.compile(parts).findall
         self.known: dict[str, bytes] = {}
+        self.model, self.keeps_blanks = self.library.model, bool(parts)
+        self.direct = all(self.one_word(w) == self.library.encode(w, add_special_tokens=False).ids for w in ("The", "\u00c9t\u00e9s", "qqx") + (" the", " \u00dcber") * bool(parts))
+
+    def blanks_kept(self, text: str) -> list[str]:
+        if text[-1:] not in (" ", "\n") and not any(x in text for x in UNEVEN):
+            parts = text.replace("\n", " \n").split(" ")
+            parts[0] = parts[0] and (parts[0] if parts[0][0] == "\n" else MARK + parts[0])
+            return parts if parts[0] else parts[1:]
+        return [p[1:] if p[0] == " " and p[1:2] not in ("", "\n", MARK, *BLANKS) else p if p[0] == "\n" else MARK + p for p in self.uneven_parts(text)]
+
+    def written(self, part: str) -> str:
+        """A part as it stands in the text."""
+        if not self.keeps_blanks or part[0] == "\n":
+            return part
+        return part[1:] if part[0] == MARK else " " + part
+
+    def one_word(self, word: str) -> list[int]:
+        """The library's model on a word that is one pre-token, without the search for what it is."""
+        word = word if self.keeps_blanks else word.lower()
+        if word.isascii():
+            return [x.id for x in self.model.tokenize("\u0120" + word[1:] if word[0] == " " else word)]
+        return [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as an unsigned array."""
@@ -50,12 +81,28 @@ class Encoder:
         return [np.frombuffer(b"".join(ids), self.dtype) for ids in found]
 
     def look_up(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of new parts; a stop after a letter is looked up apart from what it follows."""
-        cut = {w: w[:-1] for w in words if w[-1:] in STOPS and "A" <= w[-2:-1] <= "\xff" and w[-2].isalpha()}
-        stems = [w for w in {cut.get(w, w) for w in words} | {w[-1] for w in cut} if w not in self.known]
-        new = {w: array(self.code, x.ids).tobytes() for w, x in zip(stems, self.library.encode_batch_fast(stems, add_special_tokens=False))}
-        ids_of = lambda w: new[w] if w in new else self.known[w]
-        return new | {w: ids_of(stem) + ids_of(w[-1]) for w, stem in cut.items()}
+        """The ids of new parts; a common one's break, word and signs are looked up apart."""
+        known, cut, rest, keeps = self.known, {}, {}, self.keeps_blanks
+        for part in words:
+            text = self.written(part) if part else ""
+            m = COMMON(text) if self.direct else None
+            if m and (m[2][0] != " " or (keeps and not m[1])):
+                cut[part] = first, word, last = m.groups()
+                for x in (first, last):
+                    if x and (key := MARK + x) not in known:
+                        rest[key] = x
+            else:
+                rest[part] = text
+        new = {p: array(self.code, x.ids).tobytes() for p, x in zip(rest, self.library.encode_batch_fast(list(rest.values()), add_special_tokens=False))}
+        for part, (first, word, last) in cut.items():
+            key = (word[1:] if word[0] == " " else MARK + word) if keeps else word
+            ids = new.get(key) or known.get(key)
+            if ids is None:
+                ids = new[key] = array(self.code, self.one_word(word)).tobytes()
+            if first:
+                ids = (new.get(MARK + first) or known[MARK + first]) + ids
+            new[part] = ids + (new.get(MARK + last) or known[MARK + last]) if last else ids
+        return new
 
 
 @lru_cache(maxsize=4)
