@@ -26,6 +26,7 @@ BLANKS_DROPPED = ""
 #: What keeps a text from being cut at each blank and line break: blanks of other kinds or side by side, and the mark below.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\0", *(b for b in BLANKS if b != " "))
 #: Parts are kept without the blank before them; those that have none, or begin otherwise, after a mark or a line break.
+#: Where blanks are dropped, a blank marks what isn't a whole part.
 MARK = "\0"
 #: A line break, a word of Latin-1 letters, and ASCII signs after it: each one pre-token, and no special token among them.
 COMMON = re.compile(r"(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
@@ -82,14 +83,14 @@ class Encoder:
 
     def look_up(self, words: set[str]) -> dict[str, bytes]:
         """The ids of new parts; a common one's break, word and signs are looked up apart."""
-        known, cut, rest, keeps = self.known, {}, {}, self.keeps_blanks
+        known, cut, rest, keeps, mark = self.known, {}, {}, self.keeps_blanks, MARK if self.keeps_blanks else " "
         for part in words:
             text = self.written(part) if part else ""
             m = COMMON(text) if self.direct else None
             if m and (m[2][0] != " " or (keeps and not m[1])):
                 cut[part] = first, word, last = m.groups()
                 for x in (first, last):
-                    if x and (key := MARK + x) not in known:
+                    if x and (key := mark + x) not in known:
                         rest[key] = x
             else:
                 rest[part] = text
@@ -100,8 +101,8 @@ class Encoder:
             if ids is None:
                 ids = new[key] = array(self.code, self.one_word(word)).tobytes()
             if first:
-                ids = (new.get(MARK + first) or known[MARK + first]) + ids
-            new[part] = ids + (new.get(MARK + last) or known[MARK + last]) if last else ids
+                ids = (new.get(mark + first) or known[mark + first]) + ids
+            new[part] = ids + (new.get(mark + last) or known[mark + last]) if last else ids
         return new
 
 
