@@ -112,6 +112,7 @@ def event(rows: DataFrame, kind: str, confidence: Column, rationale: Column) ->
 
 
 def _rename_rationale() -> Column:
+    # How rationales are worded.
     place = F.when(F.col("same_ordinal"), F.format_string("the same ordinal position (%d)", "old_ordinal"))
     fast = F.when(F.col("same_ordinal"), F.format_string("the same type %s at the same ordinal position (%d)", "old_type", "old_ordinal"))
     fast = fast.otherwise(F.format_string("the same type %s; its ordinal position moved from %d to %d", "old_type", "old_ordinal", "new_ordinal"))
@@ -123,6 +124,7 @@ def _rename_rationale() -> Column:
 
 def detect(baseline: DataFrame, live: DataFrame) -> DataFrame:
     """All drift events. Sort by dataset_name and id to list them."""
+    # How rationales are worded.
     typed = F.format_string("`%s` remains present, but its native type changed from %s to %s — detected as a retype.", "old_column", "old_type", "new_type")
     gone = F.format_string(f"`%s` disappeared from the live schema and no added column met the {THRESHOLD:.2f} rename-similarity threshold — detected as a drop.", "old_column")
     come = F.format_string("`%s` appeared in the live schema without a credible removed-column match — detected as an add.", "new_column")
@@ -136,6 +138,7 @@ def detect(baseline: DataFrame, live: DataFrame) -> DataFrame:
 def declare(rows: DataFrame) -> DataFrame:
     """Events from declared facts: kind, dataset_urn, old_column, new_column, old_type, new_type."""
     subject = F.coalesce("old_column", "new_column", F.lit("schema"))
+    # How rationales are worded.
     text = (
         F.when(F.col("kind") == "RENAME", F.format_string("An explicit declaration states that `%s` was renamed to `%s`.", "old_column", "new_column"))
         .when(F.col("kind") == "RETYPE", F.format_string("An explicit declaration states that `%s` changed type from %s to %s.", subject, F.col("old_type"), F.col("new_type")))

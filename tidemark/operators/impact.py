@@ -49,6 +49,7 @@ def classify(code: DataFrame, edges: DataFrame, table_edges: DataFrame, catalog:
     insulating = F.when(F.size(own) > 0, ticked(own)).when(F.size(others) > 0, ticked(others)).otherwise("only upstream aliases")
     takes = F.coalesce("consumed", F.lit("no cataloged input columns"))
     full = F.concat(asset_path(urn), F.lit(f".{column}"))
+    # How reports word their reasons.
     reason = (
         F.when(F.col("asset").isNull(), F.lit("No code mapping exists, and the catalog reports no path from the changed column to this dataset."))
         .when(job & in_graph & names_it, F.concat(F.lit("Table lineage links this task to `"), asset_path(urn), F.lit(f"`, and its configured SQL constant references `{column}` exactly "), "located", F.lit(".")))

@@ -17,6 +17,7 @@ def plain_staging(source: str, columns: str) -> str:
     return "with source as (\n    select * from {" + source + "}\n)\nselect\n    " + ",\n    ".join(columns.split()) + "\nfrom source\n"
 
 
+#: The workload's statements; the reports' reference counts and line numbers rest on their text.
 MODELS = {
     "stg_orders": """with source as (
     select * from {orders}
@@ -110,6 +111,7 @@ group by p.product_id, p.sku, p.category
 """,
 }
 
+#: The two extracts' statements.
 EXTRACTS = {
     "extract_recent_orders": """select order_id, customer_id, order_placed_at, gross_amount
 from {orders}
