@@ -30,7 +30,7 @@ def column_hops(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> D
     via lists the steps of the path that sorts first among the shortest.
     """
     step = F.struct("up_urn", "up_path", "down_urn", "down_path", "operation")
-    found = edges.sparkSession.range(1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"), F.lit(0).alias("hops")).withColumn("via", F.array().cast("array<struct<up_urn:string,up_path:string,down_urn:string,down_path:string,operation:string>>"))
+    found = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"), F.lit(0).alias("hops")).withColumn("via", F.array().cast("array<struct<up_urn:string,up_path:string,down_urn:string,down_path:string,operation:string>>"))
     frontier = found
     for hop in range(1, max_hops + 1):
         ahead = frontier.join(edges, (F.col("urn") == F.col("up_urn")) & (F.col("path") == F.col("up_path")))
@@ -50,7 +50,7 @@ def column_impact(edges: DataFrame, urn: str, column: str, max_hops: int = 3) ->
 
 def table_downstreams(table_edges: DataFrame, urn: str, max_hops: int = 3) -> DataFrame:
     """urn, hops: datasets and jobs downstream of a table, through both."""
-    found = table_edges.sparkSession.range(1).select(F.lit(urn).alias("urn"), F.lit(0).alias("hops"))
+    found = table_edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(0).alias("hops"))
     frontier = found
     for hop in range(1, max_hops + 1):
         ahead = frontier.join(table_edges, F.col("urn") == F.col("up_urn")).select(F.col("down_urn").alias("urn")).distinct()
@@ -63,7 +63,7 @@ def closure(edges: DataFrame, urn: str, column: str) -> DataFrame:
     """urn, path: everything downstream of a column, names without their case, however far."""
     low = lambda c: F.lower(F.col(c)).alias(c)
     edges = edges.select(low("up_urn"), low("up_path"), low("down_urn"), low("down_path"), F.col("down_urn").alias("as_is"), F.col("down_path").alias("path_as_is"))
-    start = edges.sparkSession.range(1).select(F.lit(urn.lower()).alias("k"), F.lit(column.lower()).alias("p"), F.lit(urn).alias("urn"), F.lit(column).alias("path"))
+    start = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn.lower()).alias("k"), F.lit(column.lower()).alias("p"), F.lit(urn).alias("urn"), F.lit(column).alias("path"))
     found = frontier = start
     while True:
         ahead = frontier.select("k", "p").join(edges, (F.col("k") == F.col("up_urn")) & (F.col("p") == F.col("up_path")))
@@ -82,7 +82,7 @@ def shortest_paths(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -
 
 def graph_edges(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
     """Every edge out of the column or a column downstream of it, once."""
-    start = edges.sparkSession.range(1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"))
+    start = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"))
     seen = start.unionByName(column_hops(edges, urn, column, max_hops - 1).select("urn", "path"))
     out = edges.join(seen, (F.col("up_urn") == F.col("urn")) & (F.col("up_path") == F.col("path"))).select(*edges.columns)
     # Of edges alike in all but their operation the last name stands.

@@ -114,11 +114,11 @@ CODE = "asset_urn string, asset string, kind string, line int, text string"
 
 
 def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Rows as a table whose size Spark knows, so that it may broadcast it."""
+    """Rows as a table whose size Spark knows, in one partition: what reads only such tables needs no shuffle."""
     cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
     fields = [f.split(" ", 1) for f in schema.split(", ")]
     columns = ", ".join(f"cast({n} as {t}) as {n}" for n, t in fields)
-    return spark.sql(f"select {columns} from values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} as t({', '.join(n for n, _ in fields)})")
+    return spark.sql(f"select {columns} from values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} as t({', '.join(n for n, _ in fields)})").coalesce(1)
 
 
 def catalog_columns(spark: SparkSession) -> DataFrame:
