@@ -1,4 +1,4 @@
-"""A cleaning pipeline over documents: toxicity, language ID, SimHash near-dedup, packing.
+"""A cleaning pipeline over documents: toxicity, language ID, near-dedup, packing.
 
 A null text is neither toxic nor in a language, so language ID rejects it. Of a near-duplicate group the
 row with the smallest doc_id stays (null ids come last), one of its equals if rows repeat.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, simhash, toxicity
+from tidemark.llm import language, near, packing, toxicity
 from tidemark.llm.common import staged, table
 from tidemark.llm.tokens import BLANKS_DROPPED, vocabulary
 
@@ -44,14 +44,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each component of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
     # Plain key columns, so that the join and the removal of repeated rows share one shuffle of the texts.
     own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no column of docs begins so
     key = [f"{own}unknown", f"{own}id", f"{own}text"]
     named = docs.withColumns(dict(zip(key, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")))))
-    found = simhash.grouped(named, carry=key)
-    stay = found.groupBy("component").agg(F.min(F.struct(*key)).alias("first")).select(*(F.col(f"first.{k}").alias(k) for k in key))
-    return named.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return named.join(near.firsts(named, key), key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

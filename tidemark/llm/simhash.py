@@ -32,14 +32,14 @@ SHINGLE, SEED, NEAR = 3, 42, 3
 ROWS = 8192  # shingles whose bits are counted at a time
 
 
-def shingles(text: str) -> list[bytes]:
+def shingles(text: str, size: int = SHINGLE) -> list[bytes]:
     words = text.encode().lower().split()  # on bytes both keep to ASCII
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [b" ".join(words)] if words else []
     raw = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    return [raw[s:e] for s, e in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
+    return [raw[s:e] for s, e in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())]
 
 
 def fingerprint(text: str) -> int:
