@@ -7,8 +7,8 @@ associated with the label, and fits the weights by gradient descent on the noisy
 classes back to their share among all labelled rows. score() covers every whole text and returns the
 sentences at fault.
 
-The fit is on the driver, over the chosen features of the sampled rows' sentences: bounded by PER_CLASS,
-TRAIN_WORDS a text (words beyond stay out of training, not of scoring) and FEATURES.
+The fit is on the driver, over the chosen features of the sampled rows' sentences: bounded by PER_CLASS
+and FEATURES. Sampled rows train with their whole texts; of a sentence only its hits are kept.
 
 Defined results: a null or empty text has no sentence and gets the constant term's score; a document with
 several labels is toxic if one says so; null labels and labels without a document teach nothing; without
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, thinned, with_carried
 
-PER_CLASS, TRAIN_WORDS, FEATURES = 4000, 50_000, 2048
+PER_CLASS, FEATURES = 4000, 2048
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCS, LEAST_Z = 4, 4.0
 MEMO = 500_000
@@ -69,7 +69,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                found = sorted({f for w in set(WORDS(text.lower())[:TRAIN_WORDS]) for f in features(w)})
+                found = sorted({f for w in set(WORDS(text.lower())) for f in features(w)})
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(found), pa.int32()), "feature": pa.array(found, pa.string())})
 
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -88,14 +88,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         """A row per document: the number of its sentences, and the sentence and feature of each hit."""
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                count, seen, at, hits = 0, 0, [], []
+                count, at, hits = 0, [], []
                 for m in SENTENCES(text):
                     words = WORDS(m.group().lower())
-                    if words and seen < TRAIN_WORDS:
+                    if words:
                         got = [index[f] for w in words for f in features(w) if f in index]
                         at += [count] * len(got)
                         hits += got
-                        count, seen = count + 1, seen + len(words)
+                        count += 1
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic], pa.int32()), "sentences": pa.array([count], pa.int32()), "at": pa.array([at], pa.list_(pa.int32())), "hits": pa.array([hits], pa.list_(pa.int32()))})
 
     bags = rows.mapInArrow(instances, "toxic int, sentences int, at array<int>, hits array<int>").toPandas()
@@ -109,11 +109,11 @@ def fit(toxic: np.ndarray, sentences: np.ndarray, at: list, hits: list, names: l
     Sentences without a chosen feature are all alike, so a document's are one term times their number.
     """
     starts = np.concatenate([[0], np.cumsum(sentences)])
-    doc_of = np.repeat(np.arange(len(toxic)), sentences)
     where = np.concatenate([np.asarray(a, np.int64) + s for a, s in zip(at, starts)] or [[]]).astype(np.int64)
     what = np.concatenate([np.asarray(h, np.int64) for h in hits] or [[]]).astype(np.int64)
     busy, row = np.unique(where, return_inverse=True)
-    plain = sentences - np.bincount(doc_of[busy], minlength=len(toxic))
+    doc_of = np.searchsorted(starts, busy, "right") - 1  # of each busy sentence
+    plain = sentences - np.bincount(doc_of, minlength=len(toxic))
     per_doc = np.where(toxic == 1, weight[1], weight[0])
     per_doc = per_doc / per_doc.sum()
     theta = np.concatenate([np.zeros(len(names)), [-6.0, -4.0]])  # weights, bias, constant term
@@ -123,9 +123,9 @@ def fit(toxic: np.ndarray, sentences: np.ndarray, at: list, hits: list, names: l
         z = bias + np.bincount(row, w[what], len(busy))
         p, p_plain, p_const = (1 / (1 + np.exp(-np.clip(x, -40, 40))) for x in (z, bias, const))
         soft = np.logaddexp(0, z)
-        a = np.bincount(doc_of[busy], soft, len(toxic)) + plain * np.logaddexp(0, bias) + np.logaddexp(0, const)
+        a = np.bincount(doc_of, soft, len(toxic)) + plain * np.logaddexp(0, bias) + np.logaddexp(0, const)
         slope = per_doc * np.where(toxic == 1, -1 / np.expm1(np.clip(a, 1e-9, 700)), 1.0)
-        dz = slope[doc_of[busy]] * p
+        dz = slope[doc_of] * p
         grad = np.concatenate([np.bincount(what, dz[row], len(names)) + ridge * w / len(names), [dz.sum() + (slope * plain).sum() * p_plain, slope.sum() * p_const]])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad * grad
         theta = theta - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
