@@ -1,7 +1,7 @@
 """Operator 10: language identification by compression.
 
 Each language has a raw-content Zstandard dictionary, made of up to SAMPLE distinct labelled texts (those
-with the smallest hashes), SHARE characters of each. A text is lower-cased, reduced to letters, cut into
+with the smallest hashes), SHARE letters of each from a place that its hash chooses. A text is lower-cased, reduced to letters, cut into
 chunks of CHUNK bytes, and each chunk is compressed with every dictionary; the language with the smallest
 total wins. The whole text counts; chunks keep the dictionaries' weight the same from its start to its end.
 The bounds of the sample and MAX_LANGUAGES, the most frequent labels that are learned, keep the model small
@@ -37,8 +37,20 @@ def letters(text: str) -> str:
     return NON_LETTERS(" ", text.lower()).strip()
 
 
+def share_of(text: str, h: int) -> str:
+    kept = letters(text)
+    at = h % max(len(kept) - SHARE + 1, 1)
+    return kept[at : at + SHARE]
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, from docs with a text and a lang."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [share_of(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "h": batch.column("h"), "text": pa.array(shares, pa.string())})
+
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     hashed = staged(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")), "texts")
@@ -47,10 +59,10 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     ranked = thinned(hashed, "lang", sizes, F.col("h"), SAMPLE).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("k") <= SAMPLE).select("lang", "h")
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
-    texts = texts.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SHARE)).alias("text"))
+    texts = texts.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text"))
     content: dict[str, list[str]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):  # at most SAMPLE rows of SHARE characters a language
-        content.setdefault(r["lang"], []).append(letters(r["text"]))
+        content.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(x).encode() for lang, x in content.items()}
 
 
