@@ -65,7 +65,8 @@ def thinned(rows: DataFrame, by: str, sizes: dict, hashed: Column, keep: int) ->
     Ranking what is left moves a bounded number of rows, however many the group has.
     """
     parts = 1 << 20
-    share = F.lit(0)
-    for group, size in sizes.items():
-        share = F.when(F.col(by) == group, F.lit(parts if size <= 2 * keep else max(1, -(-2 * keep * parts // size)))).otherwise(share)
-    return rows.where(F.pmod(hashed, F.lit(parts)) < share)
+    shares = {group: parts if size <= 2 * keep else max(1, -(-2 * keep * parts // size)) for group, size in sizes.items()}
+    if not shares:
+        return rows.where(F.lit(False))
+    by_group = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))  # flat, however many groups there are
+    return rows.where(F.pmod(hashed, F.lit(parts)) < F.coalesce(F.try_element_at(by_group, F.col(by)), F.lit(0)))

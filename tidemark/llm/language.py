@@ -4,8 +4,8 @@ Each language has a raw-content Zstandard dictionary, made of up to SAMPLE disti
 with the smallest hashes), SHARE letters of each from a place that its hash chooses. A text is lower-cased, reduced to letters, cut into
 chunks of CHUNK bytes, and each chunk is compressed with every dictionary; the language with the smallest
 total wins. The whole text counts; chunks keep the dictionaries' weight the same from its start to its end.
-The bounds of the sample and MAX_LANGUAGES, the most frequent labels that are learned, keep the model small
-at any input; nothing else is bounded.
+The bounds of the sample keep a language's dictionary small at any input. Every label is learned; compressors
+are made for SLICE languages at a time, so a task's memory does not grow with the labels beyond their content.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where there
 is nothing to learn from; ties go to the language whose name sorts first; equal rows each keep theirs; an
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, thinned, with_carried
 
-SAMPLE, SHARE, MAX_LANGUAGES = 160, 600, 256
+SAMPLE, SHARE = 160, 600
 CHUNK, LEVEL = 6000, 12
+SLICE, ROWS = 64, 512  # languages whose compressors, and texts whose letters, are held at a time
 NON_LETTERS = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
 
@@ -53,9 +54,9 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    hashed = staged(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")), "texts")
-    by_lang = hashed.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"))
-    sizes = {r["lang"]: r["distinct"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    hashed = staged(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), "texts")
+    by_lang = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("distinct"))
+    sizes = {r["lang"]: r["distinct"] for r in by_lang.collect()}
     ranked = thinned(hashed, "lang", sizes, F.col("h"), SAMPLE).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("k") <= SAMPLE).select("lang", "h")
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"])
@@ -85,21 +86,30 @@ def total_sizes(text: str, by_language: list) -> list[int]:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.005, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score, accepted; after them the columns of carry."""
     model = tuple(sorted(dictionaries.items()))
-
-    def best(text: str | None) -> tuple[str, float, bool]:
-        kept = letters(text) if text else ""
-        if not kept or not model:
+    slices = [model[i : i + SLICE] for i in range(0, len(model), SLICE)]
+
+    def all_sizes(kept: list[str]) -> list[list[int]]:
+        """By text, its total size under each language."""
+        sizes: list[list[int]] = [[] for _ in kept]
+        for part in slices:
+            by_language = compressors(part)
+            for text, found in zip(kept, sizes):
+                found += total_sizes(text, by_language) if text else []
+        return sizes
+
+    def best(sizes: list[int]) -> tuple[str, float, bool]:
+        if not sizes:
             return UNKNOWN, 0.0, False
-        by_language = compressors(model)
-        sizes = total_sizes(kept, by_language)
         least = min(sizes)
         score = 1 / sum(math.exp(-min(s - least, 4000) / 8) for s in sizes)
         second = min(sizes[: (at := sizes.index(least))] + sizes[at + 1 :], default=math.inf)
-        return by_language[at][0], score, second - least > margin * least
+        return model[at][0], score, second - least > margin * least
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
+            runs = (texts.slice(i, ROWS).to_pylist() for i in range(0, len(texts), ROWS))
+            found = [best(s) for run in runs for s in all_sizes([letters(t) if t else "" for t in run])]
             columns = {k: [f[i] for f in found] for i, k in enumerate(("lang_pred", "score", "accepted"))}
             types = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)} | {c: batch.column(c) for c in carry})
