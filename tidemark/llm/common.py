@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local sessions that name none, by application.
+LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's spark.checkpoint.dir. Where that is unset, a local master gets a temporary
-    folder of its own; on a cluster it is an error.
+    It is the cluster's spark.checkpoint.dir. Where that is unset, a session of a local master gets a
+    temporary folder of its own; on a cluster it is an error. What is staged there stays until the folder's
+    owner clears it, as results are read from it lazily.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in LOCAL_DIRS:
+        LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return LOCAL_DIRS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,9 +61,25 @@ def text_or_empty() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
 
 
-def with_carried(rows: DataFrame, schema: str, carry: Sequence[str]) -> T.StructType:
-    """schema with the columns of rows that are carried along after it."""
-    return T.StructType([*T.StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carry)])
+def carried(docs: DataFrame, carry: Sequence[str]) -> list[Column]:
+    """The columns of carry as one struct, in which no name clashes with a result's; nothing if carry is empty."""
+    return [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+
+
+def with_carried(rows: DataFrame, schema: str) -> T.StructType:
+    """schema, and after it rows' struct of carried columns, if it has one."""
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *(f for f in rows.schema if f.name == "carried")])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows, so that the Python objects made of one don't add up over a whole batch of texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def carried_of(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    return {"carried": batch.column("carried")} if "carried" in batch.schema.names else {}
 
 
 def thinned(rows: DataFrame, by: str, sizes: dict, hashed: Column, keep: int) -> DataFrame:

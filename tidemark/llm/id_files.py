@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import id_codec
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import sliced, text_or_empty
 from tidemark.llm.tokens import encoder
 
 BLOCK_IDS = 1 << 21
@@ -58,15 +58,12 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, parts: str, end_id: i
             held.clear()
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
-            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                for (doc_id, _), ids in zip(some, encode([t for _, t in some])):
-                    held.append((doc_id, np.append(ids, np.array([end_id], ids.dtype))))
-                    size += len(ids) + 1
-                    if size >= BLOCK_IDS:
-                        yield flush()
+        for batch in sliced(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                held.append((doc_id, np.append(ids, np.array([end_id], ids.dtype))))
+                size += len(ids) + 1
+                if size >= BLOCK_IDS:
+                    yield flush()
         if held:
             yield flush()
 
@@ -90,7 +87,7 @@ def read_ids(spark: SparkSession, path: str, schema: str | None = None, emit: Ca
     offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for b in batch.to_pylist():
                 ids = id_codec.decode(b["ranked"], b["control"], b["data"], b["n_ids"])
                 ends = np.cumsum(np.frombuffer(b["counts"], "<u4").astype(np.int64))

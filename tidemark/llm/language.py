@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, thinned, with_carried
+from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, with_carried
 
 SAMPLE, SHARE = 160, 600
 CHUNK, LEVEL = 6000, 12
-SLICE, ROWS = 64, 512  # languages whose compressors, and texts whose letters, are held at a time
+SLICE = 64  # languages whose compressors are held at a time
 NON_LETTERS = re.compile(r"[\W\d_]+").sub
 UNKNOWN = "und"
 
@@ -48,7 +48,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary content by language, from docs with a text and a lang."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             shares = [share_of(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist())]
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "h": batch.column("h"), "text": pa.array(shares, pa.string())})
 
@@ -67,7 +67,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     return {lang: "\n".join(x).encode() for lang, x in content.items()}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     found = []
     for lang, content in model:
@@ -84,7 +84,7 @@ def total_sizes(text: str, by_language: list) -> list[int]:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.005, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, accepted; after them the columns of carry."""
+    """doc_id, lang_pred, score, accepted; with carry also carried, a struct of those columns."""
     model = tuple(sorted(dictionaries.items()))
     slices = [model[i : i + SLICE] for i in range(0, len(model), SLICE)]
 
@@ -106,13 +106,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.
         return model[at][0], score, second - least > margin * least
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            runs = (texts.slice(i, ROWS).to_pylist() for i in range(0, len(texts), ROWS))
-            found = [best(s) for run in runs for s in all_sizes([letters(t) if t else "" for t in run])]
+        for batch in sliced(batches):
+            found = [best(s) for s in all_sizes([letters(t) if t else "" for t in batch.column("text").to_pylist()])]
             columns = {k: [f[i] for f in found] for i, k in enumerate(("lang_pred", "score", "accepted"))}
             types = (pa.string(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)} | {c: batch.column(c) for c in carry})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)} | carried_of(batch))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
-    return rows.mapInArrow(judge, with_carried(rows, "doc_id long, lang_pred string, score double, accepted boolean", carry))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry))
+    return rows.mapInArrow(judge, with_carried(rows, "doc_id long, lang_pred string, score double, accepted boolean"))

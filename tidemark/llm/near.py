@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, text_or_empty, with_carried
+from tidemark.llm.common import carried, carried_of, sliced, staged, text_or_empty, with_carried
 from tidemark.llm.graph import components
 from tidemark.llm.simhash import SEED, shingles
 
@@ -56,17 +56,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketched(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """node (a hash of the shingle set), n (its size), cells; after them the columns of carry."""
+    """node (a hash of the shingle set), n (its size), cells, and carried, a struct of the columns of carry."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             columns = {"node": pa.array(nodes), "n": pa.array([len(s) for s in sets], pa.int32()), "cells": pa.array([cells_of(s) for s in sets], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in carry})
+            yield pa.RecordBatch.from_pydict(columns | carried_of(batch))
 
-    rows = docs.select(text_or_empty(), *carry)
-    return rows.mapInArrow(sketch, with_carried(rows, "node long, n int, cells array<long>", carry))
+    rows = docs.select(text_or_empty(), *carried(docs, carry))
+    return rows.mapInArrow(sketch, with_carried(rows, "node long, n int, cells array<long>"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: Sequence[
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 128):
             texts_of = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
             keep = pa.array([alike(shingle_set(a), shingle_set(b)) for a, b in texts_of], pa.bool_())
             yield pa.RecordBatch.from_pydict({k: batch.column(k).filter(keep) for k in ("a", "b")})
@@ -89,7 +89,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: Sequence[
 def firsts(docs: DataFrame, key: Sequence[str]) -> DataFrame:
     """The smallest key of each component. key: columns of docs that tell rows with different texts apart, none null."""
     rows = staged(sketched(docs, key), "sketches")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct(*key)).alias("first"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
+    nodes = staged(rows.groupBy("node").agg(F.min("carried").alias("first"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
     cells = nodes.select("node", "n", F.explode("cells").alias("cell"))
     hubs = cells.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("n", "node").alias("hub_n")).where("hub < last")
     shared = staged(cells.join(hubs, "cell").select("cell", "node", "n", "hub", "hub_n"), "cells")

@@ -7,7 +7,8 @@ holds it, which a segment tree indexed by remaining room finds; otherwise into a
 leaves a few windows unfilled; that is all the padding that grouping adds.
 
 Defined results: a null or empty text is the end id alone; equal documents each keep their pieces; an
-empty table gives no rows; columns other than the named ones are carried along by pack() untouched.
+empty table gives no rows; very long texts are many full windows and a rest. pack() keeps all columns of
+its pieces, of whatever names, but for sequence_id and offset, which its results replace.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, text_or_empty
+from tidemark.llm.common import sliced, staged, text_or_empty
 from tidemark.llm.id_files import crc32_of
 from tidemark.llm.tokens import encoder
 
@@ -81,19 +82,17 @@ def pieces(docs: DataFrame, vocabulary: str, parts: str, end_id: int, capacity:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, parts).encode
-        for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids")}
-                for doc_id, ids in zip(names[at : at + 256], encode(texts[at : at + 256])):
-                    ids = np.append(ids, np.array([end_id], ids.dtype)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        for k, v in zip(out, (doc_id, start, len(piece), len(ids), crc32_of(piece) if digest else piece)):
-                            out[k].append(v)
-                columns = {k: pa.array(v, pa.int64()) for k, v in out.items() if k != "ids"}
-                columns[name] = pa.array(out["ids"], kind)
-                yield pa.RecordBatch.from_pydict(columns)
+        for batch in sliced(batches):
+            out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "ids")}
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                ids = np.append(ids, np.array([end_id], ids.dtype)).astype("<u4")
+                for start in range(0, len(ids), capacity):
+                    piece = ids[start : start + capacity]
+                    for k, v in zip(out, (doc_id, start, len(piece), len(ids), crc32_of(piece) if digest else piece)):
+                        out[k].append(v)
+            columns = {k: pa.array(v, pa.int64()) for k, v in out.items() if k != "ids"}
+            columns[name] = pa.array(out["ids"], kind)
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     return rows.mapInArrow(cut, f"doc_id long, start long, length long, doc_tokens long, {last}")
@@ -101,18 +100,21 @@ def pieces(docs: DataFrame, vocabulary: str, parts: str, end_id: int, capacity:
 
 def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces, which have doc_id, start and a length from 1 to capacity."""
-    rows = staged(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in pieces.columns))  # no column of pieces begins so
+    number, dealt = f"{own}row", f"{own}group"
+    rows = staged(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    rows = rows.withColumn(dealt, F.pmod(F.xxhash64(number), F.lit(groups)))
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "_row"], ascending=[False, True, True, True], na_position="first")
+        part = part.sort_values(["length", "doc_id", "start", number], ascending=[False, True, True, True], na_position="first")
         windows, offsets = best_fit_decreasing(part["length"].to_numpy(), capacity)
-        part["sequence_id"], part["offset"] = (part["_group"].to_numpy() << 32) + windows, offsets
+        part["sequence_id"], part["offset"] = (part[dealt].to_numpy() << 32) + windows, offsets
         return part
 
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return rows.groupBy("_group").applyInPandas(place, schema).drop("_group", "_row")
+    return rows.groupBy(dealt).applyInPandas(place, schema).drop(dealt, number)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

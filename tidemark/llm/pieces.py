@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import sliced
+
 BLANK = "▁"
-KEEP, KEEP_CHARS, KEEP_PAIRS = 1_500_000, 48, 2_000_000
+KEEP, KEEP_CHARS, KEEP_PAIRS = 200_000, 48, 200_000
 
 
 class Transducer:
@@ -166,11 +168,9 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = transducer(model).encode
-        for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                some = pa.array([run(t or "").astype(np.int32) for t in texts[at : at + 256]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict({"doc_id": names.slice(at, 256), "ids": some})
+        for batch in sliced(batches):
+            ids = pa.array([run(t or "").astype(np.int32) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids array<int>")
@@ -181,7 +181,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = transducer(model).decode
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column("ids").to_pylist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array([run(np.array(x or [], np.int64)) for x in lists], pa.string())})
 
@@ -198,7 +198,7 @@ def checked(docs: DataFrame, model: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = transducer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = []
             for t in texts:

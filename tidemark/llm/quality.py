@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, text_or_empty
+from tidemark.llm.common import sliced, staged, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,7 +61,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, the counts and base_failed."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([counts(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
             columns = {k: pa.array(found[:, i]) for i, k in enumerate(COUNTS)}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "source": batch.column("source")} | columns)

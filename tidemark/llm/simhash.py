@@ -17,7 +17,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, text_or_empty, with_carried
+from tidemark.llm.common import sliced, staged, text_or_empty
 from tidemark.llm.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 3
@@ -53,16 +53,16 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); after them the columns of carry."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))} | {c: batch.column(c) for c in carry})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(), *(c for c in carry if c != "text"))
-    return rows.mapInArrow(compute, with_carried(rows, "doc_id long, fp long", carry))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
+    return rows.mapInArrow(compute, "doc_id long, fp long")
 
 
 def counts_of(half: Column) -> Column:
@@ -88,9 +88,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return probes.alias("probe").join(homes.alias("home"), (F.col("probe.cell") == F.col("home.cell")) & near & once).select("a", "b")
 
 
-def grouped(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, component (a number, also where no id is known); after them the columns of carry."""
-    rows = staged(fingerprints(docs, carry), "fingerprints")
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, component (a number, also where no id is known)."""
+    rows = staged(fingerprints(docs), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
@@ -99,4 +99,4 @@ def grouped(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     labels = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("component"))
     labels = staged(labels, "labels")  # a side of its own, so that Spark can split the other where a group of copies is hot
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "component", *carry)
+    return rows.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "component")

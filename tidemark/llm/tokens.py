@@ -1,8 +1,9 @@
 """Token ids of whole texts from a public tokenizer file, with the work for a repeated word done once.
 
 Both vocabularies merge only inside pre-tokens, so a text may be cut between pre-tokens and its parts
-encoded one by one. Each worker process keeps the ids of the parts it has met (at most KEEP of them; the
-memo is emptied when full), and the library encodes the new parts of a batch in one call.
+encoded one by one. Each worker process keeps the ids of the short parts it has met, at most KEEP of them and
+so a few dozen megabytes (the memo is emptied when full), and the library encodes the new parts of a batch in
+one call.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEEP, KEEP_CHARS = 2_000_000, 48
+KEEP, KEEP_CHARS = 200_000, 48
 
 #: The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -106,7 +107,7 @@ class Encoder:
         return new
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, parts: str) -> Encoder:
     """One per worker process and vocabulary."""
     return Encoder(path, parts)

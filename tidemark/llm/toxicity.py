@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, thinned, with_carried
+from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, with_carried
 
 PER_CLASS, FEATURES = 4000, 2048
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCS, LEAST_Z = 4, 4.0
-MEMO = 500_000
+MEMO = 100_000  # words whose weights a task keeps
 
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*").finditer
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -67,7 +67,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = staged(rows, "toxicity-sample")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 found = sorted({f for w in set(WORDS(text.lower())) for f in features(w)})
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(found), pa.int32()), "feature": pa.array(found, pa.string())})
@@ -86,7 +86,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document: the number of its sentences, and the sentence and feature of each hit."""
-        for batch in batches:
+        for batch in sliced(batches):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 count, at, hits = 0, [], []
                 for m in SENTENCES(text):
@@ -137,7 +137,7 @@ def softplus(z: float) -> float:
 
 
 def score(docs: DataFrame, model: Model, offending: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, score, predicted, and the spans (start, end, probability) of sentences from offending on; after them the columns of carry."""
+    """doc_id, score, predicted, and the spans (start, end, probability) of sentences from offending on; with carry also carried, a struct of those columns."""
     weights, bias, plain = model.weights, model.bias, softplus(model.bias)
     memo: dict[str, float] = {}
 
@@ -169,10 +169,10 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5, carry: Sequence
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [judge(t or "") for t in batch.column("text").to_pylist()]
             p = np.array([f[0] for f in found])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)), "spans": pa.array([f[1] for f in found], kind)} | {c: batch.column(c) for c in carry})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32)), "spans": pa.array([f[1] for f in found], kind)} | carried_of(batch))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
-    return rows.mapInArrow(judged, with_carried(rows, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>", carry))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry))
+    return rows.mapInArrow(judged, with_carried(rows, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>"))
