@@ -20,15 +20,8 @@ ORACLE_SQL = None
 
 
 def filtered(docs: DataFrame, judge: Callable[..., DataFrame], condition: str) -> DataFrame:
-    """The rows of docs, with all their columns, whose judgement meets condition.
-
-    The columns travel with the text under names of their own, so no name of a judgement clashes and no
-    join back is needed.
-    """
-    own = [f"_{i}" for i in range(len(docs.columns))]
-    rows = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own) if c != "text"))
-    kept = judge(rows, ["text", *(o for c, o in zip(docs.columns, own) if c != "text")]).where(condition)
-    return kept.select(*(F.col("text") if c == "text" else F.col(o).alias(c) for c, o in zip(docs.columns, own)))
+    """The rows of docs, with all their columns, whose judgement meets condition; no join back is needed."""
+    return judge(docs, docs.columns).where(condition).select("carried.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
