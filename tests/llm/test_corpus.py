@@ -15,21 +15,54 @@ from tidemark.llm.queries import QUERIES
 
 
 def tokens(text):
-    return [w.decode() for w in (text or "").encode().lower().split()] + [lm.END_WORD]
-
-
-def check_lm(frame, docs):
-    """Counts and base scores of frame, against docs as (doc_id, text)."""
-    trains = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2
-    counts = Counter(w for d, t in docs if trains(d) for w in tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    want = [(d, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for d, t in docs]
-    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in frame]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert all(r["score"] <= 1e-9 for r in frame)
-
-
-def test_op3(spark, small):
+    return [w.decode() for w in (text or "").encode().lower().split()] + ["\n"]
+
+
+def trains(doc_id):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 != 2
+
+
+def plain_model(texts, order):
+    """P(word | context) by its definition."""
+    grams = Counter()
+    for t in texts:
+        path = ["", *tokens(t)]
+        grams.update(tuple(path[max(i - n + 1, 0) : i + 1]) for i in range(1, len(path)) for n in range(1, order + 1) if n <= i + 1)
+    words = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    contexts = Counter()
+    for g, c in grams.items():
+        contexts[g[:-1]] += c
+    n, once, twice = (sum(words.values()), *(sum(c == k for c in words.values()) for k in (1, 2)))
+    d = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+
+    def p(h, w):
+        if not h:
+            return 1.0 if not n else (words[w] - d) / n if w in words else d * len(words) / n
+        if not contexts[h]:
+            return p(h[1:], w)
+        left = lm.BACKOFF * contexts[h] ** -lm.POWER
+        return (1 - left) * grams[*h, w] / contexts[h] + left * p(h[1:], w)
+
+    return p, words
+
+
+def check_lm(frame, docs, order=lm.ORDER):
+    """All columns of frame, against docs as (doc_id, text)."""
+    p, counts = plain_model([t for d, t in docs if trains(d)], order)
+    n, v, want = sum(counts.values()), len(counts), []
+    for d, t in docs:
+        path = ["", *tokens(t)]
+        logs = [math.log10(p(tuple(path[max(i - order + 1, 0) : i]), path[i])) for i in range(1, len(path))]
+        base = sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in path[1:])
+        want.append((d, len(path) - 1, sum(w in counts for w in path[1:]), n, round(base, 4), round(sum(logs), 4)))
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in frame]
+    key = lambda r: repr(r[:4])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-3)
+
+
+def test_op3_by_brute_force(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = QUERIES["op3_lm"](spark, small).collect()
     check_lm(rows, docs)
@@ -37,45 +70,37 @@ def test_op3(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_of_awkward_documents(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD_SHARE", 1e-3)  # so that words of the long text come from the table
-    rows = lm.score(clashing(documents(spark)), fold("doc_id", 7) != 2).collect()
-    check_lm(rows, [r[:2] for r in ROWS])
+@pytest.mark.parametrize(("order", "part"), [(1, 1000), (2, 10**9), (3, 500), (4, 20_000)])
+def test_lm_of_awkward_documents(spark, monkeypatch, order, part):
+    monkeypatch.setattr(lm, "PART", part)  # parts and shards, one or many, change nothing
+    monkeypatch.setattr(lm, "RUN", 64)
+    rows = lm.score(clashing(documents(spark)), fold("doc_id", 7) != 2, order=order).collect()
+    check_lm(rows, [r[:2] for r in ROWS], order=order)
+
+
+def test_lm_with_nothing_to_learn_from(spark):
     nothing = lm.score(documents(spark), F.lit(False)).collect()
     assert {(r["train_tokens"], r["n_known"], r["score"]) for r in nothing} == {(0, 0, 0.0)}
     assert lm.score(documents(spark, []), fold("doc_id", 7) != 2).count() == 0
 
 
-def test_table_and_broadcast_words_score_alike(spark, monkeypatch, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    one = {r["doc_id"]: r["score"] for r in lm.score(docs, F.lit(True)).collect()}
-    monkeypatch.setattr(lm, "HEAD_SHARE", 5e-5)
-    two = {r["doc_id"]: r["score"] for r in lm.score(docs, F.lit(True)).collect()}
-    assert one == pytest.approx(two)
+def test_lm_tells_documents_that_occur_twice(spark, small):
+    """The text that has a copy in training is likelier, by token, than one without."""
+    import random
+
+    rnd = random.Random(4)
+    words = ["w%d" % i for i in range(300)]
+    texts = [" ".join(rnd.choices(words, k=120)) for _ in range(60)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts + texts[:10])]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(documents(spark, rows), F.lit(True)).collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 60))
 
 
 def test_each_state_s_distribution_sums_to_one():
-    singles, n_docs = {2: 60, 3: 30, 4: 10}, 20
-    unigram = {w: math.log10(c / 130) for w, c in singles.items()} | {lm.END: math.log10(20 / 130)}
-    unseen = 10 / 130
-    grams = [{}, {}, {(2, 3): 20, (3, 2): 15, (lm.BEGIN, 2): 12, (2, lm.END): 9}, {(2, 3, 2): 10, (lm.BEGIN, 2, 3): 8}]
-    a = lm.compile_automaton(grams, singles, n_docs, unigram)
-
-    def start_from(state):
-        total = 0.0
-        for w in [*singles, lm.END, lm.OTHER]:
-            p, s = 0.0, state
-            while s and w not in a.arcs[s]:
-                p, s = p + a.backoff[s], a.fail[s]
-            total += 10 ** (p + (a.arcs[s][w][0] if s else unigram.get(w, math.log10(unseen))))
-        return total
-
-    assert len(a.arcs) == 6
-    for state in range(len(a.arcs)):
-        assert start_from(state) == pytest.approx(1)
-    path = lm.traverse(a, [2, 3, 2, lm.END], [unigram[2], unigram[3], unigram[2], unigram[lm.END]])
-    two, three = a.arcs[a.start][2], a.arcs[a.arcs[a.start][2][1]][3]
-    assert path < two[0] + three[0] < 0
+    texts = ["a b a c", "a b b", "c a b", ""]
+    p, words = plain_model(texts, 3)
+    for h in ((), ("",), ("a",), ("a", "b"), ("", "a"), ("b", "b")):
+        assert sum(p(h, w) for w in [*words, "unseen"]) == pytest.approx(1)
 
 
 def plain_fingerprint(text):

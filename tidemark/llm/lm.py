@@ -1,40 +1,49 @@
 """Operator 3: language-model scoring by a weighted backoff automaton.
 
-count_words() counts every word of the training texts, as a table. Words from HEAD_SHARE of all tokens on, at
-most 1 / HEAD_SHARE of them, fit every task; the rest stay in the table. n-grams from STATE_SHARE of all
-tokens on, at most 1 / STATE_SHARE an order, become the automaton's arcs: an arc carries the discounted log
-probability of a word after a context, and the state of the longest context that the word then ends. A
-context that lacks an arc for a word fails to its own shorter context at the price of its backoff weight;
-the root has the unigrams. One traversal of a text, left to right, carries the state and adds the arcs up.
-Rarer words always take the root's arc; their counts come from the table by an equi-join.
-
-Probabilities are absolutely discounted: what a context's arcs give up goes to its shorter context, what the
-unigrams give up to unseen words, which share one outcome. Each context's distribution sums to one. Shares
-are relative to the tokens counted, so the model keeps its form at any size; the counts cover every text.
+Every n-gram of the training texts, of one to order words, is an arc, and every shorter one a state too. The
+arc of a word after a context carries the word's smoothed log probability there and leads to the state of the
+longest context that the word ends; a state fails to the next shorter context at the price of its backoff
+weight, down to the root, where unseen words share one outcome. One traversal of a text, left to right,
+carries the state and adds weights up. A context leaves b(h) = BACKOFF c(h)^-POWER to its shorter context,
+P(w | h) = (1 - b(h)) c(h, w) / c(h) + b(h) P(w | shorter h), so contexts seen often are trusted more; words
+are smoothed by absolute discounting. Each state's distribution sums to one, and no count is too small to be
+an arc.
+
+The model is as large as the corpus, so no task holds it. Texts are dealt by hash into parts of about PART
+characters. A part sends the distinct n-grams of its texts, as sorted 64-bit hashes with their counts in
+training texts, to shards by hash; a shard adds the counts of all parts up and answers each part with the
+totals of what it sent, in its order. A part then compiles the arcs and states that its own texts can meet,
+and traverses them. A frequent n-gram is sent once by each part, so no shard is hot; both exchanges follow
+the number of distinct n-grams by part, and a task's memory PART, or its longest text where that is longer.
 
 Defined results: a null or empty text is the end token alone; equal rows each keep theirs; null ids are as
 the empty text in the fold; an empty table gives no rows; with nothing to learn from every token is unseen
-and has probability one; other columns are ignored.
+and has probability one; very long texts are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BREAKS, staged, text_or_empty
-from tidemark.llm.url_filters import LOWER, UPPER
+from tidemark.llm.common import text_or_empty
 
-ORDER, HEAD_SHARE, STATE_SHARE, DISCOUNT = 3, 1e-6, 5e-5, 0.75
-BEGIN, END, OTHER = 0, 1, -1  # numbers of contexts' words; others from 2
-END_WORD = "\n"  # no word holds it
+ORDER, BACKOFF, POWER = 3, 0.95, 0.2
+PART = 24_000_000  # characters
+RUN = 1 << 22  # bytes of a text that are split into words at a time
+BEGIN, END = np.array([xxhash.xxh64_intdigest(x) for x in (b" ", b"\n")], np.uint64)  # of texts that are no words
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
+ASKED = "part long, n int, shard long, keys binary, counts binary"
+TOLD = "part long, n int, shard long, counts binary, tokens long, words long, once long, twice long"
+SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 @dataclass
@@ -43,183 +52,210 @@ class Totals:
     distinct: int
     discount: float  #: of unigram counts
 
-    def base(self, c: int) -> float:
-        return math.log10((c + 1) / (self.tokens + self.distinct + 1))
+    def base(self, c: np.ndarray) -> np.ndarray:
+        """log10 of the base score's ratios."""
+        return np.log10((c + 1) / (self.tokens + self.distinct + 1))
 
-    def unigram(self, c: int) -> float:
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        """Probabilities of words by their counts; all unseen words are one outcome."""
         if not self.tokens:
-            return 0.0
-        mass = c - self.discount if c else self.discount * self.distinct
-        return math.log10(mass / self.tokens)
+            return np.ones(len(c))
+        return np.where(c > 0, c - self.discount, self.discount * self.distinct) / self.tokens
+
+
+def backoff(c: np.ndarray) -> np.ndarray:
+    """What contexts leave to their shorter ones, by how often training texts go on from them."""
+    return BACKOFF * np.maximum(c, 1.0) ** -POWER
+
+
+def discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+
+
+def hashed(text: str) -> list[np.ndarray]:
+    """The beginning, the hash of each word, and the end token."""
+    raw, digest, found, at = text.encode().lower(), xxhash.xxh64_intdigest, [np.array([BEGIN])], 0
+    while at < len(raw):
+        end = at + RUN
+        while end < len(raw) and not raw[end : end + 1].isspace():
+            end += 1
+        words = raw[at:end].split()  # bytes split at ASCII white space
+        found.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+        at = end
+    return [*found, np.array([END])]
+
+
+def path_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols one after the other, and where each text begins."""
+    symbols, sizes = [], []
+    for text in texts:
+        found = hashed(text)
+        symbols += found
+        sizes.append(sum(map(len, found)))
+    return np.concatenate(symbols), np.cumsum([0, *sizes])[:-1]
+
+
+def after(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams made of a context's hash and a symbol."""
+    h = (context * MIX[0]) ^ symbol
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def ngrams(path: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By n: where the n-grams of the path end, and their hashes. A beginning is only a first context."""
+    inside = path != BEGIN
+    key, ends = path, inside
+    for n in range(1, order + 1):
+        at = np.flatnonzero(ends)
+        yield n, at, key[at]
+        key = np.concatenate([path[:1], after(key[:-1], path[1:])])
+        ends = inside if n == 1 else inside & np.concatenate([[False], ends[:-1]])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned integers as compressed planes of bytes."""
+    raw = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def asked(part: int, texts: list[str], trains: list[bool], parts: int, order: int) -> Iterator[pa.Table]:
+    """A part's n-grams by shard: sorted hashes, as differences, and how often training texts hold them."""
+    path, starts = path_of(texts)
+    training = np.repeat(np.array(trains, bool), np.diff([*starts, len(path)]))
+    for n, at, key in ngrams(path, order):
+        distinct, where = np.unique(key, return_inverse=True)
+        counts = np.bincount(where, training[at], len(distinct)).astype("<u4")
+        shard = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
+        cuts = np.searchsorted(shard, np.arange(parts + 1, dtype=np.uint64))
+        out = {k: [] for k in ("keys", "counts")}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out["keys"].append(packed(np.diff(distinct[a:b], prepend=np.uint64(0)).astype("<u8")))
+            out["counts"].append(packed(counts[a:b]))
+        yield pa.table({"part": [part] * parts, "n": pa.array([n] * parts, pa.int32()), "shard": np.arange(parts), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+
+
+def told(n: int, asking: pa.Table) -> pa.Table:
+    """A shard's answers: to each part, the counts over all parts; with words, its share of the totals."""
+    keys = [np.cumsum(unpacked(k, "<u8"), dtype=np.uint64) for k in asking["keys"].to_pylist()]
+    counts = np.concatenate([unpacked(c, "<u4") for c in asking["counts"].to_pylist()])
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+    answers = np.split(total.astype("<u8")[where], np.cumsum([len(k) for k in keys])[:-1])
+    seen = total[total > 0] if n == 1 else total[:0]
+    sums = (seen.sum(), len(seen), (seen == 1).sum(), (seen == 2).sum())
+    columns = {k: pa.array([int(v)] * len(asking), pa.int64()) for k, v in zip(("tokens", "words", "once", "twice"), sums)}
+    return pa.table({k: asking[k] for k in ("part", "n", "shard")} | {"counts": pa.array(map(packed, answers), pa.binary())} | columns)
 
 
 @dataclass
 class Automaton:
-    """arcs[state][word] = (log10 probability, next state); state 0 is the root, 1 the beginning of a text."""
-
-    arcs: list[dict[int, tuple[float, int]]] = field(default_factory=list)
-    backoff: list[float] = field(default_factory=list)
-    fail: list[int] = field(default_factory=list)
-    start: int = 0
-    after: dict[int, int] = field(default_factory=dict)  #: state of a word alone as context
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, c over all texts; the end token is END_WORD."""
-    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), WORD_BREAKS)).alias("word")).where("word != ''")
-    ends = docs.agg(F.count(F.lit(1)).alias("c")).where("c > 0").select(F.lit(END_WORD).alias("word"), "c")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("c")).union(ends)
-
-
-def totals(counts: DataFrame) -> Totals:
-    once, twice = (F.sum((F.col("c") == k).cast("long")) for k in (1, 2))
-    t = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), once.alias("n1"), twice.alias("n2")).first()
-    n1, n2 = t["n1"] or 0, t["n2"] or 0
-    discount = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    return Totals(t["n"] or 0, t["v"], min(max(discount, 0.05), 0.95))
-
-
-def frequent_ngrams(docs: DataFrame, numbers: dict[str, int], order: int, least: float) -> list[dict[tuple[int, ...], int]]:
-    """Counts of the n-grams of two to order numbered words that reach least."""
-    base = len(numbers) + 2
-    if base**order >= 1 << 62:
-        raise ValueError("too many numbered words for this order")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                rows.append(BEGIN)
-                rows += [numbers.get(w, OTHER) for w in text.encode().lower().split()]
-                rows.append(END)
-            ids = np.array(rows, np.int64)
-            for n in range(2, order + 1):
-                if len(ids) < n:
-                    continue
-                parts = [ids[i : len(ids) - n + 1 + i] for i in range(n)]
-                good = np.logical_and.reduce([p >= 0 for p in parts] + [p != END for p in parts[:-1]] + [p != BEGIN for p in parts[1:]])
-                key = np.zeros(int(good.sum()), np.int64)
-                for p in parts:
-                    key = key * base + p[good]
-                keys, found = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(keys), n, np.int32)), "key": pa.array(keys), "c": pa.array(found.astype(np.int64))})
-
-    rows = docs.select("text").mapInArrow(count, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
-    found: list[dict[tuple[int, ...], int]] = [{} for _ in range(order + 1)]
-    for r in rows.where(F.col("c") >= least).collect():  # at most 1 / STATE_SHARE an order
-        key, gram = r["key"], []
-        for _ in range(r["n"]):
-            key, w = divmod(key, base)
-            gram.append(w)
-        found[r["n"]][tuple(reversed(gram))] = r["c"]
-    return found
-
-
-def compile_automaton(grams: list[dict[tuple[int, ...], int]], singles: dict[int, int], n_docs: int, unigram: dict[int, float]) -> Automaton:
-    """singles: counts of numbered words as contexts; unigram: their log10 probabilities at the root."""
-    contexts: dict[tuple[int, ...], dict[int, int]] = {}
-    for counts in grams[2:]:
-        for gram, c in counts.items():
-            contexts.setdefault(gram[:-1], {})[gram[-1]] = c
-    total = {(w,): c for w, c in singles.items()} | {(BEGIN,): n_docs} | {g: c for counts in grams[2:] for g, c in counts.items()}
-    contexts = {h: arcs for h, arcs in contexts.items() if h in total and (len(h) == 1 or h[1:] in contexts)}
-    order = sorted(contexts, key=lambda h: (len(h), h))
-    state = {(): 0} | {h: i + 1 for i, h in enumerate(order)}
-    a = Automaton([{}], [0.0], [0], state.get((BEGIN,), 0), {h[0]: s for h, s in state.items() if len(h) == 1})
-
-    def probability(h: tuple[int, ...], w: int) -> float:
-        if not h:
-            return 10.0 ** unigram[w]
-        arc = a.arcs[state[h]].get(w)
-        return 10.0 ** arc[0] if arc else 10.0 ** a.backoff[state[h]] * probability(h[1:], w)
-
-    for h in order:
-        arcs, given, covered = {}, 0.0, 0.0
-        for w, c in contexts[h].items():
-            p = (c - DISCOUNT) / total[h]
-            given, covered = given + p, covered + probability(h[1:], w)
-            follow = h + (w,)
-            while follow not in state:
-                follow = follow[1:]
-            arcs[w] = (math.log10(p), state[follow])
-        left = max(1 - given, 1e-12) / max(1 - covered, 1e-12)
-        a.arcs.append(arcs)
-        a.backoff.append(math.log10(left))
-        a.fail.append(state[h[1:]])
-    return a
-
-
-def traverse(a: Automaton, numbered: list[int], root: list[float]) -> float:
-    """log10 probability of a text's tokens; root: each one's price at the root, zero where a join adds it."""
-    arcs, backoff, fail, after = a.arcs, a.backoff, a.fail, a.after
-    total, state = 0.0, a.start
-    for w, price in zip(numbered, root):
-        while True:
-            if state:
-                arc = arcs[state].get(w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
+    """The arcs and states that some texts can meet, addressed by position of their path.
+
+    arcs[n - 1][number[n - 1][i]] is the weight of the arc for the n-gram that ends at i (nan: there is none);
+    fails[n - 1][number[n - 1][i]] the backoff weight of the state that this n-gram is as a context.
+    """
+
+    number: list[np.ndarray]
+    arcs: list[np.ndarray]
+    fails: list[np.ndarray]
+    start: int  #: length of the context that a text starts with
+    unseen: float  #: what the root gives unseen words
+
+    def traverse(self, begin: int, end: int) -> float:
+        """log10 probability of the text whose beginning is at begin."""
+        rows = [x[begin:end] for x in self.number]
+        arcs = [a[x].tolist() for a, x in zip(self.arcs, rows)]
+        fails = [f[x].tolist() for f, x in zip(self.fails, rows)]
+        total, state, longest = 0.0, self.start, len(fails)
+        for i in range(1, end - begin):
+            while (weight := arcs[state][i]) != weight:  # no arc: fail to the shorter context
+                if not state:
+                    weight = self.unseen
+                    state = -1
                     break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += price
-                state = after.get(w, 0)
-                break
-    return total
+                total += fails[state - 1][i - 1]
+                state -= 1
+            total += weight
+            state = state + 1 if state < longest else longest
+        return total
+
+
+def compiled(path: np.ndarray, starts: np.ndarray, counts: list[np.ndarray], totals: Totals, order: int) -> tuple[Automaton, np.ndarray]:
+    """The automaton, and each position's word count. counts: of the distinct n-grams by n, in their hashes' order."""
+    a = Automaton([], [], [], 0, float(np.log10(totals.unigram(np.zeros(1)))[0]))
+    shorter_p = shorter_c = word_counts = None
+    for n, at, key in ngrams(path, order):
+        _, first, where = np.unique(key, return_index=True, return_inverse=True)
+        c = counts[n - 1].astype(np.float64)
+        number = np.full(len(path), -1, np.int32)  # the last entry of what it addresses stands for what isn't there
+        if n == 1:
+            p = totals.unigram(c)
+            number[at] = where
+            ends = c[where[-1]]  # every text has one end, and so one beginning
+            word_counts = c[where]
+            number[starts] = len(c)
+            c = np.append(c, ends)
+            a.start = int(ends > 0 and order > 1)
+            p = np.append(p, np.nan)
+        else:
+            number[at] = where
+            here = at[first]
+            context = shorter_c[here - 1]
+            left = backoff(context)
+            p = (1 - left) * c / np.maximum(context, 1.0) + left * shorter_p[here]
+        weight = np.append(np.log10(np.where(c > 0, p, np.nan)), np.nan)
+        a.number.append(number)
+        a.arcs.append(weight)
+        if n < order:
+            a.fails.append(np.append(np.log10(backoff(c)), np.nan))
+            shorter_p, shorter_c = np.append(p, np.nan)[number], np.append(c, 0.0)[number]
+    return a, word_counts
+
+
+def scored(doc_ids: pa.ChunkedArray, texts: list[str], answers: pa.Table, order: int) -> pa.Table:
+    path, starts = path_of(texts)
+    answers = answers.sort_by([("n", "ascending"), ("shard", "ascending")])
+    sums = [sum(answers[k].to_pylist()) for k in ("tokens", "words", "once", "twice")]
+    totals = Totals(sums[0], sums[1], discount(*sums[2:]))
+    ns, blobs = np.array(answers["n"]), answers["counts"].to_pylist()
+    counts = [np.concatenate([unpacked(blobs[i], "<u8") for i in np.flatnonzero(ns == n)]) for n in range(1, order + 1)]
+    a, c = compiled(path, starts, counts, totals, order)
+    ends = np.append(starts[1:], len(path))
+    own = starts - np.arange(len(starts))  # where each text begins among the tokens
+    found = {
+        "n_tokens": ends - starts - 1,
+        "n_known": np.add.reduceat((c > 0).astype(np.int64), own),
+        "train_tokens": np.full(len(starts), totals.tokens, np.int64),
+        "base_score": np.add.reduceat(totals.base(c), own),
+        "score": np.array([a.traverse(s, e) for s, e in zip(starts.tolist(), ends.tolist())]),
+    }
+    return pa.table({"doc_id": doc_ids} | found)
 
 
 def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a condition on doc_id."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
-    learned = rows.where(training)
-    counts = staged(count_words(learned), "words")
-    t = totals(counts)
-    frequent = counts.where((F.col("c") >= max(1.0, HEAD_SHARE * t.tokens)) & (F.col("word") != END_WORD)).collect()  # at most 1 / HEAD_SHARE
-    head = {r["word"]: r["c"] for r in frequent}
-    n_ends = counts.where(F.col("word") == END_WORD).agg(F.sum("c").alias("c")).first()["c"] or 0
-    least = max(2.0, STATE_SHARE * t.tokens)
-    numbered = {w: i + 2 for i, w in enumerate(sorted(w for w, c in head.items() if c >= least))}
-    grams = frequent_ngrams(learned, {w.encode(): i for w, i in numbered.items()}, order, least)
-    singles = {i: head[w] for w, i in numbered.items()}
-    unigram = {i: t.unigram(c) for i, c in singles.items()} | {END: t.unigram(n_ends)}
-    a = compile_automaton(grams, singles, n_ends, unigram)
-    known = {w.encode(): (numbered.get(w, OTHER), t.unigram(c), t.base(c)) for w, c in head.items()}
-    model = spark.sparkContext.broadcast((a, known))
-    end = (t.unigram(n_ends), t.base(n_ends))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, known = model.value
-        get = known.get
-        for batch in batches:
-            out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "words", "times")}
-            for text in batch.column("text").to_pylist():
-                words = text.encode().lower().split()
-                found = [get(w) for w in words]
-                rare = Counter(w for w, f in zip(words, found) if f is None)
-                path = [f if f is not None else (OTHER, 0.0, 0.0) for f in found] if rare else found
-                numbers, root = [f[0] for f in path], [f[1] for f in path]
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(len(words) - sum(rare.values()) + (n_ends > 0))
-                out["base_score"].append(sum(f[2] for f in path) + end[1])
-                out["score"].append(traverse(a, [*numbers, END], [*root, end[0]]))
-                out["words"].append([w.decode() for w in rare])
-                out["times"].append(list(rare.values()))
-            types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "words": pa.list_(pa.string()), "times": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id")} | {k: pa.array(v, types[k]) for k, v in out.items()})
-
-    walked = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    walked = staged(walked.mapInArrow(walk, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<string>, times array<int>"), "walked")
-    rare = walked.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    c = F.coalesce("c", F.lit(0))
-    priced = rare.join(counts, "word", "left").select(
-        "row",
-        F.when(c > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((c + 1) / F.lit(t.tokens + t.distinct + 1))).alias("base"),
-        (F.col("times") * F.when(c > 0, F.log10((c - t.discount) / F.lit(max(t.tokens, 1)))).otherwise(F.lit(t.unigram(0)))).alias("price"),
-    )
-    extra = priced.groupBy("row").agg(*(F.sum(k).alias(k) for k in ("known", "base", "price")))
-    whole = lambda k, more: (F.col(k) + F.coalesce(more, F.lit(0))).alias(k)
-    return walked.join(extra, "row", "left").select("doc_id", "n_tokens", whole("n_known", "known"), F.lit(t.tokens).cast("long").alias("train_tokens"), whole("base_score", "base"), whole("score", "price"))
+    size = rows.agg(F.sum(F.length("text") + 1).alias("size")).first()["size"] or 0
+    parts = max(1, math.ceil(size / PART))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    dealt = rows.select(part.alias("part"), "doc_id", "text", F.coalesce(training, F.lit(False)).alias("trains"))
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.concat_tables(asked(key[0].as_py(), table["text"].to_pylist(), table["trains"].to_pylist(), parts, order))
+
+    def tell(key: tuple, table: pa.Table) -> pa.Table:
+        return told(key[0].as_py(), table)
+
+    def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return scored(table["doc_id"], table["text"].to_pylist(), answers, order)
+
+    # The texts are exchanged once: both uses of dealt by part are the same exchange.
+    answers = dealt.groupBy("part").applyInArrow(ask, ASKED).groupBy("n", "shard").applyInArrow(tell, TOLD)
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(walk, SCORED)
