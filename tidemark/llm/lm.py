@@ -10,11 +10,13 @@ are smoothed by absolute discounting. Each state's distribution sums to one, and
 an arc.
 
 The model is as large as the corpus, so no task holds it. Texts are dealt by hash into parts of about PART
-characters. A part sends the distinct n-grams of its texts, as sorted 64-bit hashes with their counts in
-training texts, to shards by hash; a shard adds the counts of all parts up and answers each part with the
-totals of what it sent, in its order. A part then compiles the arcs and states that its own texts can meet,
-and traverses them. A frequent n-gram is sent once by each part, so no shard is hot; both exchanges follow
-the number of distinct n-grams by part, and a task's memory PART, or its longest text where that is longer.
+characters. A part sends the distinct n-grams of its texts, as sorted hashes with their counts in training
+texts, to shards by hash; a shard adds the counts of all parts up and answers each part with the totals of
+what it sent, in its order. A part then compiles the arcs and states that its own texts can meet, and
+traverses them. A frequent n-gram is sent once by each part, so no shard is hot; both exchanges follow the
+number of distinct n-grams by part, and a task's memory PART, or its longest text where that is longer.
+Words have 64-bit hashes; those of longer n-grams keep SPARE bits beyond the logarithm of the corpus's size,
+so that fewer than one in a million shares its hash with another, at any size.
 
 Defined results: a null or empty text is the end token alone; equal rows each keep theirs; null ids are as
 the empty text in the fold; an empty table gives no rows; with nothing to learn from every token is unseen
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty
 
 ORDER, BACKOFF, POWER = 3, 0.95, 0.2
-PART = 24_000_000  # characters
+PART, SHARD = 8_000_000, 16_000_000  # characters
+SPARE = 20
 RUN = 1 << 22  # bytes of a text that are split into words at a time
 BEGIN, END = np.array([xxhash.xxh64_intdigest(x) for x in (b" ", b"\n")], np.uint64)  # of texts that are no words
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -102,43 +105,46 @@ def after(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def ngrams(path: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def ngrams(path: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By n: where the n-grams of the path end, and their hashes. A beginning is only a first context."""
     inside = path != BEGIN
+    kept = np.uint64((1 << 64) - (1 << (64 - bits)))
     key, ends = path, inside
     for n in range(1, order + 1):
         at = np.flatnonzero(ends)
-        yield n, at, key[at]
+        yield n, at, key[at] if n == 1 else key[at] & kept
         key = np.concatenate([path[:1], after(key[:-1], path[1:])])
         ends = inside if n == 1 else inside & np.concatenate([[False], ends[:-1]])
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned integers as compressed planes of bytes."""
-    raw = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Unsigned integers as planes of their bytes, each compressed apart: high planes are nearly empty, low ones random."""
+    zipped = zstandard.ZstdCompressor(level=1)
+    planes = [zipped.compress(x) for x in np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)]
+    return np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes)
 
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+    size, unzipped = np.dtype(kind).itemsize, zstandard.ZstdDecompressor()
+    ends = 4 * size + np.cumsum([0, *np.frombuffer(blob, "<u4", size)])
+    planes = [np.frombuffer(unzipped.decompress(blob[a:b]), np.uint8) for a, b in zip(ends[:-1], ends[1:])]
+    return np.stack(planes, axis=1).reshape(-1).view(kind)
 
 
-def asked(part: int, texts: list[str], trains: list[bool], parts: int, order: int) -> Iterator[pa.Table]:
+def asked(part: int, texts: list[str], trains: list[bool], shards: int, order: int, bits: int) -> Iterator[pa.Table]:
     """A part's n-grams by shard: sorted hashes, as differences, and how often training texts hold them."""
     path, starts = path_of(texts)
     training = np.repeat(np.array(trains, bool), np.diff([*starts, len(path)]))
-    for n, at, key in ngrams(path, order):
+    for n, at, key in ngrams(path, order, bits):
         distinct, where = np.unique(key, return_inverse=True)
         counts = np.bincount(where, training[at], len(distinct)).astype("<u4")
-        shard = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
-        cuts = np.searchsorted(shard, np.arange(parts + 1, dtype=np.uint64))
+        shard = ((distinct >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # ascending, as the hashes are
+        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
         out = {k: [] for k in ("keys", "counts")}
         for a, b in zip(cuts[:-1], cuts[1:]):
             out["keys"].append(packed(np.diff(distinct[a:b], prepend=np.uint64(0)).astype("<u8")))
             out["counts"].append(packed(counts[a:b]))
-        yield pa.table({"part": [part] * parts, "n": pa.array([n] * parts, pa.int32()), "shard": np.arange(parts), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+        yield pa.table({"part": [part] * shards, "n": pa.array([n] * shards, pa.int32()), "shard": np.arange(shards), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
 
 def told(n: int, asking: pa.Table) -> pa.Table:
@@ -187,11 +193,11 @@ class Automaton:
         return total
 
 
-def compiled(path: np.ndarray, starts: np.ndarray, counts: list[np.ndarray], totals: Totals, order: int) -> tuple[Automaton, np.ndarray]:
+def compiled(path: np.ndarray, starts: np.ndarray, counts: list[np.ndarray], totals: Totals, order: int, bits: int) -> tuple[Automaton, np.ndarray]:
     """The automaton, and each position's word count. counts: of the distinct n-grams by n, in their hashes' order."""
     a = Automaton([], [], [], 0, float(np.log10(totals.unigram(np.zeros(1)))[0]))
     shorter_p = shorter_c = word_counts = None
-    for n, at, key in ngrams(path, order):
+    for n, at, key in ngrams(path, order, bits):
         _, first, where = np.unique(key, return_index=True, return_inverse=True)
         c = counts[n - 1].astype(np.float64)
         number = np.full(len(path), -1, np.int32)  # the last entry of what it addresses stands for what isn't there
@@ -219,14 +225,14 @@ def compiled(path: np.ndarray, starts: np.ndarray, counts: list[np.ndarray], tot
     return a, word_counts
 
 
-def scored(doc_ids: pa.ChunkedArray, texts: list[str], answers: pa.Table, order: int) -> pa.Table:
+def scored(doc_ids: pa.ChunkedArray, texts: list[str], answers: pa.Table, order: int, bits: int) -> pa.Table:
     path, starts = path_of(texts)
     answers = answers.sort_by([("n", "ascending"), ("shard", "ascending")])
     sums = [sum(answers[k].to_pylist()) for k in ("tokens", "words", "once", "twice")]
     totals = Totals(sums[0], sums[1], discount(*sums[2:]))
     ns, blobs = np.array(answers["n"]), answers["counts"].to_pylist()
     counts = [np.concatenate([unpacked(blobs[i], "<u8") for i in np.flatnonzero(ns == n)]) for n in range(1, order + 1)]
-    a, c = compiled(path, starts, counts, totals, order)
+    a, c = compiled(path, starts, counts, totals, order, bits)
     ends = np.append(starts[1:], len(path))
     own = starts - np.arange(len(starts))  # where each text begins among the tokens
     found = {
@@ -243,18 +249,19 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a condition on doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     size = rows.agg(F.sum(F.length("text") + 1).alias("size")).first()["size"] or 0
-    parts = max(1, math.ceil(size / PART))
+    parts, shards = (max(1, math.ceil(size / most)) for most in (PART, SHARD))
+    bits = min(64, max(40, SPARE + math.ceil(math.log2(size / 2 + 1))))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
     dealt = rows.select(part.alias("part"), "doc_id", "text", F.coalesce(training, F.lit(False)).alias("trains"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.concat_tables(asked(key[0].as_py(), table["text"].to_pylist(), table["trains"].to_pylist(), parts, order))
+        return pa.concat_tables(asked(key[0].as_py(), table["text"].to_pylist(), table["trains"].to_pylist(), shards, order, bits))
 
     def tell(key: tuple, table: pa.Table) -> pa.Table:
         return told(key[0].as_py(), table)
 
     def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return scored(table["doc_id"], table["text"].to_pylist(), answers, order)
+        return scored(table["doc_id"], table["text"].to_pylist(), answers, order, bits)
 
     # The texts are exchanged once: both uses of dealt by part are the same exchange.
     answers = dealt.groupBy("part").applyInArrow(ask, ASKED).groupBy("n", "shard").applyInArrow(tell, TOLD)
