@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import ROWS, clashing, collected, documents
+from tests.support import duck, same
 from tidemark.llm import graph, lm, simhash, topk
 from tidemark.llm.common import fold
-from tidemark.llm.queries import QUERIES
+from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 
 def tokens(text):
@@ -73,6 +74,7 @@ def test_op3_by_brute_force(spark, small):
 @pytest.mark.parametrize(("order", "part"), [(1, 1000), (2, 10**9), (3, 500), (4, 20_000)])
 def test_lm_of_awkward_documents(spark, monkeypatch, order, part):
     monkeypatch.setattr(lm, "PART", part)  # parts and shards, one or many, change nothing
+    monkeypatch.setattr(lm, "SHARD", 2 * part)
     monkeypatch.setattr(lm, "RUN", 64)
     rows = lm.score(clashing(documents(spark)), fold("doc_id", 7) != 2, order=order).collect()
     check_lm(rows, [r[:2] for r in ROWS], order=order)
@@ -169,29 +171,50 @@ def test_components(spark):
 
 def plain_topk(rows, is_query, k):
     out = []
-    for q, v in rows:
+    for i, (q, v) in enumerate(rows):
         if is_query(q):
-            scores = sorted((-int(np.dot(v, w)), c) for c, w in rows if c != q and len(w) == len(v))
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:k])]
+            scores = sorted((-int(np.dot(v, w)), c) for j, (c, w) in enumerate(rows) if j != i and len(w) == len(v))
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
     return sorted(out, key=repr)
 
 
-def test_topk_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 16)
-    monkeypatch.setattr(topk, "SHARD", 2)
-    monkeypatch.setattr(topk, "CHUNK", 3)
+def integers(rows):
+    return [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows]
+
+
+def test_topk_by_brute_force(spark, monkeypatch, tmp_path):
+    for name, size in (("BLOCK", 16), ("GROUP", 5), ("CHUNK", 3), ("AHEAD", 2)):
+        monkeypatch.setattr(topk, name, size)
     rnd = np.random.default_rng(1)
     vectors = [(i, (rnd.normal(size=8) / 3).astype(np.float32).tolist()) for i in range(300)]
     vectors += [(1000 + i, vectors[0][1]) for i in range(60)]  # a very common vector
     vectors += [(2000 + i, [0.5, float(i)]) for i in range(4)]  # of another length
-    odd = [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, [1.0] * 8), (5, vectors[5][1])]
+    vectors += [(100, vectors[7][1]), (5, vectors[6][1]), (5, vectors[6][1])]  # ids that rows share
+    odd = [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, [1.0] * 8)]
     frame = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in vectors + odd], "vec_id long, embedding array<float>, label int, score string, rank int")
     got = topk.search(frame, F.col("vec_id") % 50 == 0)
-    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in vectors]
-    assert collected(got, "query_id", "rank", "vec_id", "score") == plain_topk(whole, lambda i: i % 50 == 0, 5)
+    want = plain_topk(integers(vectors), lambda i: i % 50 == 0, 5)
+    assert collected(got, "query_id", "rank", "vec_id", "score") == want
+    frame.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(QUERIES["op8_topk"](spark, str(tmp_path)), duck(tmp_path).execute(ORACLE_SQL["op8_topk"]).df())
     assert topk.search(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_few_blocks_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(64, 16)) * 2
+    vectors = [(i, (centres[i % 64] + rnd.normal(size=16) / 8).astype(np.float32).tolist()) for i in range(4096)]
+    rows = topk.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), 256).persist()
+    blocks = topk.blocks_of(rows).persist()
+    queries = rows.where("vec_id % 50 = 0").withColumn("chunk", F.lit(0).cast("long"))
+    turns = list(topk.pairs_of(queries, blocks, 5, 1, 1))
+    n_scored = sum(pairs.count() for pairs, _ in turns)
+    assert n_scored < queries.count() * blocks.count() / 8
+    got = turns[-1][1].join(rows.select("row", F.col("vec_id").alias("query_id")), "row")
+    assert collected(got, "query_id", "rank", "vec_id", "score") == plain_topk(integers(vectors), lambda i: i % 50 == 0, 5)
+
+
 def test_scores_beyond_doubles_are_exact():
     big = np.array([[2.0**40, 1.0]])
     assert topk.dot(big, big)[0][0] == 2**80 + 1

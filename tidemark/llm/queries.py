@@ -131,16 +131,20 @@ from u left join best on u.host = best.host and u.path = best.path and k = 1
 """
 
 OP8_SQL = """
-with e as (
-  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
-  from embeddings where embedding is not null
+with r as (
+  select row_number() over () as r, vec_id, [cast(x as double) for x in embedding] as x from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+),
+e as (
+  select r, vec_id, [cast(floor(256 * y) as bigint) for y in x] as v from r
+  where len(list_filter(x, lambda y: y is not null and isfinite(y))) = len(x)
 ),
 s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) as bigint) as score
-  from e q join e c on q.vec_id % 50 = 0 and q.vec_id != c.vec_id
+  select q.r, q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) as bigint) as score
+  from e q join e c on q.vec_id % 50 = 0 and q.r != c.r and len(q.v) = len(c.v)
 )
 select query_id, cast(rank as int) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 where rank <= 5
 """
 

@@ -1,15 +1,18 @@
 """Operator 8: exact top-k inner products by block-at-a-time pruning.
 
 Vectors become integers, are ordered by their nearest of PIVOTS sampled vectors, and cut into document-range
-blocks of at most BLOCK. A block keeps each term's greatest and least value, which bound any query's score in
-it, and its vectors as a forward index. For each query the blocks of a shard are taken in descending order of
-their bounds and scored whole until a bound falls below the k-th score found. Shards hold at most SHARD
-blocks and queries go in chunks of at most CHUNK, so a task holds one shard and one chunk; each chunk meets
-each shard. The k best of each meeting are merged by query.
-
-Defined results: of rows that share a vec_id the smallest vector stands; vectors that are null or empty or
-hold null or non-finite components, and null ids, take no part; vectors are compared with those of their own
-length; equal scores go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
+blocks of at most BLOCK. A block keeps each term's greatest and least value, whose sums with a query's terms
+bound any score in it, and its vectors as a forward index. The bounds of all blocks order them for each query:
+the first is scored whole and gives a k-th score; of the blocks whose bounds reach it the next AHEAD are
+scored, then those whose bounds still reach the k-th score so far. What is below is never moved or scored.
+
+Bounds are taken from the blocks' extremes alone, by groups of GROUP blocks and chunks of CHUNK queries; a
+task holds one of each, or a block and the queries of a chunk that reach it.
+
+Defined results: vectors that are null or empty or hold null or non-finite components, and null ids, take no
+part; of rows that share a vec_id each is a candidate and a query of its own, and only a query's own row is
+no candidate of it; vectors are compared with those of their own length; equal scores go to the smaller
+vec_id; scores beyond a long are its nearest value; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +28,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-PIVOTS, BLOCK, SHARD, CHUNK = 64, 256, 16, 1024
+PIVOTS, BLOCK, GROUP, CHUNK, AHEAD = 64, 256, 4096, 1024, 8
 EXACT = 2.0**53  # sums of integers below it are exact in doubles
+LONGEST = (1 << 63) - 1
 
-BLOCKS = "dim int, shard long, ids binary, vectors binary"
+BLOCKS = "block long, dim int, most binary, least binary, rows binary, ids binary, vectors binary"
 
 
 def usable(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, dim, v: integer components as doubles."""
+    """row (a number of its own), vec_id, dim, v (components as doubles), scale."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where((F.size("v") > 0) & F.col("vec_id").isNotNull() & finite)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows.select("vec_id", F.size("v").alias("dim"), F.col("v"), F.lit(scale).alias("scale"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), "v", F.lit(scale).alias("scale"))
 
 
 def whole_numbers(batch: pa.RecordBatch | pd.DataFrame) -> np.ndarray:
@@ -52,6 +55,15 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a], object).reshape(len(a), len(b))
 
 
+def bounds_of(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """By query and block, at least every score there; as doubles, rounded up where they aren't exact."""
+    found = dot(np.maximum(q, 0), most) + dot(np.minimum(q, 0), least)
+    if found.dtype != object:
+        return found
+    found = found.astype(np.float64)
+    return found + np.abs(found) * 2.0**-50
+
+
 def blocks_of(rows: DataFrame) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(PIVOTS).toPandas()
     pivots = {d: (x := whole_numbers(g)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1) for d, g in sample.groupby("dim")}
@@ -63,81 +75,115 @@ def blocks_of(rows: DataFrame) -> DataFrame:
                 yield part.assign(pivot=0 if by is None else (whole_numbers(part) @ by.T).argmax(axis=1).astype(np.int32))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of one length and pivot; their shard, from the task's number and the blocks before."""
-        task, made, held = TaskContext.get().partitionId() << 32, {}, None
+        """Blocks of one length and pivot, numbered from the task's number on."""
+        number, held = TaskContext.get().partitionId() << 32, None
 
-        def out(part: pd.DataFrame, dim: int) -> pd.DataFrame:
-            made[dim] = made.get(dim, -1) + 1
-            return pd.DataFrame({"dim": [np.int32(dim)], "shard": [task + made[dim] // SHARD], "ids": [part["vec_id"].to_numpy("<i8").tobytes()], "vectors": [whole_numbers(part).astype("<f8").tobytes()]})
+        def out(part: pd.DataFrame) -> pd.DataFrame:
+            nonlocal number
+            number += 1
+            v = whole_numbers(part)
+            binary = {"most": v.max(axis=0), "least": v.min(axis=0), "rows": part["row"].to_numpy("<i8"), "ids": part["vec_id"].to_numpy("<i8"), "vectors": v}
+            return pd.DataFrame({"block": [number], "dim": [np.int32(v.shape[1])]} | {k: [x.tobytes()] for k, x in binary.items()})
 
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch])
             held = None
             parts = list(batch.groupby(["dim", "pivot"], sort=False))
-            for i, ((dim, _), part) in enumerate(parts):
+            for i, (_, part) in enumerate(parts):
                 for at in range(0, len(part), BLOCK):
                     if i == len(parts) - 1 and len(part) - at <= BLOCK:
                         held = part.iloc[at:]
                     else:
-                        yield out(part.iloc[at : at + BLOCK], dim)
+                        yield out(part.iloc[at : at + BLOCK])
         if held is not None:
-            yield out(held, held["dim"].iloc[0])
+            yield out(held)
 
-    placed = rows.mapInPandas(nearest, "vec_id long, dim int, v array<double>, scale int, pivot int")
-    placed = placed.repartitionByRange("dim", "pivot", "vec_id").sortWithinPartitions("dim", "pivot", "vec_id")
+    placed = rows.mapInPandas(nearest, "row long, vec_id long, dim int, v array<double>, scale int, pivot int")
+    placed = placed.repartitionByRange("dim", "pivot", "vec_id", "row").sortWithinPartitions("dim", "pivot", "vec_id", "row")
     return placed.mapInPandas(cut, BLOCKS)
 
 
-def best_of(q: np.ndarray, own: int, k: int, ids: list, vectors: list, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best rows but the query's own, best first, over a shard's blocks."""
-    got_ids, got = np.empty(0, np.int64), np.empty(0, bounds.dtype)
-    for j in np.argsort(-bounds, kind="stable"):
-        if len(got) == k and bounds[j] < got[-1]:
-            break
-        if len(got) == k and bounds[j] == got[-1] and ids[j].min() > got_ids[-1]:
-            continue
-        scores = dot(q[None], vectors[j])[0]
-        keep = ids[j] != own
-        if len(got) == k:
-            keep &= scores >= got[-1]
-        if not keep.any():
-            continue
-        got_ids, got = np.concatenate([got_ids, ids[j][keep]]), np.concatenate([got, scores[keep]])
-        order = np.lexsort((got_ids, -got))[:k]
-        got_ids, got = got_ids[order], got[order]
-    return got_ids, got
+def bounded(queries: DataFrame, blocks: DataFrame, chunks: int, groups: int) -> DataFrame:
+    """row, chunk, block, bound: of each group of blocks, those whose bounds reach a query's floor; the best alone where the floor is null.
 
+    queries: row, chunk, dim, v, scale, floor.
+    """
+    extremes = blocks.select("block", "dim", "most", "least", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"))
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
-    rows = staged(usable(vectors, scale), "vectors")
-    blocks = staged(blocks_of(rows), "blocks")
-    queries = rows.where(is_query).withColumn("row", F.monotonically_increasing_id())
-    chunks = max(1, -(-queries.count() // CHUNK))
-    queries = staged(queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks))).drop("row"), "queries")
-    shards = blocks.select("dim", "shard").distinct()
-    numbered = queries.select("dim", "chunk").distinct()
-    asked = queries.join(shards, "dim")
-    renamed = {"dim": "to_dim", "shard": "to_shard", "chunk": "to_chunk"}
-    held = blocks.join(numbered, "dim").withColumnsRenamed(renamed)
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"row": [], "chunk": [], "block": [], "bound": []}).astype({"row": "int64", "chunk": "int64", "block": "int64"})
+        most, least = (np.stack([np.frombuffer(x, "<f8") for x in right[c]]) for c in ("most", "least"))
+        bounds = bounds_of(whole_numbers(left), most, least)
+        floor = left["floor"].to_numpy(np.float64)[:, None]
+        best = np.zeros(bounds.shape, bool)
+        best[np.arange(len(bounds)), bounds.argmax(axis=1)] = True
+        q, b = np.nonzero(np.where(np.isnan(floor), best, bounds >= floor))
+        return pd.DataFrame({"row": left["row"].to_numpy()[q], "chunk": left["chunk"].to_numpy()[q], "block": right["block"].to_numpy()[b], "bound": bounds[q, b]})
+
+    asking = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    asked = extremes.withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
+    asked = asked.withColumnsRenamed({"dim": "to_dim", "group": "to_group"})
+    met = asking.groupBy("dim", "chunk", "group").cogroup(asked.groupBy("to_dim", "to_chunk", "to_group"))
+    return met.applyInPandas(meet, "row long, chunk long, block long, bound double")
+
+
+def scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """row, vec_id, score: a query's k best rows of each block that it is paired with."""
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"row": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            dim = int(key[0])
-            ids = [np.frombuffer(x, "<i8") for x in right["ids"]]
-            matrices = [np.frombuffer(x, "<f8").reshape(-1, dim) for x in right["vectors"]]
-            q = whole_numbers(left)
-            most, least = (np.stack([f(m, axis=0) for m in matrices]) for f in (np.max, np.min))
-            bounds = dot(np.maximum(q, 0), most) + dot(np.minimum(q, 0), least)
-            for own, one, bound in zip(left["vec_id"].tolist(), q, bounds):
-                found, scores = best_of(one, own, k, ids, matrices, bound)
-                out["query_id"] += [own] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += [int(x) for x in scores]
+            one = right.iloc[0]
+            rows, ids = (np.frombuffer(one[c], "<i8") for c in ("rows", "ids"))
+            scores = dot(whole_numbers(left), np.frombuffer(one["vectors"], "<f8").reshape(len(rows), -1))
+            for own, found in zip(left["row"].tolist(), scores):
+                others = np.flatnonzero(rows != own)
+                order = others[np.lexsort((ids[others], -found[others]))[:k]]
+                out["row"] += [own] * len(order)
+                out["vec_id"] += ids[order].tolist()
+                out["score"] += [max(min(int(x), LONGEST), -LONGEST - 1) for x in found[order]]
         return pd.DataFrame(out).astype("int64")
 
-    key = ("dim", "shard", "chunk")
-    met = asked.groupBy(*key).cogroup(held.groupBy(*renamed.values())).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asking = pairs.select("row", "block").join(queries.select("row", "chunk", "v", "scale"), "row")
+    asked = blocks.join(pairs.select("block", "chunk").distinct(), "block").select(F.col("block").alias("to_block"), F.col("chunk").alias("to_chunk"), "rows", "ids", "vectors")
+    met = asking.groupBy("block", "chunk").cogroup(asked.groupBy("to_block", "to_chunk"))
+    return met.applyInPandas(meet, "row long, vec_id long, score long")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def pairs_of(queries: DataFrame, blocks: DataFrame, k: int, chunks: int, groups: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """In turn, the pairs to score next, and the best scores so far with theirs."""
+    firsts = bounded(queries.withColumn("floor", F.lit(None).cast("double")), blocks, chunks, groups)
+    firsts = firsts.groupBy("row", "chunk").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    firsts = staged(firsts, "first-pairs")
+    found = staged(best(scored(firsts, queries, blocks, k), k), "found")
+    yield firsts, found
+    # Where the first block has fewer than k rows, every other block reaches.
+    floors = lambda found: found.where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("floor"))
+    open_to = queries.join(floors(found), "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    reached = bounded(open_to, blocks, chunks, groups).join(firsts, ["row", "chunk", "block"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("bound"), "block"))
+    reached = staged(reached.withColumn("place", place), "reached")
+    ahead = reached.where(F.col("place") <= AHEAD)
+    found = staged(best(found.drop("rank").union(scored(ahead, queries, blocks, k)), k), "found")
+    yield ahead, found
+    rest = reached.where(F.col("place") > AHEAD).join(floors(found), "row", "left").where("floor is null or bound >= floor")
+    rest = staged(rest.select("row", "chunk", "block", "bound"), "rest")
+    yield rest, best(found.drop("rank").union(scored(rest, queries, blocks, k)), k)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
+    rows = staged(usable(vectors, scale), "vectors")
+    blocks = staged(blocks_of(rows), "blocks")
+    asking = rows.where(is_query)
+    chunks, groups = (max(1, -(-n // most)) for n, most in ((asking.count(), CHUNK), (blocks.count(), GROUP)))
+    queries = asking.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+    for _, found in pairs_of(queries, blocks, k, chunks, groups):
+        pass
+    return found.join(asking.select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
