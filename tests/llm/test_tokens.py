@@ -44,6 +44,53 @@ def test_pieces_are_the_library_s():
         assert ours.decode(ids) == library.decode(ids.tolist()), repr(text)
 
 
+#: A toy model where weights decide: two pieces of "ab" are cheaper than the longest one, and é has bytes alone.
+TOY = {"▁": 1.0, "a": 3.0, "b": 3.0, "ab": 5.0, "▁a": 1.5, "▁ab": 9.0, "bb": 2.0, "abb": 4.5}
+
+
+def plain_shortest(text, pieces, byte_weight):
+    """Least weight over all segmentations."""
+    best = {"": (0.0, [])}
+    for end in range(1, len(text) + 1):
+        for start in range(end):
+            piece, before = text[start:end], best.get(text[:start])
+            weight = pieces.get(piece, byte_weight * len(piece.encode()) if end - start == 1 else None)
+            if before and weight is not None and (text[:end] not in best or before[0] + weight < best[text[:end]][0] - 1e-9):
+                best[text[:end]] = (before[0] + weight, [*before[1], piece])
+    return best[text]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab é", max_size=9))
+def test_the_path_of_least_weight_is_taken(text):
+    machine = pieces.Transducer({p: (256 + i, w) for i, (p, w) in enumerate(TOY.items())}, {b: (b, 2.5) for b in range(256)})
+    found = machine.shortest(machine.normalised(text))
+    weight = sum(TOY[p] if p in TOY else 2.5 * len(p.encode()) for p in found)
+    assert weight == pytest.approx(plain_shortest(machine.normalised(text), TOY, 2.5)[0]) and "".join(found) == machine.normalised(text)
+    assert machine.decode(machine.encode(text)) == text
+
+
+def test_weights_decide_and_memory_forbids():
+    ids = {p: (256 + i, w) for i, (p, w) in enumerate(TOY.items())}
+    free = pieces.Transducer(ids, {})
+    assert free.shortest("▁abb") == ["▁a", "bb"]  # 3.5, where ▁ and abb weigh 5.5
+    bound = pieces.Transducer(ids, {}, lambda last, piece: (last, piece) != ("▁a", "bb"))
+    assert bound.shortest("▁abb") == ["▁", "abb"]
+    fixed = pieces.Transducer({p: (i, 0.0) for p, (i, _) in ids.items()}, {})
+    assert free.shortest("abb") == ["abb"] and len(fixed.shortest("abb")) <= 3
+
+
+def test_op2_by_the_library(spark, small):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    want = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = library.encode(r["text"] or "")
+        want.append((r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
+    assert collected(QUERIES["op2_pieces"](spark, small), "doc_id", "n_pieces", "ids_crc32", "round_trip") == sorted(want, key=repr)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300))
 def test_codec_round_trip(ids):
@@ -148,6 +195,34 @@ def test_packing_of_nothing(spark):
     assert packing.pack(cut, 256).count() == 0
 
 
+def test_op6_by_brute_force(spark, small):
+    """Every piece's ids, its document's and its place."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    ids = dict(by_brute_force(docs, "word_bpe_49k.json", 1))
+    rows = QUERIES["op6_packing"](spark, small).collect()
+    covered, places = {}, {}
+    for r in rows:
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids[r["doc_id"]])) == (r["length"], r["ids_crc32"], r["doc_tokens"])
+        covered.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans, total in [(covered[d], len(x)) for d, x in ids.items()] + [(p, None) for p in places.values()]:
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 2048
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    cut = packing.pieces(documents(spark), vocabulary("word_bpe_49k.json"), BLANKS_DROPPED, 1, 256)
+    odd = cut.selectExpr("*", "'a' as _row", "'b' as _group", "'c' as sequence_id", "'d' as offset", "'e' as __group")
+    packed = packing.pack(odd, 256)
+    assert sorted(packed.columns) == sorted({*odd.columns})
+    rows = packed.collect()
+    assert {(r["_row"], r["_group"], r["__group"]) for r in rows} == {("a", "b", "e")} and all(r["offset"] != "d" for r in rows)
+
+
 def test_op6_pads_little(spark, small):
     rows = QUERIES["op6_packing"](spark, small).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     assert rows.max() <= 2048 and rows.sum() > 0.95 * 2048 * (len(rows) - 1)

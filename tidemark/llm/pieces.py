@@ -1,27 +1,32 @@
 """Operator 2: SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a normaliser that writes blanks as U+2581 and puts one before
-the text, an arc for each piece, and, for characters that no piece covers, an arc for each of their bytes.
-Composed with an input, its states are (position, last piece).
-
-The model merges pairs in the order of its scores, and the path of least total score is not what merging
-gives (README). The arcs therefore depend on the state: a piece may follow another only if merging the two
-pieces' text by itself gives just these two. Merges never cross a boundary whose two sides keep it in
-isolation, so the paths left are exactly the segmentations that merging leaves, one for each input; in the
-tropical semiring, with one unit for each arc, it is the shortest. Whether two pieces may be neighbours is
-worked out when first met and kept.
-
-Composition is by parts that no piece can span (a blank after a non-blank, a line break), and each worker
-keeps the paths of parts it has met. Decoding runs the inverse: ids to bytes, blanks back, first one off.
-
-Defined results: a null or empty text has no ids; equal rows each keep theirs; an empty table gives no rows;
-other columns are ignored. Ids outside the vocabulary are an error; control pieces decode to nothing.
+Three machines are compiled from a model file: a normaliser, whose arcs rewrite characters (a blank as U+2581)
+and which puts one U+2581 before the text; the pieces, as a trie whose ends are arcs back to its root, each
+with a piece's id and its weight, the negated score; and, for characters that no piece covers, arcs for their
+bytes. Composed with an input, a state is a position and the machine's memory; weights add up along a path,
+and of paths that meet in a state the one of least weight stays (the tropical semiring). The path of least
+weight through the whole input gives the ids.
+
+What the machine must remember depends on the model. Where weights alone decide, it is nothing. A model that
+merges pairs in the order of its scores does not choose the path of least total weight (README); there the
+memory is the last piece, and a piece has an arc after another only if merging the text of the two by itself
+leaves just these two. Merging never crosses a boundary whose sides keep it in isolation, so the paths left
+are the segmentations that merging leaves. Such arcs are compiled when two pieces first meet.
+
+Composition is by parts that no piece can span (before a blank after a non-blank, at a line break, between
+neighbours that no piece holds), and each worker keeps the paths of KEEP short parts. Decoding runs the inverse: ids to
+bytes, blanks back, first one off.
+
+Defined results: a null or empty text has no ids; equal rows each keep theirs; very long texts are encoded
+whole, part by part; an empty table gives no rows; other columns are ignored. Ids outside the vocabulary are
+an error; control pieces decode to nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,36 +36,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import sliced
 
-BLANK = "▁"
-KEEP, KEEP_CHARS, KEEP_PAIRS = 200_000, 48, 200_000
+BLANK, END = "▁", ""
+KEEP, KEEP_CHARS, KEEP_PAIRS = 400_000, 48, 200_000
 
 
-class Transducer:
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
-        self.text = [model.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.ids = {self.text[i]: i for i in plain}
-        self.score = {self.text[i]: model.get_score(i) for i in plain}
-        self.byte_ids = {int(self.text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        if len(self.byte_ids) != 256 or any(BLANK in x.lstrip(BLANK) for x in self.ids) or any("\n" in x for x in self.ids):
-            raise ValueError("only models with byte fallback, whose pieces hold blanks at their start alone and no line break")
-        if model.normalize("a  ﬁ Å") != f"{BLANK}a{BLANK}{BLANK}ﬁ{BLANK}Å":
-            raise ValueError("only models that keep all characters and put a blank first")
-        self.longest = max(map(len, self.ids))
-        self.parts = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+").findall
-        self.known: dict[str, bytes] = {}
+class Merging:
+    """Which pieces may be neighbours, in a model that merges pairs in the order of its scores."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.held = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
-        #: Pieces that their own text merges into; others are never met.
-        self.arcs = {x for x in self.ids if self.merged(x) == [x]}
-        self.out = [b"" if model.is_control(i) or model.is_unknown(i) else self.text[i].replace(BLANK, " ").encode() for i in range(size)]
-        for b, i in self.byte_ids.items():
-            self.out[i] = bytes([b])
 
     def merged(self, text: str) -> list[str]:
         """What merging leaves of a short text: the best-scored neighbours first, leftmost of equals."""
@@ -68,7 +53,7 @@ class Transducer:
         while len(symbols) > 1:
             best, at = None, -1
             for i in range(len(symbols) - 1):
-                score = self.score.get(symbols[i] + symbols[i + 1])
+                score = self.scores.get(symbols[i] + symbols[i + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if best is None:
@@ -84,6 +69,72 @@ class Transducer:
             found = self.pairs[last, piece] = self.merged(last + piece) == [last, piece]
         return found
 
+
+class Transducer:
+    """pieces: id and weight by text; byte_arcs: id and weight by byte; follows: whether a piece has an arc after another, None if always."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_arcs: dict[int, tuple[int, float]], follows: Callable[[str, str], bool] | None = None):
+        self.pieces, self.byte_arcs, self.follows = pieces, byte_arcs, follows
+        self.normaliser = str.maketrans({" ": BLANK})
+        #: A state of the trie holds the next states by character and, under END, the piece that ends there and its weight.
+        self.trie: dict = {}
+        for piece, (_, weight) in pieces.items():
+            state = self.trie
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[END] = (piece, weight)
+        self.held = {x[i : i + 2] for x in pieces for i in range(len(x) - 1)}
+        most = max((i for i, _ in [*pieces.values(), *byte_arcs.values()]), default=0)
+        self.dtype = "<u2" if most < 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+        self.out = [b""] * (most + 1)
+        for piece, (i, _) in pieces.items():
+            self.out[i] = piece.replace(BLANK, " ").encode()
+        for b, (i, _) in byte_arcs.items():
+            self.out[i] = bytes([b])
+
+    def normalised(self, text: str) -> str:
+        return BLANK + text.translate(self.normaliser) if text else ""
+
+    def bytes_of(self, character: str) -> tuple[str, float]:
+        return character, sum(self.byte_arcs[b][1] for b in character.encode())
+
+    def shortest(self, text: str) -> list[str]:
+        """The pieces along the path of least weight; of equals, the one that begins with the longer arc.
+
+        back[position][memory] is the least weight of a path to that state, where its last arc began and what
+        the machine remembered there.
+        """
+        root, follows, n = self.trie, self.follows, len(text)
+        back: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
+        back[0][""] = (0.0, -1, "")
+        for at, here in enumerate(back):
+            if not here or at == n:
+                continue
+            state, arcs, i = root, [], at
+            while i < n and (state := state.get(text[i])) is not None:
+                i += 1
+                if (end := state.get(END)) is not None:
+                    arcs.append(end)
+            if not arcs or len(arcs[0][0]) > 1:
+                arcs.append(self.bytes_of(text[at]))
+            for last, (cost, _, _) in here.items():
+                for piece, weight in arcs:
+                    if not follows or not last or follows(last, piece):
+                        memory, there, total = piece if follows else "", back[at + len(piece)], cost + weight
+                        if memory not in there or total < there[memory][0]:
+                            there[memory] = (total, at, last)
+        memory, at, found = min(back[n], key=lambda m: back[n][m][0]), n, []
+        while at:
+            _, before, last = back[at][memory]
+            found.append(text[before:at])
+            at, memory = before, last
+        return found[::-1]
+
+    def ids_of(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
+        return [self.byte_arcs[b][0] for b in piece.encode()] if found is None else [found[0]]
+
     def cuts(self, part: str) -> list[str]:
         """The part cut between neighbours that no piece holds; no piece spans such a cut."""
         held, found, start = self.held, [], 0
@@ -93,44 +144,11 @@ class Transducer:
                 start = i
         return [*found, part[start:]]
 
-    def path(self, part: str) -> list[int]:
-        """The ids along the shortest path through a part.
-
-        Each position keeps the one state that a valid path can be in there, for a path's beginning is the
-        valid path of its own text.
-        """
-        if part in self.arcs or len(part) == 1:
-            return self.ids_of(part)
-        n, arcs, pairs, longest = len(part), self.arcs, self.pairs, self.longest
-        back: list[tuple[int, str] | None] = [None] * (n + 1)
-        back[0] = (-1, "")
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = part[start:end]
-                if (piece in arcs or start == end - 1) and (before := back[start]):
-                    fits = True
-                    if start:
-                        fits = pairs.get((before[1], piece))
-                        if fits is None:
-                            fits = self.may_follow(before[1], piece)
-                    if fits:
-                        back[end] = (start, piece)
-                        break
-        pieces, at = [], n
-        while at:
-            at, piece = back[at]
-            pieces.append(piece)
-        return [i for piece in reversed(pieces) for i in self.ids_of(piece)]
-
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [self.byte_ids[b] for b in piece.encode()] if i is None else [i]
-
     def look_up(self, part: str) -> bytes:
         found = b""
         for cut in self.cuts(part):
             if (ids := self.known.get(cut)) is None:
-                ids = np.asarray(self.path(cut), self.dtype).tobytes()
+                ids = np.asarray([i for piece in self.shortest(cut) for i in self.ids_of(piece)], self.dtype).tobytes()
                 if len(cut) <= KEEP_CHARS:
                     self.known[cut] = ids
             found += ids
@@ -138,12 +156,13 @@ class Transducer:
             self.known[part] = found
         return found
 
+    #: Parts that no piece spans, as blanks begin pieces and line breaks are none's.
+    parts = staticmethod(re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+").findall)
+
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
         if len(self.known) > KEEP:
             self.known.clear()
-        words = self.parts(BLANK + text.replace(" ", BLANK))
+        words = self.parts(self.normalised(text))
         get = self.known.get
         found = [get(w) for w in words]
         if None in found:
@@ -157,10 +176,27 @@ class Transducer:
         return raw.removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def transducer(path: str) -> Transducer:
-    """One per worker process and model."""
-    return Transducer(path)
+    """Compiled from a model file that merges pairs; one per worker process and model."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    size = model.get_piece_size()
+    text = [model.id_to_piece(i) for i in range(size)]
+    plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    byte_arcs = {int(text[i][3:5], 16): (i, -model.get_score(i)) for i in range(size) if model.is_byte(i)}
+    if len(byte_arcs) != 256 or any(BLANK in text[i].lstrip(BLANK) or "\n" in text[i] for i in plain):
+        raise ValueError("only models with byte fallback, whose pieces hold blanks at their start alone and no line break")
+    if model.normalize("a  ﬁ Å") != f"{BLANK}a{BLANK}{BLANK}ﬁ{BLANK}Å":
+        raise ValueError("only models that keep all characters and put a blank first")
+    merging = Merging({text[i]: model.get_score(i) for i in plain})
+    met = {text[i]: (i, -model.get_score(i)) for i in plain if merging.merged(text[i]) == [text[i]]}  # others are never met
+    compiled = Transducer(met, byte_arcs, merging.may_follow)
+    compiled.out += [b""] * (size - len(compiled.out))
+    for i in plain:  # any id can be decoded
+        compiled.out[i] = text[i].replace(BLANK, " ").encode()
+    return compiled
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
