@@ -108,6 +108,16 @@ def test_language_by_brute_force(spark):
     assert language.classify(documents(spark, []), model).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    import unicodedata
+
+    every = "".join(map(chr, range(0x110000)))
+    kept = set(language.letters(every)) - {" "}
+    assert kept == {c for c in every.lower() if unicodedata.category(c)[0] == "L"}
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(["½ ² ① Ⅷ", "٣ 42", "_"])])
+    assert {r["lang_pred"] for r in language.classify(docs, {"en": b"the garden"}).collect()} == {"und"}
+
+
 def plain_counts(text):
     import re
 

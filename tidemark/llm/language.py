@@ -8,7 +8,7 @@ The bounds of the sample keep a language's dictionary small at any input. Every
 are made for SLICE languages at a time, so a task's memory does not grow with the labels beyond their content.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where there
-is nothing to learn from; ties go to the language whose name sorts first; equal rows each keep theirs; an
+is nothing to learn from; ties go to the language whose name sorts first; equal rows each keep theirs; very long texts count whole; an
 empty table gives no rows; other columns are ignored. score is the winner's share under a softmax over
 total sizes. accepted is false where the runner-up comes within margin of the winner, and for `und`.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -30,7 +31,8 @@ from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, wi
 SAMPLE, SHARE = 160, 600
 CHUNK, LEVEL = 6000, 12
 SLICE = 64  # languages whose compressors are held at a time
-NON_LETTERS = re.compile(r"[\W\d_]+").sub
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())  # digits and the like are \w
+NON_LETTERS = re.compile(rf"[\W_{re.escape(NUMBERS)}]+").sub
 UNKNOWN = "und"
 
 

@@ -2,8 +2,8 @@
 
 A sentence's probability is a logistic function of its words' weights; a document's is the noisy-or of its
 sentences and of a constant term. Only document labels train it: learn() takes at most PER_CLASS labelled
-rows a class (smallest hashes first), finds among their words and word beginnings the FEATURES most
-associated with the label, and fits the weights by gradient descent on the noisy-or likelihood, weighting
+rows a class (smallest hashes first), finds among their words, word beginnings and word endings the FEATURES
+most associated with the label, and fits the weights by gradient descent on the noisy-or likelihood, weighting
 classes back to their share among all labelled rows. score() covers every whole text and returns the
 sentences at fault.
 
@@ -12,7 +12,9 @@ and FEATURES. Sampled rows train with their whole texts; of a sentence only its
 
 Defined results: a null or empty text has no sentence and gets the constant term's score; a document with
 several labels is toxic if one says so; null labels and labels without a document teach nothing; without
-toxic or without clean rows every score is the share of toxic rows (0 if none); equal rows each keep theirs.
+toxic or without clean rows every score is the share of toxic rows (0 if none); equal rows each keep theirs;
+very long texts are scored whole, sentence by sentence; an empty table gives no rows, and an empty one to
+learn from a score of 0; other columns are ignored, or carried in a struct where no name clashes.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, with_carried
 
 PER_CLASS, FEATURES = 4000, 2048
-BEGINNINGS = (4, 5, 6)
-LEAST_DOCS, LEAST_Z = 4, 4.0
+BEGINNINGS, ENDINGS = (3, 4, 5, 6), (4, 5, 6)
+LEAST_DOCS, LEAST_Z = 3, 3.0
 MEMO = 100_000  # words whose weights a task keeps
 
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*").finditer
@@ -38,8 +40,8 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def features(word: str) -> list[str]:
-    """The word and its beginnings, marked by a trailing hyphen."""
-    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
+    """The word, its beginnings and its endings, marked by hyphens."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n), *("-" + word[-n:] for n in ENDINGS if len(word) > n)]
 
 
 @dataclass(frozen=True)
@@ -98,12 +100,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                         count += 1
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic], pa.int32()), "sentences": pa.array([count], pa.int32()), "at": pa.array([at], pa.list_(pa.int32())), "hits": pa.array([hits], pa.list_(pa.int32()))})
 
-    bags = rows.mapInArrow(instances, "toxic int, sentences int, at array<int>, hits array<int>").toPandas()
-    bags = bags.assign(key=[(len(h), s, tuple(h)) for h, s in zip(bags["hits"], bags["sentences"])]).sort_values(["toxic", "key"])
+    bags = rows.mapInArrow(instances, "toxic int, sentences int, at array<int>, hits array<int>")
+    order = F.xxhash64("toxic", "sentences", "at", "hits")  # the sum's order, so that equal samples give equal weights
+    bags = bags.sort(order).toPandas()
     return fit(bags["toxic"].to_numpy(), bags["sentences"].to_numpy(), list(bags["at"]), list(bags["hits"]), names, {k: sizes[k] / n[k] for k in n})
 
 
-def fit(toxic: np.ndarray, sentences: np.ndarray, at: list, hits: list, names: list[str], weight: dict[int, float], steps: int = 300, rate: float = 0.05, ridge: float = 2e-3) -> Model:
+def fit(toxic: np.ndarray, sentences: np.ndarray, at: list, hits: list, names: list[str], weight: dict[int, float], steps: int = 600, rate: float = 0.08, ridge: float = 2e-3) -> Model:
     """Gradient descent (Adam) on the mean weighted log-likelihood of the noisy-or.
 
     Sentences without a chosen feature are all alike, so a document's are one term times their number.
