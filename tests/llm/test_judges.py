@@ -145,11 +145,29 @@ def test_quality_of_awkward_documents(spark):
 def test_hosts_that_mostly_fail_lose_all(spark):
     rows = [("bad", True)] * 90 + [("bad", False)] * 10 + [("good", False)] * 200 + [("ok", False)] * 150 + [("ok", True)] * 3 + [("tiny", True)]
     frame = spark.createDataFrame(rows, "source string, base_failed boolean")
-    got = {r["source"]: r for r in quality.host_verdicts(frame).collect()}
+    got = {r["source"]: r for r in quality.host_verdicts(frame, ["base"]).collect()}
     assert not got["bad"]["host_kept"] and got["good"]["host_kept"] and got["ok"]["host_kept"]
     assert 0 < got["good"]["rate"] < got["ok"]["rate"] < got["tiny"]["rate"] < 1  # shrunk towards the others
 
 
+def test_op5_drops_the_documents_of_bad_hosts(spark, tmp_path):
+    """Through the query, and as its SQL has it: hosts of short texts, of signs, of repeated lines; a small one is spared."""
+    words = [f"word{i}" for i in range(400)]
+    text = lambda i: " ".join(words[i : i + 30])
+    rows = [(i, text(i), None, "fine", 0) for i in range(200)]
+    rows += [(1000 + i, text(i) if i % 5 == 0 else "too short", None, "short", 0) for i in range(60)]
+    rows += [(2000 + i, text(i) + (" #$%&|<>*" * 5 if i % 4 else ""), None, "signs", 0) for i in range(60)]
+    rows += [(3000 + i, text(i) + ("\nread more" * 9 if i % 6 else ""), None, "lines", 0) for i in range(60)]
+    rows += [(4000, "too short", None, "tiny", 0), (4001, text(1), None, "tiny", 0), (4002, text(2), None, "tiny", 0), (5000, text(3), None, None, 0)]
+    folder = save(documents(spark, rows), tmp_path / "hosts")
+    got = QUERIES["op5_quality"](spark, folder)
+    same(got, duck(folder).execute(ORACLE_SQL["op5_quality"]).df())
+    kept = {r["doc_id"] for r in got.collect() if r["kept"]}
+    assert kept == {i for i, *_ in rows if i < 1000} | {4001, 4002, 5000}
+    rescued = [r for r in got.collect() if not r["base_failed"] and not r["kept"]]
+    assert {r["doc_id"] // 1000 for r in rescued} == {1, 2, 3}  # good texts that go with their host
+
+
 @pytest.mark.parametrize("name", ["op5_quality", "op8_topk", "op9_url_filters"])
 def test_same_as_sql(spark, small, name):
     same(QUERIES[name](spark, small), duck(small).execute(ORACLE_SQL[name]).df())

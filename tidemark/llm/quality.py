@@ -1,18 +1,21 @@
 """Operator 5: quality rules by document and by host.
 
-Each text gets counts and the base rules. Failures are summed by host (the column source), a beta prior is
-fitted to the hosts' rates by the method of moments, each rate is shrunk towards it, and hosts whose shrunk
-rate reaches max_rate lose their documents. Sums by host combine before the shuffle, so a host with a third
-of all rows costs no more than another. Host verdicts join back by equi-join; Spark broadcasts them only
-where it measures that they are small, and splits a hot host otherwise.
-
-Defined results: a null or empty text has no words and fails; null hosts are one host of their own; equal
-rows each keep theirs; an empty table gives no rows; other columns are ignored.
+Each text gets counts and the rules of RULES. A rule's failures are summed by host (the column source), a
+beta prior is fitted to the hosts' rates of that rule by the method of moments, each rate is shrunk towards
+it, and hosts where the shrunk rate of some rule reaches max_rate lose their documents: a text that fails the
+base rules goes by itself, one that fails the others goes with its host. A host of few documents is judged
+mostly by the prior. Sums by host combine before the shuffle, so a host with a third of all rows costs no
+more than another. Host verdicts join back by equi-join; Spark broadcasts them only where it measures that
+they are small, and splits a hot host otherwise.
+
+Defined results: a null or empty text has no words and fails the base rules alone; null hosts are one host of
+their own; equal rows each keep theirs; very long texts are counted whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,13 @@ from tidemark.llm.common import sliced, staged, text_or_empty
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
+#: What a host is judged by: the base rules, a tenth of the characters signs, a tenth as many repeated lines as words, words of odd length.
+RULES = {
+    "base": "n_words < 20 or 100 * n_repeat_words > 30 * n_words",
+    "signs": "10 * n_symbols > word_chars",
+    "lines": "10 * n_dup_lines > n_words",
+    "lengths": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
+}
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -58,7 +68,7 @@ def counts(text: str) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the counts and base_failed."""
+    """doc_id, source, the counts, and by rule whether it failed."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -68,31 +78,39 @@ def measured(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty())
     rows = rows.mapInArrow(measure, "doc_id long, source string, " + ", ".join(f"{k} long" for k in COUNTS))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
-
-
-def host_verdicts(rows: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """source, n, failures, rate (shrunk) and host_kept, from rows of source and base_failed."""
-    hosts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    raw = F.col("failures") / F.col("n")
-    m = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("n") * raw * raw).alias("squares"), F.count(F.lit(1)).alias("hosts")).first()
-    if not m["n"]:
-        alpha, beta = 1.0, 1.0
-    else:
-        mean = m["f"] / m["n"]
-        within = m["hosts"] * mean * (1 - mean) / m["n"]  # what chance alone spreads the rates
-        between = max(m["squares"] / m["n"] - mean * mean - within, 1e-6)
-        weight = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
-        alpha, beta = mean * weight, (1 - mean) * weight
-    rate = (F.col("failures") + alpha) / (F.col("n") + alpha + beta)
-    return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") < max_rate)
+    return rows.select("*", *(F.expr(rule).alias(f"{name}_failed") for name, rule in RULES.items()))
+
+
+def host_verdicts(rows: DataFrame, rules: Sequence[str] = tuple(RULES), max_rate: float = 0.5) -> DataFrame:
+    """source, n, and by rule failures and rate (shrunk); rate, the greatest, and host_kept. rows: source and by rule whether it failed."""
+    hosts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"{r}_failed").cast("long")).alias(f"{r}_failures") for r in rules))
+    sums = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")]
+    for r in rules:
+        f = F.col(f"{r}_failures")
+        sums += [F.sum(f).alias(r), F.sum(f * (f / F.col("n"))).alias(f"{r}_squares")]
+    m = hosts.agg(*sums).first()
+    rates = {}
+    for r in rules:
+        alpha, beta = prior(m["n"] or 0, m[r] or 0, m[f"{r}_squares"] or 0.0, m["hosts"])
+        rates[f"{r}_rate"] = (F.col(f"{r}_failures") + alpha) / (F.col("n") + alpha + beta)
+    hosts = hosts.withColumns(rates).withColumn("rate", F.greatest(*rates) if len(rates) > 1 else F.col(next(iter(rates))))
+    return hosts.withColumn("host_kept", F.col("rate") < max_rate)
+
+
+def prior(n: int, failures: int, squares: float, hosts: int) -> tuple[float, float]:
+    """The beta distribution whose mean and spread are those of the hosts' rates, weighted by size, less what chance alone spreads."""
+    if not n:
+        return 1.0, 1.0
+    mean = failures / n
+    between = max(squares / n - mean * mean - hosts * mean * (1 - mean) / n, 1e-6)
+    weight = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
+    return mean * weight, (1 - mean) * weight
 
 
 def judged(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """doc_id, source, the counts, base_failed, host_rate and kept."""
     rows = staged(measured(docs).withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "quality")
-    hosts = host_verdicts(rows, max_rate).select("source", F.col("rate").alias("host_rate"), "host_kept")
+    hosts = host_verdicts(rows, max_rate=max_rate).select("source", F.col("rate").alias("host_rate"), "host_kept")
     joined = rows.join(hosts, "source")
     source = F.when(F.col("source") != "", F.expr("substring(source, 2)"))
     return joined.select("doc_id", source.alias("source"), *COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))

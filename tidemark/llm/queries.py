@@ -102,15 +102,19 @@ m as (
          coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from d left join per using (r) left join dups using (r) left join covered using (r)
 ),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
-h as (select host, count(*) as n, sum(cast(base_failed as int)) as f from b group by host),
-s as (
-  select sum(f) / sum(n) as mean, sum(f * f / n) / sum(n) as squares, count(*) / sum(n) as spread from h
+b as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, 10 * n_symbols > word_chars as signs_failed,
+         10 * n_dup_lines > n_words as lines_failed, n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words) as lengths_failed
+  from m
 ),
-p as (select mean, least(greatest(mean * (1 - mean) / greatest(squares - mean * mean - spread * mean * (1 - mean), 1e-6) - 1, 1.0), 1e6) as weight from s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and (f + mean * weight) / (n + weight) < 0.5 as kept
-from b join h using (host), p
+failed as (unpivot (select host, cast(base_failed as int) as base, cast(signs_failed as int) as signs, cast(lines_failed as int) as lines, cast(lengths_failed as int) as lengths from b)
+           on base, signs, lines, lengths into name rule value failed),
+h as (select rule, host, count(*) as n, sum(failed) as f from failed group by rule, host),
+s as (select rule, sum(f) / sum(n) as mean, sum(f * f / n) / sum(n) as squares, count(*) / sum(n) as spread from h group by rule),
+p as (select rule, mean, least(greatest(mean * (1 - mean) / greatest(squares - mean * mean - spread * mean * (1 - mean), 1e-6) - 1, 1.0), 1e6) as weight from s),
+v as (select host, max((f + mean * weight) / (n + weight)) as rate from h join p using (rule) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate < 0.5 as kept
+from b join v using (host)
 """
 
 OP9_SQL = f"""
