@@ -11,8 +11,8 @@ Copies are one node: only distinct fingerprints enter the grid, so a group of ex
 Links are joined on cells, between distinct fingerprints; they become components by star contraction.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; null ids get a
-fingerprint, and the smallest id of their component if it has one; equal rows each keep theirs; an empty
-table gives no rows; other columns are ignored.
+fingerprint, and the smallest id of their component if it has one; equal rows each keep theirs; an very long texts
+count whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +42,14 @@ def shingles(text: str, size: int = SHINGLE) -> list[bytes]:
     return [raw[s:e] for s, e in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())]
 
 
-def fingerprint(text: str) -> int:
-    """As an unsigned integer."""
+def hashes_of(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Of all shingles, repeats included."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, SEED) for x in shingles(text)], "<u8")
+    return np.array([digest(x, SEED) for x in shingles(text, size)], "<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """As an unsigned integer."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), ROWS):
         bits = np.unpackbits(hashes[at : at + ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            found = np.array([fingerprint(hashes_of(t)) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())

@@ -33,7 +33,7 @@ from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, wi
 PER_CLASS, FEATURES = 4000, 2048
 BEGINNINGS, ENDINGS = (3, 4, 5, 6), (4, 5, 6)
 LEAST_DOCS, LEAST_Z = 3, 3.0
-MEMO = 100_000  # words whose weights a task keeps
+MEMO = 200_000  # words whose weights a task keeps
 
 SENTENCES = re.compile(r"[^.!?\n]+[.!?]*").finditer
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -142,12 +142,21 @@ def softplus(z: float) -> float:
 def score(docs: DataFrame, model: Model, offending: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, score, predicted, and the spans (start, end, probability) of sentences from offending on; with carry also carried, a struct of those columns."""
     weights, bias, plain = model.weights, model.bias, softplus(model.bias)
+    begins, ends = {f[:-1]: w for f, w in weights.items() if f[-1] == "-"}, {f[1:]: w for f, w in weights.items() if f[0] == "-"}
+    whole = {f: w for f, w in weights.items() if "-" not in f}
     memo: dict[str, float] = {}
 
     def weight(word: str) -> float:
         if len(memo) > MEMO:
             memo.clear()
-        memo[word] = w = sum(weights.get(f, 0.0) for f in features(word))
+        n, w = len(word), whole.get(word, 0.0)
+        for k in BEGINNINGS:
+            if n >= k:
+                w += begins.get(word[:k], 0.0)
+        for k in ENDINGS:
+            if n > k:
+                w += ends.get(word[-k:], 0.0)
+        memo[word] = w
         return w
 
     def judge(text: str) -> tuple[float, list]:
