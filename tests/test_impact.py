@@ -7,12 +7,13 @@ from tidemark.plans import queries as q
 
 @pytest.fixture(scope="module")
 def assets(spark):
-    return {s: lineage.cut(q.assets(spark, s)) for s in q.SCENARIOS}
+    every = lineage.cut(q.assets(spark))
+    return {s: every.where(every.drift == s) for s in q.SCENARIOS}
 
 
 @pytest.mark.parametrize("scenario, counts", [("rename", (3, 2, 7)), ("retype", (2, 3, 7)), ("drop", (2, 0, 10))])
 def test_buckets(assets, scenario, counts):
-    s = impact.stats(assets[scenario]).first()
+    s = impact.stats(assets[scenario], assets[scenario]).first()
     assert (s["requires_patch"], s["downstream_unaffected"], s["skipped"]) == counts
     assert s["total_scanned"] == 12 and s["max_hops_reached"] == 3
 
@@ -29,7 +30,7 @@ def test_reasons(assets):
 def test_a_hit_without_code_is_refused(spark):
     code = fx.code_lines(spark).where("asset <> 'fct_orders'")
     with pytest.raises(LookupError, match="fct_orders"):
-        impact.classify(code, fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), *q.start("rename"))
+        impact.classify(code, fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), q.starts(spark, "rename"))
 
 
 def test_control_column_reaches_a_strict_subset(spark):
@@ -40,18 +41,15 @@ def test_control_column_reaches_a_strict_subset(spark):
 
 
 def test_agreement(spark):
-    edges, at = fx.column_edges(spark), q.start("rename")
-    hits = lineage.column_impact(edges, *at)
-    nothing = hits.where("false")
-    assert lineage.agreement(edges, hits, *at) == "agreed"
-    assert lineage.agreement(edges, nothing, *at) == "missing"
-    assert lineage.agreement(edges, nothing, fx.urn("orders"), "currency_code") == "narrowed"
-    assert lineage.agreement(edges, nothing, fx.urn("mart_customer_ltv"), "country_code") == "refused"
+    rows = [("a", fx.urn("orders"), "order_placed_at"), ("b", fx.urn("orders"), "gross_amount"), ("c", fx.urn("orders"), "currency_code"), ("d", fx.urn("mart_customer_ltv"), "country_code")]
+    edges, begin = fx.column_edges(spark), lineage.starts(spark, rows)
+    hits = lineage.column_impact(edges, begin).where("drift <> 'b'")
+    assert dict(map(tuple, lineage.agreement(edges, hits, begin).collect())) == {"a": "agreed", "b": "missing", "c": "narrowed", "d": "refused"}
 
 
 def test_cycles_end(spark):
     loop = fx.local(spark, [("a", "X", "b", "y", "I"), ("b", "Y", "a", "x", "I"), ("b", "y", "c", "z", "I")], fx.EDGES)
-    assert sorted(map(tuple, lineage.closure(loop, "a", "x").collect())) == [("b", "y"), ("c", "z")]
+    assert sorted(map(tuple, lineage.closure(loop, lineage.starts(spark, [("d", "a", "x")])).collect())) == [("d", "b", "y"), ("d", "c", "z")]
 
 
 def test_column_references(spark):
@@ -110,3 +108,23 @@ def test_writebacks(spark):
     edges = fx.column_edges(spark)
     fixed = writeback.reconcile(edges, lineage.corrected(edges, "DROP", "order_placed_at"), fx.local(spark, [(fx.urn("stg_orders"),)], "urn string"))
     assert fixed.count() == 59
+
+
+def test_an_added_column_has_an_empty_report(spark):
+    got = {r["scenario"]: r for r in q.impact_stats(spark, "").collect()}
+    assert tuple(got["add"][c] for c in ("requires_patch", "downstream_unaffected", "skipped", "total_scanned", "max_hops_reached")) == (0,) * 5
+    assert set(got) == {*q.SCENARIOS, "add"}
+
+
+def test_shown_edges_have_both_ends(spark):
+    shown = {(r["up_urn"], r["down_urn"]) for r in q.shown_edges(spark, "").collect()}
+    assert shown == {(fx.urn("orders"), fx.urn("stg_orders")), (fx.urn("stg_orders"), fx.urn("fct_orders"))}
+
+
+def test_nested_lineage_of_several_columns(spark):
+    nested = spark.sql("""select 'd' as dataset_urn, array(
+        named_struct('operation', 'SUM', 'upstreams', array(named_struct('urn', 'a', 'path', 'x'), named_struct('urn', 'b', 'path', 'y')),
+            'downstreams', array(named_struct('urn', cast(null as string), 'path', 'p'), named_struct('urn', 'e', 'path', 'q'))),
+        named_struct('operation', 'NONE', 'upstreams', cast(array() as array<struct<urn:string,path:string>>), 'downstreams', array(named_struct('urn', cast(null as string), 'path', 'r')))) as lineage""")
+    got = sorted(map(tuple, lineage.flattened(nested).collect()))
+    assert got == [("a", "x", "d", "p", "SUM"), ("a", "x", "e", "q", "SUM"), ("b", "y", "d", "p", "SUM"), ("b", "y", "e", "q", "SUM")]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,88 +24,111 @@ def cut(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-def column_hops(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
-    """urn, path, hops, via: the columns downstream within max_hops, and one shortest path to each.
+def starts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """Where searches begin: drift, urn, path; one row for each drift. Any table of these columns will do."""
+    return spark.createDataFrame(rows, "drift string, urn string, path string").coalesce(1)
 
-    via lists the steps of the path that sorts first among the shortest.
+
+def column_hops(edges: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
+    """drift, urn, path, hops, via: the columns downstream of each start within max_hops, and one shortest path to each.
+
+    All drifts advance in the same joins. via lists the steps of the path that sorts first among the shortest.
     """
     step = F.struct("up_urn", "up_path", "down_urn", "down_path", "operation")
-    found = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"), F.lit(0).alias("hops")).withColumn("via", F.array().cast("array<struct<up_urn:string,up_path:string,down_urn:string,down_path:string,operation:string>>"))
+    none = F.array().cast("array<struct<up_urn:string,up_path:string,down_urn:string,down_path:string,operation:string>>")
+    found = begin.select("drift", "urn", "path", F.lit(0).alias("hops"), none.alias("via"))
     frontier = found
     for hop in range(1, max_hops + 1):
         ahead = frontier.join(edges, (F.col("urn") == F.col("up_urn")) & (F.col("path") == F.col("up_path")))
-        ahead = ahead.select(F.col("down_urn").alias("urn"), F.col("down_path").alias("path"), F.concat("via", F.array(step)).alias("via"))
-        ahead = ahead.groupBy("urn", "path").agg(F.min("via").alias("via")).withColumn("hops", F.lit(hop))
-        frontier = ahead.join(found.select("urn", "path"), ["urn", "path"], "left_anti")
+        ahead = ahead.select("drift", F.col("down_urn").alias("urn"), F.col("down_path").alias("path"), F.concat("via", F.array(step)).alias("via"))
+        ahead = ahead.groupBy("drift", "urn", "path").agg(F.min("via").alias("via")).withColumn("hops", F.lit(hop))
+        frontier = ahead.join(found.select("drift", "urn", "path"), ["drift", "urn", "path"], "left_anti")
         found = found.unionByName(frontier)
     return found.where("hops > 0")
 
 
-def column_impact(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
-    """urn, hops, matched_columns: the datasets downstream of a column, and all columns on the paths to each."""
-    hops = column_hops(edges, urn, column, max_hops).where(F.col("urn") != urn)
-    named = hops.select("urn", "hops", F.explode(F.concat(F.array("path"), F.transform("via", lambda v: v["up_path"]))).alias("name"))
-    return named.groupBy("urn").agg(F.min("hops").alias("hops"), F.sort_array(F.collect_set("name")).alias("matched_columns"))
+def beyond(hops: DataFrame, begin: DataFrame) -> DataFrame:
+    """Hops without those back to the start's own dataset."""
+    return hops.join(begin.select("drift", "urn"), ["drift", "urn"], "left_anti")
+
 
+def column_impact(edges: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
+    """drift, urn, hops, matched_columns: the datasets downstream of each start, and all columns on the paths to each."""
+    hops = beyond(column_hops(edges, begin, max_hops), begin)
+    named = hops.select("drift", "urn", "hops", F.explode(F.concat(F.array("path"), F.transform("via", lambda v: v["up_path"]))).alias("name"))
+    return named.groupBy("drift", "urn").agg(F.min("hops").alias("hops"), F.sort_array(F.collect_set("name")).alias("matched_columns"))
 
-def table_downstreams(table_edges: DataFrame, urn: str, max_hops: int = 3) -> DataFrame:
-    """urn, hops: datasets and jobs downstream of a table, through both."""
-    found = table_edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(0).alias("hops"))
+
+def table_downstreams(table_edges: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
+    """drift, urn, hops: datasets and jobs downstream of each start's table, through both."""
+    found = begin.select("drift", "urn", F.lit(0).alias("hops"))
     frontier = found
     for hop in range(1, max_hops + 1):
-        ahead = frontier.join(table_edges, F.col("urn") == F.col("up_urn")).select(F.col("down_urn").alias("urn")).distinct()
-        frontier = ahead.join(found, "urn", "left_anti").withColumn("hops", F.lit(hop))
+        ahead = frontier.join(table_edges, F.col("urn") == F.col("up_urn")).select("drift", F.col("down_urn").alias("urn")).distinct()
+        frontier = ahead.join(found, ["drift", "urn"], "left_anti").withColumn("hops", F.lit(hop))
         found = found.unionByName(frontier)
     return found.where("hops > 0")
 
 
-def closure(edges: DataFrame, urn: str, column: str) -> DataFrame:
-    """urn, path: everything downstream of a column, names without their case, however far."""
+def closure(edges: DataFrame, begin: DataFrame) -> DataFrame:
+    """drift, urn, path: everything downstream of each start, names without their case, however far."""
     low = lambda c: F.lower(F.col(c)).alias(c)
     edges = edges.select(low("up_urn"), low("up_path"), low("down_urn"), low("down_path"), F.col("down_urn").alias("as_is"), F.col("down_path").alias("path_as_is"))
-    start = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn.lower()).alias("k"), F.lit(column.lower()).alias("p"), F.lit(urn).alias("urn"), F.lit(column).alias("path"))
+    start = begin.select("drift", F.lower("urn").alias("k"), F.lower("path").alias("p"), "urn", "path")
     found = frontier = start
     while True:
-        ahead = frontier.select("k", "p").join(edges, (F.col("k") == F.col("up_urn")) & (F.col("p") == F.col("up_path")))
-        ahead = ahead.groupBy(F.col("down_urn").alias("k"), F.col("down_path").alias("p")).agg(F.min("as_is").alias("urn"), F.min("path_as_is").alias("path"))
-        frontier = cut(ahead.join(found, ["k", "p"], "left_anti"))
+        ahead = frontier.select("drift", "k", "p").join(edges, (F.col("k") == F.col("up_urn")) & (F.col("p") == F.col("up_path")))
+        ahead = ahead.groupBy("drift", F.col("down_urn").alias("k"), F.col("down_path").alias("p")).agg(F.min("as_is").alias("urn"), F.min("path_as_is").alias("path"))
+        frontier = cut(ahead.join(found, ["drift", "k", "p"], "left_anti"))
         if frontier.isEmpty():
-            return found.join(start, ["k", "p"], "left_anti").select("urn", "path")
+            return found.join(start, ["drift", "k", "p"], "left_anti").select("drift", "urn", "path")
         found = cut(found.unionByName(frontier))
 
 
-def shortest_paths(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
-    """urn, hops, via: one shortest path to each dataset; of equals the one whose steps sort first."""
-    hops = column_hops(edges, urn, column, max_hops).where(F.col("urn") != urn)
-    return hops.groupBy("urn").agg(F.min(F.struct("hops", "via")).alias("best")).select("urn", "best.hops", "best.via")
+def shortest_paths(edges: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
+    """drift, urn, hops, via: one shortest path to each dataset; of equals the one whose steps sort first."""
+    hops = beyond(column_hops(edges, begin, max_hops), begin)
+    return hops.groupBy("drift", "urn").agg(F.min(F.struct("hops", "via")).alias("best")).select("drift", "urn", "best.hops", "best.via")
 
 
-def graph_edges(edges: DataFrame, urn: str, column: str, max_hops: int = 3) -> DataFrame:
-    """Every edge out of the column or a column downstream of it, once."""
-    start = edges.sparkSession.range(0, 1, 1, 1).select(F.lit(urn).alias("urn"), F.lit(column).alias("path"))
-    seen = start.unionByName(column_hops(edges, urn, column, max_hops - 1).select("urn", "path"))
-    out = edges.join(seen, (F.col("up_urn") == F.col("urn")) & (F.col("up_path") == F.col("path"))).select(*edges.columns)
+def graph_edges(edges: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
+    """drift and every edge out of its start or a column downstream of it, once."""
+    seen = begin.select("drift", "urn", "path").unionByName(column_hops(edges, begin, max_hops - 1).select("drift", "urn", "path"))
+    out = edges.join(seen, (F.col("up_urn") == F.col("urn")) & (F.col("up_path") == F.col("path"))).select("drift", *edges.columns)
     # Of edges alike in all but their operation the last name stands.
-    return out.groupBy("up_urn", "up_path", "down_urn", "down_path").agg(F.max("operation").alias("operation"))
+    return out.groupBy("drift", "up_urn", "up_path", "down_urn", "down_path").agg(F.max("operation").alias("operation"))
 
 
 def has_outgoing(edges: DataFrame, urn: str) -> DataFrame:
     return edges.agg(F.coalesce(F.bool_or(F.col("up_urn") == urn), F.lit(False)).alias("has_edge"))
 
 
-def disagreement(edges: DataFrame, searched: DataFrame, urn: str, column: str) -> DataFrame:
-    """Datasets that the closure reaches and a search (a urn column) does not."""
-    expected = closure(edges, urn, column).select("urn").where(F.col("urn") != urn).distinct()
-    return expected.join(searched.select("urn").distinct(), "urn", "left_anti")
+def disagreement(edges: DataFrame, searched: DataFrame, begin: DataFrame) -> DataFrame:
+    """drift, urn: datasets that the closure reaches and a search (of columns drift and urn) does not."""
+    expected = beyond(closure(edges, begin), begin).select("drift", "urn").distinct()
+    return expected.join(searched.select("drift", "urn").distinct(), ["drift", "urn"], "left_anti")
+
 
+def agreement(edges: DataFrame, searched: DataFrame, begin: DataFrame) -> DataFrame:
+    """drift, verdict: agreed, narrowed (nothing is downstream of this column, though others have edges), refused or missing."""
+    missing = disagreement(edges, searched, begin).groupBy("drift").agg(F.lit(True).alias("missing"))
+    hit = searched.select("drift").distinct().withColumn("hit", F.lit(True))
+    out = edges.select(F.col("up_urn").alias("urn")).distinct().withColumn("out", F.lit(True))
+    rows = begin.join(missing, "drift", "left").join(hit, "drift", "left").join(out, "urn", "left")
+    verdict = F.when(F.col("missing"), "missing").when(F.col("hit"), "agreed").when(F.col("out"), "narrowed").otherwise("refused")
+    return rows.select("drift", verdict.alias("verdict"))
 
-def agreement(edges: DataFrame, searched: DataFrame, urn: str, column: str) -> str:
-    """agreed, narrowed (nothing is downstream of this column, though others have edges), refused or missing."""
-    if not disagreement(edges, searched, urn, column).isEmpty():
-        return "missing"
-    if not searched.isEmpty():
-        return "agreed"
-    return "narrowed" if has_outgoing(edges, urn).first()["has_edge"] else "refused"
+
+def flattened(nested: DataFrame) -> DataFrame:
+    """Column edges from nested lineage, a row for each pair: dataset_urn and lineage, an array of upstreams and downstreams
+    (arrays of urn and path; a downstream without urn is the dataset's own) with the operation between them.
+
+    A null or empty side makes no edge; pairs that repeat are one edge for each operation.
+    """
+    one = nested.select("dataset_urn", F.explode("lineage").alias("l")).select("dataset_urn", "l.operation", "l.downstreams", F.explode("l.upstreams").alias("up"))
+    pair = one.select("dataset_urn", "operation", "up", F.explode("downstreams").alias("down"))
+    down = F.coalesce("down.urn", "dataset_urn")
+    return pair.select(F.col("up.urn").alias("up_urn"), F.col("up.path").alias("up_path"), down.alias("down_urn"), F.col("down.path").alias("down_path"), "operation").distinct()
 
 
 def corrected(edges: DataFrame, kind: str, old: str, new: str | None = None) -> DataFrame:
@@ -128,8 +151,3 @@ def dangling(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """Edges whose upstream column no dataset declares."""
     known = columns.select(F.col("dataset_urn").alias("up_urn"), F.col("name").alias("up_path"))
     return edges.join(known, ["up_urn", "up_path"], "left_anti")
-
-
-def ordered(edges: DataFrame) -> DataFrame:
-    """Edges with the number of their step from each upstream, for listings."""
-    return edges.withColumn("n", F.row_number().over(Window.partitionBy("up_urn", "up_path").orderBy("down_urn", "down_path")))

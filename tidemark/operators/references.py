@@ -65,9 +65,9 @@ def matching(references: DataFrame, column: str) -> DataFrame:
     return references.where(F.lower("name") == column.lower())
 
 
-def locations(references: DataFrame) -> DataFrame:
-    """asset_urn, n_references, lines, located (as reports word it)."""
-    found = references.groupBy("asset_urn").agg(F.count(F.lit(1)).alias("n_references"), F.sort_array(F.collect_set("line")).alias("lines"))
+def locations(references: DataFrame, *by: str) -> DataFrame:
+    """by (asset_urn alone if not given), n_references, lines, located (as reports word it)."""
+    found = references.groupBy(*(by or ("asset_urn",))).agg(F.count(F.lit(1)).alias("n_references"), F.sort_array(F.collect_set("line")).alias("lines"))
     times: Column = F.when(F.col("n_references") == 1, "once").otherwise(F.concat(F.col("n_references").cast("string"), F.lit(" times")))
     label = F.when(F.size("lines") == 1, " on line ").otherwise(" on lines ")
     return found.withColumn("located", F.concat(times, label, F.array_join(F.col("lines").cast("array<string>"), ", ")))

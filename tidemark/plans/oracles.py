@@ -35,17 +35,26 @@ FCT_ORDERS = f"""select o.order_id, o.customer_id, cast(o.order_placed_at as dat
   from ({STG_ORDERS}) o left join (select order_id, count(*) as item_count from ({STG_ITEMS}) group by order_id) i using (order_id)"""
 
 
-def reach(column: str, hops: int = 3) -> str:
-    return f"""with recursive e as (select * from {EDGES}),
-reach(urn, path, hops, names, steps) as (
-  select '{ORDERS}', '{column}', 0, ['{column}'], cast([] as varchar[])
+#: Where the three simulated changes begin, and the control column beside the renamed one.
+STARTS = [("rename", ORDERS, "order_placed_at"), ("retype", ORDERS, "gross_amount"), ("drop", CUSTOMERS, "marketing_opt_in")]
+CONTROL = [("order_placed_at", ORDERS, "order_placed_at"), ("order_status", ORDERS, "order_status")]
+
+
+def reach(hops: int = 3, starts: list[tuple[str, str, str]] = STARTS) -> str:
+    return f"""with recursive e as (select * from {EDGES}), begin as (select * from {fx.values(starts, 'drift, urn, path')}),
+reach(drift, urn, path, hops, names, steps) as (
+  select drift, urn, path, 0, [path], cast([] as varchar[]) from begin
   union all
-  select e.down_urn, e.down_path, r.hops + 1, list_append(r.names, e.down_path),
+  select r.drift, e.down_urn, e.down_path, r.hops + 1, list_append(r.names, e.down_path),
     list_append(r.steps, {short('e.up_urn')} || '.' || e.up_path || '>' || {short('e.down_urn')} || '.' || e.down_path)
   from reach r join e on r.urn = e.up_urn and r.path = e.up_path where r.hops < {hops}
 )"""
 
 
+def day_of(doc_id: str) -> str:
+    return f"timestamp '2025-01-01' - to_days(cast({doc_id} % 730 as integer))"
+
+
 def short(urn: str) -> str:
     """The last part of a dataset's or a job's name."""
     return f"coalesce(nullif(regexp_extract({urn}, 'dataPlatform:[^,]+,(?:[^,]*\\.)?([^,.]+),', 1), ''), nullif(regexp_extract({urn}, ',([^,()]+)\\)$', 1), ''), {urn})"
@@ -89,10 +98,26 @@ def repeats(dataset: str, column: str, sql: str) -> str:
     return f"select '{column}' as \"column\", count(*) as failures, '{dataset}' as dataset from (select {column} from ({sql}) where {column} is not null group by 1 having count(*) > 1)"
 
 
-RAW_ORDERS = "select o_orderkey as order_id, o_custkey as customer_id, o_orderdate as order_placed_at, o_orderstatus as order_status, o_totalprice as gross_amount, null as currency_code from orders"
+RAW_SQL = {
+    "orders": "select o_orderkey as order_id, o_custkey as customer_id, o_orderdate as order_placed_at, o_orderstatus as order_status, o_totalprice as gross_amount, null as discount_amount, null as currency_code from orders",
+    "customers": STG_CUSTOMERS,
+    "order_items": STG_ITEMS,
+    "products": STG_PRODUCTS,
+    "web_events": "select event_id, user_id as session_id, user_id as customer_id, event_type, ts as event_at, props as page_url from events",
+}
 LTV = f"""select c.customer_id, c.country_code, count(o.order_id) as lifetime_orders, coalesce(sum(o.net_revenue), 0) as lifetime_revenue, min(o.order_date) as first_order_date
 from ({STG_CUSTOMERS}) c left join ({FCT_ORDERS}) o on c.customer_id = o.customer_id group by c.customer_id, c.country_code"""
 
+DAILY = f"select order_date, count(*) as order_count, sum(net_revenue) as gross_revenue from ({FCT_ORDERS}) group by order_date"
+PERFORMANCE = f"""select p.product_id, p.sku, p.category, coalesce(sum(i.quantity), 0) as units_sold, coalesce(sum(i.line_total), 0) as revenue
+from ({STG_PRODUCTS}) p left join ({STG_ITEMS}) i on p.product_id = i.product_id group by 1, 2, 3"""
+DIM_CUSTOMERS = f"select customer_id, email, full_name, signup_date, country_code, coalesce(marketing_opt_in, false) as is_marketable from ({STG_CUSTOMERS})"
+#: Every dataset of the workload as SQL over the given tables.
+DATASETS = RAW_SQL | {
+    "stg_orders": STG_ORDERS, "stg_customers": STG_CUSTOMERS, "stg_order_items": STG_ITEMS, "stg_products": STG_PRODUCTS, "stg_web_events": RAW_SQL["web_events"],
+    "fct_orders": FCT_ORDERS, "dim_customers": DIM_CUSTOMERS, "dim_products": STG_PRODUCTS, "mart_daily_revenue": DAILY, "mart_customer_ltv": LTV, "mart_product_performance": PERFORMANCE,
+}
+
 ORACLES = {
     "stg_orders": as_double(STG_ORDERS, "gross_amount net_amount"),
     "stg_customers": STG_CUSTOMERS,
@@ -114,7 +139,9 @@ from ({STG_PRODUCTS}) p left join ({STG_ITEMS}) i on p.product_id = i.product_id
     "scan_orders": "select * from orders",
     "catalog_columns": f"select * from {COLS}",
     "list_namespace": f"select distinct {name_of('dataset_urn')} as name from {COLS} where starts_with({name_of('dataset_urn')}, 'shop_prod.analytics.')",
-    "captured_queries": "select doc_id, length(text) as chars from (select text, max(doc_id) as doc_id from documents where regexp_matches(text, '(?i)\\bthe\\b') group by text) order by doc_id desc limit 3",
+    "captured_queries": f"""with u as (select text, {day_of('doc_id')} as used_at from documents where regexp_matches(text, '(?i)\\bthe\\b')),
+latest as (select text, max(used_at) as used_at from u where used_at >= timestamp '2025-01-01' - interval 365 days group by text)
+select used_at, length(text) as chars, md5(text) as digest from latest order by used_at desc, md5(text) limit 3""",
     "drift_retype": RETYPED,
     "drift_removed": GONE,
     "drift_added": COME,
@@ -133,27 +160,26 @@ from (
     "schema_diff_rows": f"select dataset_urn, name, o.native_type as old_type, n.native_type as new_type from (select * from {COLS}) o full join {ALL} n using (dataset_urn, name)",
     "column_edges": f"select * from {EDGES}",
     "table_edges": f"select distinct * from {TABLE_EDGES}",
-    "column_impact": f"""{reach('gross_amount')}, first as (select urn, path, min(hops) as h from reach group by all),
-best as (select r.urn, r.hops, r.path, r.names, row_number() over (partition by r.urn, r.path order by r.steps) as k from reach r join first f on r.urn = f.urn and r.path = f.path and r.hops = f.h where r.hops > 0)
-select urn, cast(min(hops) as int) as hops, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') as matched_columns from best where k = 1 group by urn""",
-    "table_downstreams": f"""with recursive e as (select * from {TABLE_EDGES}), reach(urn, hops) as (
-  select '{ORDERS}', 0 union select e.down_urn, r.hops + 1 from reach r join e on r.urn = e.up_urn where r.hops < 3)
-select urn, cast(min(hops) as int) as hops from reach where urn <> '{ORDERS}' group by urn""",
-    "lineage_closure": f"{reach('gross_amount', 20)} select distinct urn, path from reach where hops > 0",
-    "lineage_paths": f"""{reach('gross_amount')}, best as (select urn, hops, steps, row_number() over (partition by urn order by hops, steps) as k from reach where hops > 0)
-select urn, cast(hops as int) as hops, array_to_string(steps, ' ') as steps from best where k = 1""",
-    "graph_edges": f"{reach('gross_amount', 2)} select distinct e.* from e join reach r on e.up_urn = r.urn and e.up_path = r.path",
+    "column_impact": f"""{reach()}, first as (select drift, urn, path, min(hops) as h from reach group by all),
+best as (select r.drift, r.urn, r.hops, r.path, r.names, row_number() over (partition by r.drift, r.urn, r.path order by r.steps) as k from reach r join first f on r.drift = f.drift and r.urn = f.urn and r.path = f.path and r.hops = f.h where r.hops > 0)
+select drift, urn, cast(min(hops) as int) as hops, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') as matched_columns from best where k = 1 group by drift, urn""",
+    "table_downstreams": f"""with recursive e as (select * from {TABLE_EDGES}), begin as (select * from {fx.values(STARTS, 'drift, urn, path')}), reach(drift, urn, hops) as (
+  select drift, urn, 0 from begin union select r.drift, e.down_urn, r.hops + 1 from reach r join e on r.urn = e.up_urn where r.hops < 3)
+select drift, urn, cast(min(hops) as int) as hops from reach where (drift, urn) not in (select (drift, urn) from begin) group by drift, urn""",
+    "lineage_closure": f"{reach(20)} select distinct drift, urn, path from reach where hops > 0",
+    "lineage_paths": f"""{reach()}, best as (select drift, urn, hops, steps, row_number() over (partition by drift, urn order by hops, steps) as k from reach where hops > 0)
+select drift, urn, cast(hops as int) as hops, array_to_string(steps, ' ') as steps from best where k = 1""",
+    "graph_edges": f"{reach(2)} select distinct r.drift, e.* from e join reach r on e.up_urn = r.urn and e.up_path = r.path",
     "has_outgoing_edge": f"select count(*) > 0 as has_edge from {EDGES} where up_urn = '{fx.urn('mart_customer_ltv')}'",
-    "lineage_disagreement": f"{reach('order_placed_at', 20)} select distinct urn from reach where hops > 1 and urn not in (select urn from reach where hops = 1)",
-    "lineage_control": f"""select urn, 'order_placed_at' as reached_by from ({reach('order_placed_at', 20)} select distinct urn from reach where hops > 0)
-union all select urn, 'order_status' from ({reach('order_status', 20)} select distinct urn from reach where hops > 0)""",
+    "lineage_disagreement": f"{reach(20)} select distinct drift, urn from reach where hops > 1 and (drift, urn) not in (select (drift, urn) from reach where hops = 1)",
+    "lineage_control": f"{reach(20, CONTROL)} select distinct urn, drift as reached_by from reach where hops > 0",
     "corrected_edges": f"select up_urn, replace(up_path, 'order_placed_at', 'order_created_at') as up_path, down_urn, replace(down_path, 'order_placed_at', 'order_created_at') as down_path, operation from {EDGES}",
     "documentation_targets": f"select down_urn as urn, coalesce(max(case when down_path = 'order_placed_at' then down_path end), min(down_path)) as \"column\" from {EDGES} where up_path = 'order_placed_at' group by 1",
     "dangling_edges": f"select * from {EDGES} where (up_urn, up_path) not in (select (dataset_urn, name) from {changed('rename')})",
     "consumed_evidence": f"""select down_urn as urn, string_agg('`' || source || '` columns {{' || names || '}}', '; ' order by source) as consumed
 from (select down_urn, {short('up_urn')} as source, array_to_string(list_sort(list(distinct up_path)), ', ') as names from {EDGES} group by 1, 2) group by 1""",
-    "dq_not_null": " union all ".join([nulls("orders", RAW_ORDERS), nulls("order_items", STG_ITEMS), nulls("customers", STG_CUSTOMERS), nulls("fct_orders", FCT_ORDERS), nulls("mart_customer_ltv", LTV)]),
-    "dq_unique": " union all ".join([repeats("orders", "order_id", RAW_ORDERS), repeats("order_items", "order_item_id", STG_ITEMS), repeats("products", "sku", STG_PRODUCTS), repeats("fct_orders", "customer_id", FCT_ORDERS)]),
+    "dq_not_null": " union all ".join(nulls(d, sql) for d, sql in DATASETS.items()),
+    "dq_unique": " union all ".join(repeats(d, c, DATASETS[d]) for d, c, test in fx.test_rows() if test == "unique"),
     "writeback_summary": """select event_type as kind, cast(user_id % 20 as varchar) as target, bool_and(value >= 1) as ok, count(*) filter (where value < 1) as failed,
 string_agg('event ' || event_id, '; ' order by event_id) filter (where value < 1) as error from events group by 1, 2""",
     "run_events": f"select cast(user_id as varchar) as run_id, row_number() over (partition by user_id order by ts, event_id) as seq, {PHASE} as phase, event_id from events",

@@ -68,10 +68,12 @@ def list_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captured_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' texts stand in for captured queries; the most recent ids that say a word."""
+    """The documents' texts stand in for captured queries, each used on a day told by its id: the last of a year that say a word."""
     docs = parquet(spark, sf_dir, "documents")
-    found = docs.where(F.col("text").rlike(r"(?i)\bthe\b")).groupBy("text").agg(F.max("doc_id").alias("doc_id"))
-    return found.orderBy(F.desc("doc_id")).limit(3).select("doc_id", F.length("text").cast("long").alias("chars"))
+    day = F.timestamp_add("DAY", -(F.col("doc_id") % 730).cast("int"), F.lit("2025-01-01").cast("timestamp_ntz"))
+    usage = docs.select(F.col("text").alias("query"), day.alias("used_at"))
+    found = impact.captured_queries(usage, "the", F.lit("2025-01-01").cast("timestamp_ntz"))
+    return found.select("used_at", F.length("query").cast("long").alias("chars"), F.md5("query").alias("digest"))
 
 
 def drift_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,31 +131,32 @@ def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table_edges(spark).distinct()
 
 
-def start(scenario: str) -> tuple[str, str]:
-    return fx.urn(SCENARIOS[scenario][1]), SCENARIOS[scenario][2]
+def starts(spark: SparkSession, *scenarios: str) -> DataFrame:
+    """Where the named scenarios' searches begin; all scenarios if none is named."""
+    return fx.local(spark, [(s, fx.urn(SCENARIOS[s][1]), SCENARIOS[s][2]) for s in scenarios or SCENARIOS], "drift string, urn string, path string")
 
 
 def column_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lineage.column_impact(fx.column_edges(spark), *start("retype"))
-    return found.select("urn", "hops", F.array_join("matched_columns", ",").alias("matched_columns"))
+    found = lineage.column_impact(fx.column_edges(spark), starts(spark))
+    return found.select("drift", "urn", "hops", F.array_join("matched_columns", ",").alias("matched_columns"))
 
 
 def table_downstreams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.table_downstreams(fx.table_edges(spark), fx.urn("orders"))
+    return lineage.table_downstreams(fx.table_edges(spark), starts(spark))
 
 
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.closure(fx.column_edges(spark), *start("retype"))
+    return lineage.closure(fx.column_edges(spark), starts(spark))
 
 
 def lineage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lineage.shortest_paths(fx.column_edges(spark), *start("retype"))
+    found = lineage.shortest_paths(fx.column_edges(spark), starts(spark))
     step = lambda v: F.concat(asset_name(v["up_urn"]), F.lit("."), v["up_path"], F.lit(">"), asset_name(v["down_urn"]), F.lit("."), v["down_path"])
-    return found.select("urn", "hops", F.array_join(F.transform("via", step), " ").alias("steps"))
+    return found.select("drift", "urn", "hops", F.array_join(F.transform("via", step), " ").alias("steps"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.graph_edges(fx.column_edges(spark), *start("retype"))
+    return lineage.graph_edges(fx.column_edges(spark), starts(spark))
 
 
 def has_outgoing_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +165,24 @@ def has_outgoing_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search of one hop misses of the closure."""
-    edges = fx.column_edges(spark)
-    return lineage.disagreement(edges, lineage.column_impact(edges, *start("rename"), max_hops=1), *start("rename"))
+    edges, begin = fx.column_edges(spark), starts(spark)
+    return lineage.disagreement(edges, lineage.column_impact(edges, begin, max_hops=1), begin)
 
 
 def lineage_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The control column reaches a strict subset of what the drifted one reaches."""
-    edges = fx.column_edges(spark)
-    target, control = (lineage.closure(edges, fx.urn("orders"), c).select("urn").distinct().withColumn("reached_by", F.lit(c)) for c in ("order_placed_at", "order_status"))
-    return target.unionByName(control)
+    begin = fx.local(spark, [(c, fx.urn("orders"), c) for c in ("order_placed_at", "order_status")], "drift string, urn string, path string")
+    return lineage.closure(fx.column_edges(spark), begin).select("urn", F.col("drift").alias("reached_by")).distinct()
+
+
+def nested_lineage(spark: SparkSession) -> DataFrame:
+    """The column edges as catalogs hold them: by dataset, an array of entries with arrays of upstreams and downstreams."""
+    edge = F.struct("operation", F.array(F.struct(F.col("up_urn").alias("urn"), F.col("up_path").alias("path"))).alias("upstreams"), F.array(F.struct(F.lit(None).cast("string").alias("urn"), F.col("down_path").alias("path"))).alias("downstreams"))
+    return fx.column_edges(spark).groupBy(F.col("down_urn").alias("dataset_urn")).agg(F.collect_list(edge).alias("lineage"))
+
+
+def flattened_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.flattened(nested_lineage(spark))
 
 
 def corrected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,29 +199,29 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dangling(fx.column_edges(spark), live_catalog(spark, "rename"))
 
 
-def assets(spark: SparkSession, scenario: str) -> DataFrame:
-    return impact.classify(fx.code_lines(spark), fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), *start(scenario))
+def assets(spark: SparkSession, *scenarios: str) -> DataFrame:
+    return impact.classify(fx.code_lines(spark), fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), starts(spark, *scenarios))
 
 
 def impact_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = None
-    for s in SCENARIOS:
-        one = assets(spark, s).select(F.lit(s).alias("scenario"), "asset", "bucket", "hops")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return assets(spark).select(F.col("drift").alias("scenario"), "asset", "bucket", "hops")
 
 
 def impact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = None
-    for s in SCENARIOS:
-        one = impact.stats(assets(spark, s)).withColumn("scenario", F.lit(s))
-        found = one if found is None else found.unionByName(one)
-    return found
+    """With a drift that adds a column, whose report is empty."""
+    added = fx.local(spark, [("add", fx.urn("orders"), None)], "drift string, urn string, path string")
+    return impact.stats(assets(spark), starts(spark).unionByName(added)).withColumnRenamed("drift", "scenario")
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = impact.graph_nodes(assets(spark, "rename"), *start("rename"))
-    return nodes.select("urn", "name", "bucket", "hops", F.array_join("columns", ",").alias("columns"))
+    nodes = impact.graph_nodes(assets(spark), starts(spark))
+    return nodes.select(F.col("drift").alias("scenario"), "urn", "name", "bucket", "hops", F.array_join("columns", ",").alias("columns"))
+
+
+def shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of a scenario's graph when only what needs a patch is shown."""
+    nodes = impact.graph_nodes(assets(spark, "rename"), starts(spark, "rename"))
+    return impact.visible_edges(lineage.graph_edges(fx.column_edges(spark), starts(spark, "rename")).drop("drift"), nodes, ["REQUIRES_PATCH"])
 
 
 def consumed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,9 +280,9 @@ def repair_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures of the not-null tests on the mapped raw tables and marts."""
+    """Failures of every declared not-null test, each dataset scanned once."""
     found = None
-    for d in ("orders", "order_items", "customers", "fct_orders", "mart_customer_ltv"):
+    for d in fx.definitions():
         columns = [c for t, c, test in fx.test_rows() if t == d and test == "not_null"]
         one = dq.not_null(build(spark, sf_dir, d), columns).withColumn("dataset", F.lit(d))
         found = one if found is None else found.unionByName(one)
@@ -278,10 +290,12 @@ def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of every declared unique test."""
     found = None
-    for d, c in (("orders", "order_id"), ("order_items", "order_item_id"), ("products", "sku"), ("fct_orders", "customer_id")):
-        one = dq.unique(build(spark, sf_dir, d), c).withColumn("dataset", F.lit(d))
-        found = one if found is None else found.unionByName(one)
+    for d, c, test in fx.test_rows():
+        if test == "unique":
+            one = dq.unique(build(spark, sf_dir, d), c).withColumn("dataset", F.lit(d))
+            found = one if found is None else found.unionByName(one)
     return found
 
 
@@ -322,7 +336,7 @@ QUERIES: dict[str, Query] = {name: model_query(name) for name in [*MODELS, *EXTR
     for f in (
         scan_orders, catalog_columns, list_namespace, captured_queries, drift_retype, drift_removed, drift_added, rename_candidates,
         drift_rename_fast, drift_rename_greedy, drift_drop, drift_add, drift_events, schema_diff_rows, column_edges, table_edges,
-        column_impact, table_downstreams, lineage_closure, lineage_paths, graph_edges, has_outgoing_edge, lineage_disagreement,
+        column_impact, table_downstreams, lineage_closure, lineage_paths, graph_edges, shown_edges, flattened_edges, has_outgoing_edge, lineage_disagreement,
         lineage_control, corrected_edges, documentation_targets, dangling_edges, impact_assets, impact_stats, graph_nodes,
         consumed_evidence, reference_locations, reference_checks, validation_summary, validation_gate, repair_patches,
         dq_not_null, dq_unique, catalog_consistency, writeback_summary, run_events, completed_stages,
