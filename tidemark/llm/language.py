@@ -31,13 +31,14 @@ from tidemark.llm.common import carried, carried_of, sliced, staged, thinned, wi
 SAMPLE, SHARE = 160, 600
 CHUNK, LEVEL = 6000, 12
 SLICE = 64  # languages whose compressors are held at a time
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())  # digits and the like are \w
-NON_LETTERS = re.compile(rf"[\W_{re.escape(NUMBERS)}]+").sub
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())  # word characters, as letters are
+NON_WORDS, NON_LETTERS = re.compile(r"[\W\d_]+").sub, re.compile(f"[ {re.escape(NUMBERS)}]+").sub
 UNKNOWN = "und"
 
 
 def letters(text: str) -> str:
-    return NON_LETTERS(" ", text.lower()).strip()
+    kept = NON_WORDS(" ", text.lower()).strip()
+    return kept if kept.replace(" ", "").isalpha() else NON_LETTERS(" ", kept).strip()  # few texts hold such numbers
 
 
 def share_of(text: str, h: int) -> str:
