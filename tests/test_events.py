@@ -33,3 +33,12 @@ def test_phases(spark):
     tools = ["detect_drift", "search_x", "generate", "drop_col", "validate_all", "open_pr", "write_tags", "other"]
     got = fx.local(spark, [(i, t) for i, t in enumerate(tools)], "i int, t string").orderBy("i").select(events.phase_of(F.col("t"))).collect()
     assert [r[0] for r in got] == ["detect", "impact", "codegen", "codegen", "validate", "pr", "writeback", "impact"]
+
+
+def test_saved_runs_skip_what_cannot_be_read(spark, tmp_path):
+    from tidemark.streaming import events
+
+    (tmp_path / "runs.json").write_text('{"run_id": "a", "started_at": 2}\n{"run_id": "b", "started_at": 3}\nnot json\n')
+    good, bad = events.load_runs(spark, str(tmp_path / "runs.json"), "run_id string, started_at long")
+    assert [r["run_id"] for r in events.newest_first(good).collect()] == ["b", "a"]
+    assert [r["line"] for r in bad.collect()] == ["not json"]

@@ -128,3 +128,50 @@ def test_nested_lineage_of_several_columns(spark):
         named_struct('operation', 'NONE', 'upstreams', cast(array() as array<struct<urn:string,path:string>>), 'downstreams', array(named_struct('urn', cast(null as string), 'path', 'r')))) as lineage""")
     got = sorted(map(tuple, lineage.flattened(nested).collect()))
     assert got == [("a", "x", "d", "p", "SUM"), ("a", "x", "e", "q", "SUM"), ("b", "y", "d", "p", "SUM"), ("b", "y", "e", "q", "SUM")]
+
+
+def code_of(spark, *lines):
+    return fx.local(spark, [("u", "a", "sql", i, t) for i, t in enumerate(lines, 1)], fx.CODE), fx.local(spark, [("u",)], "asset_urn string")
+
+
+def test_repairs_spare_literals_comments_and_longer_names(spark):
+    code, patch = code_of(spark, "select o.placed_at, PLACED_AT as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at", "from t o", "order by placed_at desc limit 5")
+    got = [r["text"] for r in repair.rename(code, patch, "placed_at", "made_at").orderBy("line").collect()]
+    assert got == ["select o.made_at, MADE_AT as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at", "from t o", "order by made_at desc limit 5"]
+    got = [r["text"] for r in repair.retype(code, patch, "placed_at", "DATE").orderBy("line").collect()]
+    assert got[0] == "select CAST(o.placed_at AS DATE), CAST(PLACED_AT AS DATE) as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at"
+    bare, _ = code_of(spark, "select", "    o.placed_at,", "    id", "from t o")
+    got = [r["text"] for r in repair.retype(bare, patch, "placed_at", "DATE").orderBy("line").collect()]
+    assert got[1] == "    CAST(o.placed_at AS DATE) AS placed_at,"
+
+
+def test_analysis_names_what_is_missing(spark):
+    from tidemark.operators import analysis
+
+    code = fx.local(spark, [("u", "a", "sql", 1, "select sum(x) over (partition by y) from {t} where nope in (1, 2)"), ("u", "b", "sql", 1, "select * from {gone}"), ("u", "c", "sql", 1, "select from from")], fx.CODE)
+    columns = fx.local(spark, [("t", 1, "x", "NUMBER(12,2)"), ("t", 2, "y", "VARCHAR(9)")], "dataset_urn string, ordinal int, name string, native_type string")
+    inputs = fx.local(spark, [("t", "t")], "input string, dataset_urn string")
+    got = {r["asset"]: r for r in analysis.analysed(spark, code, columns, inputs, ["a", "b", "c"]).collect()}
+    assert (got["a"]["ok"], got["a"]["object"]) == (False, "nope") and got["a"]["condition"].startswith("UNRESOLVED_COLUMN")
+    assert got["b"]["object"] == "gone" and not got["c"]["ok"]
+
+
+def test_snapshots(spark, tmp_path):
+    from tidemark.operators import drift, snapshot
+
+    with pytest.raises(FileNotFoundError, match="baseline"):
+        snapshot.load(spark, str(tmp_path / "none"))
+    snapshot.save(fx.catalog_columns(spark), str(tmp_path / "base"))
+    events = drift.detect(snapshot.load(spark, str(tmp_path / "base")), q.live_catalog(spark, "rename"))
+    assert [r["id"] for r in events.collect()] == ["rename-orders-order_placed_at"]
+    assert snapshot.live_columns(spark, {"x": None}).count() == 0
+
+
+def test_other_writebacks(spark):
+    columns = fx.local(spark, [("d", "a", "old"), ("d", "b", None)], "dataset_urn string, name string, description string")
+    notes = fx.local(spark, [("d", "b", "new")], "dataset_urn string, name string, description string")
+    assert sorted(map(tuple, writeback.document(columns, notes).collect())) == [("d", "a", "old"), ("d", "b", "new")]
+    tags = fx.local(spark, [("d", "a", "t")], "urn string, field string, tag string")
+    assert writeback.tag(tags, tags.union(fx.local(spark, [("d", "b", "t")], "urn string, field string, tag string"))).count() == 2
+    known, added = (fx.local(spark, r, "urn string, url string, label string") for r in ([("d", "http://x", "first")], [("d", "http://x", "second"), ("d", "http://y", "other")]))
+    assert sorted(map(tuple, writeback.links(known, added).collect())) == [("d", "http://x", "first"), ("d", "http://y", "other")]

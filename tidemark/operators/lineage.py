@@ -12,16 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint, where the session has a folder for that."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str | None:
+    """A new path in the folder that driver and executors share; None in a local session that names none."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
-        path = f"{path.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    if not spark.sparkContext.master.startswith("local["):
+        return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return df.cache()
+    return None
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a written table; in a local session without a folder for that, cached."""
+    spark = df.sparkSession
+    if not (path := shared_path(spark, "frontier")):
+        return df.cache()
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def starts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

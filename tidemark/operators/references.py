@@ -3,7 +3,8 @@
 Code is rows of asset, line and text. Lines become rows of words, and a word is a column reference unless its
 neighbours say otherwise: it names a table after from or join or an alias of one, qualifies another word,
 is called, follows `as`, or is one of the workload's keywords. Windows over each asset look at neighbours,
-so assets spread over the cluster and no text is parsed as a whole.
+so assets spread over the cluster and no text is parsed as a whole. This grammar is narrow on purpose, that
+of the workload; what else a statement holds, Spark's own analysis judges (operators.analysis).
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of the workload's SQL that are never columns.
-KEYWORDS = ["select", "from", "where", "group", "by", "left", "join", "on", "as", "with", "and", "or", "not", "is", "null", "false", "true", "case", "when", "then", "else", "end", "day", "inner", "distinct"]
+KEYWORDS = ["select", "from", "where", "group", "by", "left", "join", "on", "as", "with", "and", "or", "not", "is", "null", "false", "true", "case", "when", "then", "else", "end", "day", "inner", "distinct", "having", "order", "limit", "in", "like", "between", "over", "partition", "asc", "desc", "union", "all", "exists", "interval"]
 WORD = r"""'[^']*'|\{\w+\}|:?[A-Za-z_]\w*|\d+|<>|[^\s\w]"""
 
+COMMENT = "--.*$"
+
 
 def words(code: DataFrame) -> DataFrame:
     """asset_urn, asset, kind, line, at (its number in the line), word."""
-    plain = F.regexp_replace("text", "--.*$", "")
+    plain = F.regexp_replace("text", COMMENT, "")
     split = F.posexplode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("at", "word")
     return code.select("asset_urn", "asset", "kind", "line", split)
 
@@ -57,7 +60,7 @@ def find(code: DataFrame) -> DataFrame:
     is_local = (F.col("next1") == "as") & (F.col("next2") == "(")
     used = is_name & ~is_table & ~is_alias & ~is_local & (F.col("prev1") != "as") & ~F.col("next1").isin("(", ".")
     qualifier = F.when(F.col("prev1") == ".", F.col("prev2"))
-    return rows.where(used).select("asset_urn", "asset", "kind", "line", "scope", qualifier.alias("qualifier"), F.col("word").alias("name"))
+    return rows.where(used).select("asset_urn", "asset", "kind", "line", "at", "scope", qualifier.alias("qualifier"), F.col("word").alias("name"))
 
 
 def matching(references: DataFrame, column: str) -> DataFrame:

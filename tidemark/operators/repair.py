@@ -1,13 +1,14 @@
 """Repairs as edits of a table of code lines.
 
-Only assets that require a patch change. A line is edited where the table of references says that it names
-the column; other lines keep their text to the byte.
+Only assets that require a patch change. A line is edited at the words where the table of references says
+that they name the column; literals, comments and all other text stay to the byte.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,40 +16,52 @@ from pyspark.sql import functions as F
 from tidemark.operators import references
 
 
-def _word(column: str) -> str:
-    """The column's name where it is a reference: not an alias, a call or a qualifier."""
-    return rf"(?i)(?<![\w']|\bas )\b{re.escape(column)}\b(?!\s*[(.'])"
-
+def _referring(code: DataFrame, patch: DataFrame, column: str) -> DataFrame:
+    """code with refs: where, among a line's words, an asset to patch (asset_urn) names the column; null if nowhere."""
+    found = references.matching(references.find(code), column).join(patch.select("asset_urn").distinct(), "asset_urn", "left_semi")
+    return code.join(found.groupBy("asset_urn", "line").agg(F.collect_set("at").alias("refs")), ["asset_urn", "line"], "left")
 
-def _cased(text: Column, old: str, new: str) -> Column:
-    """Each name replaced in the case it is written in: upper, lower, or else as given."""
-    for name, to, flag in ((old.upper(), new.upper(), "(?-i)"), (old.lower(), new.lower(), "(?-i)")):
-        text = F.regexp_replace(text, _word(name).replace("(?i)", flag), to)
-    return F.regexp_replace(text, _word(old), new)
 
+def _edited(text: Column, refs: Column, edit: Callable[[Column, Column, Column], Column]) -> Column:
+    """A line whose words are edited by place; what lies between and after them, comments too, stays to the byte.
 
-def _referring(code: DataFrame, patch: DataFrame, column: str) -> DataFrame:
-    """code with refers: whether a line of an asset to patch (asset_urn) names the column."""
-    lines = references.matching(references.find(code), column).select("asset_urn", "line").distinct().join(patch.select("asset_urn").distinct(), "asset_urn", "left_semi")
-    return code.join(lines.withColumn("refers", F.lit(True)), ["asset_urn", "line"], "left").withColumn("refers", F.coalesce("refers", F.lit(False)))
+    edit takes all words with the blanks before them, a word and its place.
+    """
+    plain = F.regexp_replace(text, references.COMMENT, "")
+    split = F.regexp_extract_all(plain, F.lit(rf"\s*(?:{references.WORD})"), F.lit(0))
+    rest = F.substring(text, F.length(F.array_join(split, "")) + 1, F.length(text))
+    return F.when(refs.isNull(), text).otherwise(F.concat(F.array_join(F.transform(split, lambda w, i: edit(split, w, i)), ""), rest))
 
 
 def rename(code: DataFrame, patch: DataFrame, old: str, new: str) -> DataFrame:
-    """Every reference by its new name. An output that was called by its input is then renamed as well."""
+    """Every reference by its new name, in the case it is written in. An output called by its input is then renamed as well."""
     rows = _referring(code, patch, old)
-    return rows.withColumn("text", F.when(F.col("refers"), _cased(F.col("text"), old, new)).otherwise(F.col("text"))).select(*code.columns)
+
+    def edit(split: Column, word: Column, at: Column) -> Column:
+        name = F.trim(word)
+        to = F.when(name == F.upper(name), F.lit(new.upper())).when(name == F.lower(name), F.lit(new.lower())).otherwise(F.lit(new))
+        return F.when(F.array_contains("refs", at), F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(name)), to)).otherwise(word)
+
+    return rows.withColumn("text", _edited(F.col("text"), F.col("refs"), edit)).select(*code.columns)
 
 
 def retype(code: DataFrame, patch: DataFrame, column: str, old_type: str) -> DataFrame:
     """Every reference cast back to its old type; a bare select item keeps its name."""
-    qualified = rf"(?i)(?<![\w'.]|\bas )((?:\w+\.)?{re.escape(column)})\b(?!\s*[(.'])"
-    bare = rf"(?i)^(\s*)((?:\w+\.)?{re.escape(column)})(\s*,?\s*)$"
-    cast = f"CAST($1 AS {old_type})"
-    item = F.regexp_replace("text", bare, f"$1CAST($2 AS {old_type}) AS {column}$3")
-    done = F.col("text").rlike(rf"(?i)cast\(\s*(\w+\.)?{re.escape(column)}\s+as\s+{re.escape(old_type)}\)")
-    edited = F.when(done, F.col("text")).when(F.col("text").rlike(bare), item).otherwise(F.regexp_replace("text", qualified, cast))
     rows = _referring(code, patch, column)
-    return rows.withColumn("text", F.when(F.col("refers"), edited).otherwise(F.col("text"))).select(*code.columns)
+    bare = rf"(?i)^\s*(?:\w+\.)?{re.escape(column)}\s*,?\s*$"
+    done = rf"(?i)cast\(\s*(\w+\.)?{re.escape(column)}\s+as\s+{re.escape(old_type)}\)"
+    named = F.when(F.col("text").rlike(bare), F.lit(f" AS {old_type}) AS {column}")).otherwise(F.lit(f" AS {old_type})"))
+
+    def edit(split: Column, word: Column, at: Column) -> Column:
+        word_at = lambda i: F.coalesce(F.trim(F.get(split, i)), F.lit(""))
+        ends = F.array_contains("refs", at)
+        begins = F.when(word_at(at + 1) == ".", F.array_contains("refs", at + 2)).otherwise(ends & (word_at(at - 1) != "."))
+        name = F.trim(word)
+        blanks = F.substring(word, F.lit(1), F.length(word) - F.length(name))
+        return F.concat(blanks, F.when(begins, F.lit("CAST(")).otherwise(F.lit("")), name, F.when(ends, named).otherwise(F.lit("")))
+
+    edited = F.when(F.col("text").rlike(done), F.col("text")).otherwise(_edited(F.col("text"), F.col("refs"), edit))
+    return rows.withColumn("text", edited).select(*code.columns)
 
 
 def drop(code: DataFrame, patch: DataFrame, column: str, dated: str) -> DataFrame:
@@ -57,7 +70,7 @@ def drop(code: DataFrame, patch: DataFrame, column: str, dated: str) -> DataFram
     Uses outside a select list stay, for validation to stop.
     """
     rows = _referring(code, patch, column)
-    item = F.col("refers") & ~F.lower(F.ltrim("text")).rlike(r"^(from|where|join|left|on|group|select)\b")
+    item = F.col("refs").isNotNull() & ~F.lower(F.ltrim("text")).rlike(r"^(from|where|join|left|on|group|select)\b")
     rows = rows.withColumn("goes", item)
     note = F.concat(F.lit(f"    -- {dated}: `{column}` was dropped upstream; TODO review: "), F.trim("text"))
     gone = rows.where("goes").select("asset_urn", F.col("line").alias("gone"), (~F.rtrim("text").endswith(",")).alias("was_last"))

@@ -6,34 +6,87 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.models import EXTRACTS, MODELS, inputs
 
-#: Column names, native types and whether they may be null (no mark: they may not).
-N38, N12, TEXT = "NUMBER(38,0)", "NUMBER(12,2)", "VARCHAR(255)"
+#: Column names, native types and whether they may be null.
 RAW_COLUMNS = {
-    "orders": [("order_id", N38), ("customer_id", N38), ("order_placed_at", "TIMESTAMP_NTZ"), ("order_status", "VARCHAR(32)"), ("gross_amount", N12), ("discount_amount", N12 + "?"), ("currency_code", "VARCHAR(3)")],
-    "customers": [("customer_id", N38), ("email", TEXT), ("full_name", TEXT), ("signup_date", "DATE"), ("country_code", "VARCHAR(2)"), ("marketing_opt_in", "BOOLEAN")],
-    "order_items": [("order_item_id", N38), ("order_id", N38), ("product_id", N38), ("quantity", "NUMBER(10,0)"), ("unit_price", N12)],
-    "products": [("product_id", N38), ("sku", "VARCHAR(64)"), ("product_name", TEXT), ("category", "VARCHAR(64)"), ("list_price", N12)],
-    "web_events": [("event_id", "VARCHAR(64)"), ("session_id", "VARCHAR(64)"), ("customer_id", N38 + "?"), ("event_type", "VARCHAR(32)"), ("event_at", "TIMESTAMP_NTZ"), ("page_url", "VARCHAR(1024)")],
+    "orders": [
+        ("order_id", "NUMBER(38,0)", False),
+        ("customer_id", "NUMBER(38,0)", False),
+        ("order_placed_at", "TIMESTAMP_NTZ", False),
+        ("order_status", "VARCHAR(32)", False),
+        ("gross_amount", "NUMBER(12,2)", False),
+        ("discount_amount", "NUMBER(12,2)", True),
+        ("currency_code", "VARCHAR(3)", False),
+    ],
+    "customers": [
+        ("customer_id", "NUMBER(38,0)", False),
+        ("email", "VARCHAR(255)", False),
+        ("full_name", "VARCHAR(255)", False),
+        ("signup_date", "DATE", False),
+        ("country_code", "VARCHAR(2)", False),
+        ("marketing_opt_in", "BOOLEAN", False),
+    ],
+    "order_items": [
+        ("order_item_id", "NUMBER(38,0)", False),
+        ("order_id", "NUMBER(38,0)", False),
+        ("product_id", "NUMBER(38,0)", False),
+        ("quantity", "NUMBER(10,0)", False),
+        ("unit_price", "NUMBER(12,2)", False),
+    ],
+    "products": [
+        ("product_id", "NUMBER(38,0)", False),
+        ("sku", "VARCHAR(64)", False),
+        ("product_name", "VARCHAR(255)", False),
+        ("category", "VARCHAR(64)", False),
+        ("list_price", "NUMBER(12,2)", False),
+    ],
+    "web_events": [
+        ("event_id", "VARCHAR(64)", False),
+        ("session_id", "VARCHAR(64)", False),
+        ("customer_id", "NUMBER(38,0)", True),
+        ("event_type", "VARCHAR(32)", False),
+        ("event_at", "TIMESTAMP_NTZ", False),
+        ("page_url", "VARCHAR(1024)", False),
+    ],
 }
-#: Outputs that are not the same column of a model's first input: (output, type, operation, upstreams).
+#: Outputs that are not the same column of a model's first input: output, type, whether it may be null, operation, upstreams.
 DERIVED = {
-    "stg_orders": [("net_amount", N12, "ARITHMETIC", ["orders.gross_amount", "orders.discount_amount"])],
-    "stg_order_items": [("line_total", "NUMBER(22,2)", "ARITHMETIC", ["order_items.quantity", "order_items.unit_price"])],
-    "fct_orders": [("order_date", "DATE", "CAST_DATE", ["stg_orders.order_placed_at"]), ("item_count", N38, "COUNT", ["stg_order_items.order_id"]), ("net_revenue", N12, "IDENTITY", ["stg_orders.net_amount"])],
-    "dim_customers": [("is_marketable", "BOOLEAN", "IDENTITY", ["stg_customers.marketing_opt_in"])],
-    "mart_daily_revenue": [("order_count", N38, "COUNT", ["fct_orders.order_id"]), ("gross_revenue", "NUMBER(18,2)", "SUM", ["fct_orders.net_revenue"])],
-    "mart_customer_ltv": [("lifetime_orders", N38, "COUNT", ["fct_orders.order_id"]), ("lifetime_revenue", "NUMBER(18,2)", "SUM", ["fct_orders.net_revenue"]), ("first_order_date", "DATE?", "MIN", ["fct_orders.order_date"])],
-    "mart_product_performance": [("units_sold", N38, "SUM", ["stg_order_items.quantity"]), ("revenue", "NUMBER(18,2)", "SUM", ["stg_order_items.line_total"])],
+    "stg_orders": [
+        ("net_amount", "NUMBER(12,2)", False, "ARITHMETIC", ["orders.gross_amount", "orders.discount_amount"]),
+    ],
+    "stg_order_items": [
+        ("line_total", "NUMBER(22,2)", False, "ARITHMETIC", ["order_items.quantity", "order_items.unit_price"]),
+    ],
+    "fct_orders": [
+        ("order_date", "DATE", False, "CAST_DATE", ["stg_orders.order_placed_at"]),
+        ("item_count", "NUMBER(38,0)", False, "COUNT", ["stg_order_items.order_id"]),
+        ("net_revenue", "NUMBER(12,2)", False, "IDENTITY", ["stg_orders.net_amount"]),
+    ],
+    "dim_customers": [
+        ("is_marketable", "BOOLEAN", False, "IDENTITY", ["stg_customers.marketing_opt_in"]),
+    ],
+    "mart_daily_revenue": [
+        ("order_count", "NUMBER(38,0)", False, "COUNT", ["fct_orders.order_id"]),
+        ("gross_revenue", "NUMBER(18,2)", False, "SUM", ["fct_orders.net_revenue"]),
+    ],
+    "mart_customer_ltv": [
+        ("lifetime_orders", "NUMBER(38,0)", False, "COUNT", ["fct_orders.order_id"]),
+        ("lifetime_revenue", "NUMBER(18,2)", False, "SUM", ["fct_orders.net_revenue"]),
+        ("first_order_date", "DATE", True, "MIN", ["fct_orders.order_date"]),
+    ],
+    "mart_product_performance": [
+        ("units_sold", "NUMBER(38,0)", False, "SUM", ["stg_order_items.quantity"]),
+        ("revenue", "NUMBER(18,2)", False, "SUM", ["stg_order_items.line_total"]),
+    ],
 }
 #: Outputs in their order, where a model doesn't keep all columns of its first input followed by the derived ones.
 OUTPUTS = {
-    "stg_orders": "order_id customer_id order_placed_at order_status gross_amount net_amount",
-    "stg_web_events": "event_id session_id customer_id event_type event_at",
-    "fct_orders": "order_id customer_id order_date order_status item_count net_revenue",
-    "dim_customers": "customer_id email full_name signup_date country_code is_marketable",
-    "mart_daily_revenue": "order_date order_count gross_revenue",
-    "mart_customer_ltv": "customer_id country_code lifetime_orders lifetime_revenue first_order_date",
-    "mart_product_performance": "product_id sku category units_sold revenue",
+    "stg_orders": ["order_id", "customer_id", "order_placed_at", "order_status", "gross_amount", "net_amount"],
+    "stg_web_events": ["event_id", "session_id", "customer_id", "event_type", "event_at"],
+    "fct_orders": ["order_id", "customer_id", "order_date", "order_status", "item_count", "net_revenue"],
+    "dim_customers": ["customer_id", "email", "full_name", "signup_date", "country_code", "is_marketable"],
+    "mart_daily_revenue": ["order_date", "order_count", "gross_revenue"],
+    "mart_customer_ltv": ["customer_id", "country_code", "lifetime_orders", "lifetime_revenue", "first_order_date"],
+    "mart_product_performance": ["product_id", "sku", "category", "units_sold", "revenue"],
 }
 #: What each job reads and writes; only the first has code of its own.
 STAGING, MARTS = [m for m in MODELS if m.startswith("stg_")], [m for m in MODELS if not m.startswith("stg_")]
@@ -50,22 +103,21 @@ def urn(name: str) -> str:
     return f"urn:li:dataset:(urn:li:dataPlatform:{platform},shop_prod.{schema}.{name},PROD)"
 
 
-def definitions() -> dict[str, list[tuple[str, str]]]:
-    """Columns and types of each dataset, in order."""
+def definitions() -> dict[str, list[tuple[str, str, bool]]]:
+    """Columns, types and nullability of each dataset, in order."""
     found = {k: list(v) for k, v in RAW_COLUMNS.items()}
     for model, sql in MODELS.items():
-        kept, own = dict(found[inputs(sql)[0]]), {x[0]: x[1] for x in DERIVED.get(model, [])}
-        names = OUTPUTS[model].split() if model in OUTPUTS else [*kept, *own]
-        found[model] = [(n, own.get(n) or kept[n]) for n in names]
+        known = {x[0]: x for x in found[inputs(sql)[0]]} | {x[0]: x[:3] for x in DERIVED.get(model, [])}
+        found[model] = [known[n] for n in OUTPUTS.get(model, known)]
     return found
 
 
 def column_rows() -> list[tuple]:
     """dataset_urn, ordinal, name, native_type, data_type, nullable."""
     return [
-        (urn(d), i, name, kind.rstrip("?"), LOGICAL[kind.rstrip("?").split("(")[0]], kind.endswith("?"))
+        (urn(d), i, name, kind, LOGICAL[kind.split("(")[0]], nullable)
         for d, columns in definitions().items()
-        for i, (name, kind) in enumerate(columns, 1)
+        for i, (name, kind, nullable) in enumerate(columns, 1)
     ]
 
 
@@ -73,8 +125,8 @@ def edge_rows() -> list[tuple]:
     """up_urn, up_path, down_urn, down_path, operation."""
     rows = []
     for model, sql in MODELS.items():
-        own = {x[0]: x[2:] for x in DERIVED.get(model, [])}
-        for name, _ in definitions()[model]:
+        own = {x[0]: x[3:] for x in DERIVED.get(model, [])}
+        for name, *_ in definitions()[model]:
             operation, ups = own.get(name, ("IDENTITY", [f"{inputs(sql)[0]}.{name}"]))
             rows += [(urn(u.split(".")[0]), u.split(".")[1], urn(model), name, operation) for u in ups]
     return rows
@@ -98,7 +150,7 @@ def test_rows() -> list[tuple]:
     """dataset, column, test: not null where declared so, unique for keys."""
     rows = []
     for d, columns in definitions().items():
-        rows += [(d, name, "not_null") for name, kind in columns if not kind.endswith("?")]
+        rows += [(d, name, "not_null") for name, _, nullable in columns if not nullable]
     keys = {"orders": "order_id", "customers": "customer_id", "order_items": "order_item_id", "products": "product_id", "web_events": "event_id", "mart_daily_revenue": "order_date", "mart_customer_ltv": "customer_id", "mart_product_performance": "product_id"}
     for d in definitions():
         stem = d.split("_", 1)[1] if d[:4] in ("stg_", "fct_", "dim_") else d

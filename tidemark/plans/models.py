@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.sources.warehouse import RAW, raw
 
 
-def plain_staging(source: str, columns: str) -> str:
-    return "with source as (\n    select * from {" + source + "}\n)\nselect\n    " + ",\n    ".join(columns.split()) + "\nfrom source\n"
-
-
 #: The workload's statements; the reports' reference counts and line numbers rest on their text.
 MODELS = {
     "stg_orders": """with source as (
@@ -32,7 +28,18 @@ select
 from source
 where order_status <> 'P'
 """,
-    "stg_customers": plain_staging("customers", "customer_id email full_name signup_date country_code marketing_opt_in"),
+    "stg_customers": """with source as (
+    select * from {customers}
+)
+select
+    customer_id,
+    email,
+    full_name,
+    signup_date,
+    country_code,
+    marketing_opt_in
+from source
+""",
     "stg_order_items": """with source as (
     select * from {order_items}
 )
@@ -45,8 +52,28 @@ select
     quantity * unit_price as line_total
 from source
 """,
-    "stg_products": plain_staging("products", "product_id sku product_name category list_price"),
-    "stg_web_events": plain_staging("web_events", "event_id session_id customer_id event_type event_at"),
+    "stg_products": """with source as (
+    select * from {products}
+)
+select
+    product_id,
+    sku,
+    product_name,
+    category,
+    list_price
+from source
+""",
+    "stg_web_events": """with source as (
+    select * from {web_events}
+)
+select
+    event_id,
+    session_id,
+    customer_id,
+    event_type,
+    event_at
+from source
+""",
     "fct_orders": """with orders as (
     select * from {stg_orders}
 ),

@@ -118,6 +118,24 @@ DATASETS = RAW_SQL | {
     "fct_orders": FCT_ORDERS, "dim_customers": DIM_CUSTOMERS, "dim_products": STG_PRODUCTS, "mart_daily_revenue": DAILY, "mart_customer_ltv": LTV, "mart_product_performance": PERFORMANCE,
 }
 
+PATCHED = f"('{fx.urn('stg_orders')}', '{fx.urn('fct_orders')}', '{fx.urn('extract_recent_orders')}')"
+DECLARED = fx.values(fx.test_rows(), "dataset, col, test")
+#: The buckets and hops of the three published reports.
+REPORTED = [
+    ("rename", "extract_recent_orders", "REQUIRES_PATCH", 1), ("rename", "fct_orders", "REQUIRES_PATCH", 2), ("rename", "stg_orders", "REQUIRES_PATCH", 1),
+    ("rename", "mart_customer_ltv", "DOWNSTREAM_UNAFFECTED", 3), ("rename", "mart_daily_revenue", "DOWNSTREAM_UNAFFECTED", 3),
+    ("rename", "dim_customers", "SKIPPED", 3), ("rename", "dim_products", "SKIPPED", 3), ("rename", "mart_product_performance", "SKIPPED", 3),
+    ("rename", "stg_customers", "SKIPPED", 2), ("rename", "stg_order_items", "SKIPPED", 2), ("rename", "stg_products", "SKIPPED", 2), ("rename", "stg_web_events", "SKIPPED", 2),
+    ("retype", "extract_recent_orders", "REQUIRES_PATCH", 1), ("retype", "stg_orders", "REQUIRES_PATCH", 1),
+    ("retype", "fct_orders", "DOWNSTREAM_UNAFFECTED", 2), ("retype", "mart_customer_ltv", "DOWNSTREAM_UNAFFECTED", 3), ("retype", "mart_daily_revenue", "DOWNSTREAM_UNAFFECTED", 3),
+    ("retype", "dim_customers", "SKIPPED", 3), ("retype", "dim_products", "SKIPPED", 3), ("retype", "mart_product_performance", "SKIPPED", 3),
+    ("retype", "stg_customers", "SKIPPED", 2), ("retype", "stg_order_items", "SKIPPED", 2), ("retype", "stg_products", "SKIPPED", 2), ("retype", "stg_web_events", "SKIPPED", 2),
+    ("drop", "dim_customers", "REQUIRES_PATCH", 2), ("drop", "stg_customers", "REQUIRES_PATCH", 1),
+    ("drop", "dim_products", "SKIPPED", 3), ("drop", "extract_recent_orders", "SKIPPED", 0), ("drop", "fct_orders", "SKIPPED", 3), ("drop", "mart_customer_ltv", "SKIPPED", 3),
+    ("drop", "mart_daily_revenue", "SKIPPED", 3), ("drop", "mart_product_performance", "SKIPPED", 3), ("drop", "stg_order_items", "SKIPPED", 2), ("drop", "stg_orders", "SKIPPED", 2),
+    ("drop", "stg_products", "SKIPPED", 2), ("drop", "stg_web_events", "SKIPPED", 2),
+]
+
 ORACLES = {
     "stg_orders": as_double(STG_ORDERS, "gross_amount net_amount"),
     "stg_customers": STG_CUSTOMERS,
@@ -186,4 +204,29 @@ string_agg('event ' || event_id, '; ' order by event_id) filter (where value < 1
     "completed_stages": f"""select run_id, concat_ws(',', case when has_drift then 'detect' end, case when requires_patch is not null then 'impact' end, case when patches > 0 or nothing then 'codegen' end,
 case when nothing or (patches > 0 and invalid_patches = 0) then 'validate' end, case when nothing or coalesce(review_ok, false) then 'pr' end, case when actions > 0 and failed_actions = 0 then 'writeback' end) as stages
 from (select *, patches = 0 and coalesce(requires_patch, -1) = 0 as nothing from {fx.values(fx.RUNS, ', '.join(x.split()[0] for x in fx.RUN_SCHEMA.split(', ')))})""",
+    "live_schema": """select table_name as dataset, cast(ordinal_position as int) as ordinal, column_name as name,
+case when data_type in ('BIGINT', 'INTEGER', 'DOUBLE') or starts_with(data_type, 'DECIMAL') then 'number' when data_type = 'DATE' then 'date' when starts_with(data_type, 'TIMESTAMP') then 'time' when data_type = 'BOOLEAN' then 'boolean' else 'string' end as data_type
+from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""",
+    "captured_snapshot": f"select dataset_urn, cast(ordinal as int) as ordinal, name, native_type from {ALL} where contains(dataset_urn, 'dataPlatform:dbt') or dataset_urn = '{ORDERS}'",
+    "saved_snapshot": f"select * from {COLS}",
+    "flattened_edges": f"select * from {EDGES}",
+    "shown_edges": f"{reach(2, STARTS[:1])} select distinct e.* from e join reach r on e.up_urn = r.urn and e.up_path = r.path where e.down_urn in {PATCHED} and (e.up_urn = '{ORDERS}' or e.up_urn in {PATCHED})",
+    # The reports' buckets, hops and counts as published.
+    "impact_assets": "select scenario, asset, bucket, cast(hops as int) as hops from (values " + ", ".join(f"('{s}', '{a}', '{b}', {h})" for s, a, b, h in REPORTED) + ") as t(scenario, asset, bucket, hops)",
+    "impact_stats": "select * from (values ('rename', 3, 2, 7, 12, 3), ('retype', 2, 3, 7, 12, 3), ('drop', 2, 0, 10, 12, 3), ('add', 0, 0, 0, 0, 0)) as t(scenario, requires_patch, downstream_unaffected, skipped, total_scanned, max_hops_reached)",
+    "validation_summary": "select * from (values ('rename', 'OK', 'live_catalog', 15), ('rename', 'OK', 'projected_repair', 6), ('rename', 'OK', 'local_cte', 2), ('retype', 'OK', 'live_catalog', 13), ('drop', 'OK', 'live_catalog', 5), ('drop', 'OK', 'projected_repair', 5)) as t(scenario, status, source, n)",
+    "validation_gate": "select true as valid",
+    "reference_locations": f"select * from (values ('{fx.urn('extract_recent_orders')}', 2, '2,4'), ('{fx.urn('stg_orders')}', 1, '7'), ('{fx.urn('fct_orders')}', 1, '12')) as t(asset_urn, n_references, lines)",
+    "drift_rename_greedy": f"select '{fx.MIXED_BASELINE[0][0]}' as dataset_urn, old_column, new_column, least(0.9, 0.5 * cast(same as int) + 0.4 * ratio + 0.1) as confidence from (values ('placed_at', 'created_at', true, 12.0 / 19), ('customer_email', 'customer_mail', true, 26.0 / 27), ('billing_zip', 'billing_postcode', true, 18.0 / 27)) as t(old_column, new_column, same, ratio)",
+    "drift_add": f"select * from (values ('{fx.MIXED_BASELINE[0][0]}', 'new_flag'), ('{fx.MIXED_BASELINE[5][0]}', 'amount_text')) as t(dataset_urn, new_column)",
+    "analysis_checks": "select scenario, state, asset, broken is null as ok, broken as object from (select s.scenario, state, asset from (values ('rename'), ('drop')) as s(scenario), (values ('before'), ('after')) as b(state), (values "
+    + ", ".join(f"('{a}')" for a in (*fx.MODELS, *fx.EXTRACTS))
+    + ") as a(asset)) left join (values ('rename', 'before', 'stg_orders', 'order_placed_at'), ('rename', 'before', 'extract_recent_orders', 'order_placed_at'), ('drop', 'before', 'stg_customers', 'marketing_opt_in')) as f(scenario, state, asset, broken) using (scenario, state, asset)",
+    "catalog_consistency": f"select regexp_extract(dataset_urn, '([^.]+),PROD', 1) as model, cast(count(*) as int) as n_columns, true as declared_same, true as traced_same from {COLS} where contains(dataset_urn, 'dataPlatform:dbt') group by 1",
+    "docs_renamed": f"""select dataset, if(moved, 'order_created_at', col) as "column", 'The ' || col || if(moved, ' Called `order_placed_at` before a drift repair, `order_created_at` since.', '') as description,
+case when not moved then tests when contains(tests, 'not_null') and not contains(tests, 'unique') then tests || ',unique' when contains(tests, 'not_null') then tests else tests || ',not_null' end as tests
+from (select dataset, col, string_agg(test, ',' order by test) as tests, col = 'order_placed_at' and dataset not in ('orders') as moved from {DECLARED} group by dataset, col)""",
+    "docs_dropped": f"select distinct dataset, col as \"column\" from {DECLARED} where (dataset, col) not in (('stg_customers', 'marketing_opt_in'), ('dim_customers', 'is_marketable'))",
+    "generated_tests": "select * from (values ('stg_orders', 'order_created_at', 'not_null'), ('stg_orders', 'order_created_at', 'unique')) as t(dataset, \"column\", test)",
+    "run_records": f"select run_id, 'STARTED' as event, null as result from {fx.values(fx.RUNS, ', '.join(x.split()[0] for x in fx.RUN_SCHEMA.split(', ')))} union all select run_id, 'COMPLETE', if(invalid_patches > 0 or failed_actions > 0, 'FAILURE', 'SUCCESS') from {fx.values(fx.RUNS, ', '.join(x.split()[0] for x in fx.RUN_SCHEMA.split(', ')))}",
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import asset_name, dataset_name
-from tidemark.operators import dq, drift, impact, lineage, references, repair, validate, writeback
+from tidemark.operators import analysis, docs, dq, drift, impact, lineage, references, repair, snapshot, validate, writeback
 from tidemark.plans import fixtures as fx
 from tidemark.plans.models import EXTRACTS, MODELS, build
 from tidemark.plans.oracles import ORACLES
@@ -204,7 +205,8 @@ def assets(spark: SparkSession, *scenarios: str) -> DataFrame:
 
 
 def impact_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets(spark).select(F.col("drift").alias("scenario"), "asset", "bucket", "hops")
+    """hops is 0 for what no drift reaches."""
+    return assets(spark).select(F.col("drift").alias("scenario"), "asset", "bucket", F.coalesce("hops", F.lit(0)).alias("hops"))
 
 
 def impact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +243,7 @@ def repaired(spark: SparkSession, scenario: str) -> tuple[DataFrame, DataFrame]:
     if kind == "RENAME":
         return lineage.cut(repair.rename(code, patch, column, to)), patch
     if kind == "RETYPE":
-        return lineage.cut(repair.retype(code, patch, column, dict(fx.definitions()[dataset])[column])), patch
+        return lineage.cut(repair.retype(code, patch, column, {n: kind for n, kind, _ in fx.definitions()[dataset]}[column])), patch
     return lineage.cut(repair.drop(code, patch, column, "2025-01-01")), patch
 
 
@@ -331,6 +333,68 @@ def completed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.completed_stages(runs).select("run_id", F.array_join("stages", ",").alias("stages"))
 
 
+def live_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that tables have now, read from their schemas."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    found = snapshot.live_columns(spark, {n: parquet(spark, sf_dir, n) for n in names} | {"absent": None})
+    return found.select(F.col("dataset_urn").alias("dataset"), "ordinal", "name", "data_type")
+
+
+def captured_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models' schemas and a known raw table's, after all changes; a known dataset that is gone has no rows."""
+    models = fx.local(spark, [(fx.urn(m),) for m in MODELS], "dataset_urn string")
+    known = fx.local(spark, [(fx.urn("orders"),), (fx.urn("fct_orders"),), ("gone",)], "dataset_urn string")
+    return snapshot.capture(all_changes(spark), models, known).select("dataset_urn", "ordinal", "name", "native_type")
+
+
+def saved_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared baseline, written and loaded again."""
+    path = lineage.shared_path(spark, "snapshot") or tempfile.mkdtemp(prefix="tidemark-")
+    snapshot.save(fx.catalog_columns(spark), path)
+    return snapshot.load(spark, path)
+
+
+def analysis_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements Spark resolves on the changed columns, before and after the repair."""
+    found, order, as_of = None, [*EXTRACTS, *MODELS], {":as_of": "timestamp_ntz'1998-08-02 00:00:00'"}
+    texts = spark.createDataFrame([(a, 1, sql) for a, sql in (MODELS | EXTRACTS).items()], "asset string, line int, text string")
+    for s in ("rename", "drop"):
+        mended = repaired(spark, s)[0].select("asset", "line", "text")
+        mended = mended.unionByName(texts.join(mended.select("asset").distinct(), "asset", "left_anti"))
+        for state, code in (("before", texts), ("after", mended)):
+            one = analysis.analysed(spark, code, live_catalog(spark, s), input_names(spark), order, as_of).select(F.lit(s).alias("scenario"), F.lit(state).alias("state"), "asset", "ok", "object")
+            found = one if found is None else found.unionByName(one)
+    return found
+
+
+def declared_docs(spark: SparkSession) -> DataFrame:
+    tests = fx.local(spark, fx.test_rows(), "dataset string, column string, test string")
+    return tests.groupBy("dataset", "column").agg(F.sort_array(F.collect_list("test")).alias("tests")).withColumn("description", F.concat(F.lit("The "), "column"))
+
+
+def renamed_docs(spark: SparkSession) -> DataFrame:
+    kind, _, old, new = SCENARIOS["rename"]
+    models = fx.local(spark, [(m,) for m in MODELS], "dataset string")
+    return docs.renamed(declared_docs(spark), models, old, new)
+
+
+def docs_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return renamed_docs(spark).select("dataset", "column", "description", F.array_join("tests", ",").alias("tests"))
+
+
+def docs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = fx.local(spark, [("stg_customers", "MARKETING_OPT_IN"), ("dim_customers", "is_marketable")], "dataset string, column string")
+    return docs.dropped(declared_docs(spark), gone).select("dataset", "column")
+
+
+def generated_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs.generated_tests(declared_docs(spark), renamed_docs(spark))
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.run_records(fx.local(spark, fx.RUNS, fx.RUN_SCHEMA))
+
+
 QUERIES: dict[str, Query] = {name: model_query(name) for name in [*MODELS, *EXTRACTS]} | {
     f.__name__: f
     for f in (
@@ -340,6 +404,7 @@ QUERIES: dict[str, Query] = {name: model_query(name) for name in [*MODELS, *EXTR
         lineage_control, corrected_edges, documentation_targets, dangling_edges, impact_assets, impact_stats, graph_nodes,
         consumed_evidence, reference_locations, reference_checks, validation_summary, validation_gate, repair_patches,
         dq_not_null, dq_unique, catalog_consistency, writeback_summary, run_events, completed_stages,
+        live_schema, captured_snapshot, saved_snapshot, analysis_checks, docs_renamed, docs_dropped, generated_tests, run_records,
     )
 }
 

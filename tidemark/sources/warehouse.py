@@ -6,6 +6,7 @@ lack are null (discounts, currencies, e-mails) or stand-ins (session ids, page u
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ RAW = {
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     try:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    except Exception as error:
-        raise FileNotFoundError(f"no readable table {name}.parquet in {sf_dir}; check the folder that was passed") from error
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no table {name}.parquet in {sf_dir}; check the folder that was passed") from error
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,6 +44,7 @@ def copy_new(spark: SparkSession, source: str, target: str, checkpoint: str) ->
 
 def phase_of(tool: Column) -> Column:
     """The phase that a tool belongs to, by what its name holds; the first that fits."""
+    # What marks the tools of a phase.
     phases = (("detect", "detect"), ("impact", "impact|lineage|schema|quer|search"), ("codegen", "generate|drop"), ("validate", "validate"), ("pr", "pull|pr"), ("writeback", "write|incident|tag"))
     found = F.when(F.lit(False), "")
     for phase, words in phases:
@@ -71,3 +72,21 @@ def completed_stages(runs: DataFrame) -> DataFrame:
 
 def newest_first(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), "run_id")
+
+
+def run_records(runs: DataFrame) -> DataFrame:
+    """run_id, event, result: that a run started, and how it ended: FAILURE where a patch or an action failed.
+
+    runs: as in completed_stages.
+    """
+    failed = (F.col("invalid_patches") > 0) | (F.col("failed_actions") > 0)
+    both = F.array(F.struct(F.lit("STARTED").alias("event"), F.lit(None).cast("string").alias("result")), F.struct(F.lit("COMPLETE").alias("event"), F.when(failed, "FAILURE").otherwise("SUCCESS").alias("result")))
+    return runs.select("run_id", F.explode(both).alias("e")).select("run_id", "e.*")
+
+
+def load_runs(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Saved runs (JSON lines) that can be read, and the lines that can't, which the caller may warn of."""
+    rows = spark.read.schema(f"{schema}, _unreadable string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_unreadable").json(path)
+    names = [c for c in rows.columns if c != "_unreadable"]
+    bad = rows.withColumn("line", F.col("_unreadable")).where("_unreadable is not null")
+    return rows.where("_unreadable is null").select(*names), bad.select(*names[:1], "line")
