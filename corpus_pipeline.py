@@ -1,7 +1,10 @@
 """A cleaning pipeline over documents: toxicity, language ID, near-dedup, packing.
 
-A null text is neither toxic nor in a language, so language ID rejects it. Of a near-duplicate group the
-row with the smallest doc_id stays (null ids come last), one of its equals if rows repeat.
+A null or empty text is judged by the toxicity model's constant term alone and has no language, so language ID
+rejects it at the latest. Of a near-duplicate group the row with the smallest doc_id stays (null ids come last),
+one of its equals if rows repeat. Very long texts are judged and packed whole. The first three stages keep all
+columns, whatever their names; the last returns pieces. Empty tables give no rows; without labels nothing is
+toxic, and without known languages nothing passes the second stage.
 """
 
 from __future__ import annotations
