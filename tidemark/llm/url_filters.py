@@ -9,7 +9,8 @@ Both lists of lengths come from the rules and are at most as long as the longest
 no more than that, whatever the number of rules. Only DataFrame functions are used.
 
 Defined results: a null URL, or one without `://`, has an empty host and path; what no rule fits gets the
-default verdict and a null rule; equal rows and null ids are kept; other columns are ignored.
+default verdict and a null rule; equal rows and null ids are kept; of a very long URL only prefixes as long as
+some rule expand; empty tables of pages or rules are defined; other columns are ignored.
 """
 
 from __future__ import annotations
