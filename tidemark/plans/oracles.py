@@ -213,10 +213,10 @@ from information_schema.columns where table_name in ('region', 'nation', 'custom
     "shown_edges": f"{reach(2, STARTS[:1])} select distinct e.* from e join reach r on e.up_urn = r.urn and e.up_path = r.path where e.down_urn in {PATCHED} and (e.up_urn = '{ORDERS}' or e.up_urn in {PATCHED})",
     # The reports' buckets, hops and counts as published.
     "impact_assets": "select scenario, asset, bucket, cast(hops as int) as hops from (values " + ", ".join(f"('{s}', '{a}', '{b}', {h})" for s, a, b, h in REPORTED) + ") as t(scenario, asset, bucket, hops)",
-    "impact_stats": "select * from (values ('rename', 3, 2, 7, 12, 3), ('retype', 2, 3, 7, 12, 3), ('drop', 2, 0, 10, 12, 3), ('add', 0, 0, 0, 0, 0)) as t(scenario, requires_patch, downstream_unaffected, skipped, total_scanned, max_hops_reached)",
-    "validation_summary": "select * from (values ('rename', 'OK', 'live_catalog', 15), ('rename', 'OK', 'projected_repair', 6), ('rename', 'OK', 'local_cte', 2), ('retype', 'OK', 'live_catalog', 13), ('drop', 'OK', 'live_catalog', 5), ('drop', 'OK', 'projected_repair', 5)) as t(scenario, status, source, n)",
+    "impact_stats": "select scenario, cast(p as bigint) as requires_patch, cast(u as bigint) as downstream_unaffected, cast(k as bigint) as skipped, cast(n as bigint) as total_scanned, h as max_hops_reached from (values ('rename', 3, 2, 7, 12, 3), ('retype', 2, 3, 7, 12, 3), ('drop', 2, 0, 10, 12, 3), ('add', 0, 0, 0, 0, 0)) as t(scenario, p, u, k, n, h)",
+    "validation_summary": "select scenario, status, source, cast(n as bigint) as n from (values ('rename', 'OK', 'live_catalog', 15), ('rename', 'OK', 'projected_repair', 6), ('rename', 'OK', 'local_cte', 2), ('retype', 'OK', 'live_catalog', 13), ('drop', 'OK', 'live_catalog', 5), ('drop', 'OK', 'projected_repair', 5)) as t(scenario, status, source, n)",
     "validation_gate": "select true as valid",
-    "reference_locations": f"select * from (values ('{fx.urn('extract_recent_orders')}', 2, '2,4'), ('{fx.urn('stg_orders')}', 1, '7'), ('{fx.urn('fct_orders')}', 1, '12')) as t(asset_urn, n_references, lines)",
+    "reference_locations": f"select asset_urn, cast(n as bigint) as n_references, lines from (values ('{fx.urn('extract_recent_orders')}', 2, '2,4'), ('{fx.urn('stg_orders')}', 1, '7'), ('{fx.urn('fct_orders')}', 1, '12')) as t(asset_urn, n, lines)",
     "drift_rename_greedy": f"select '{fx.MIXED_BASELINE[0][0]}' as dataset_urn, old_column, new_column, least(0.9, 0.5 * cast(same as int) + 0.4 * ratio + 0.1) as confidence from (values ('placed_at', 'created_at', true, 12.0 / 19), ('customer_email', 'customer_mail', true, 26.0 / 27), ('billing_zip', 'billing_postcode', true, 18.0 / 27)) as t(old_column, new_column, same, ratio)",
     "drift_add": f"select * from (values ('{fx.MIXED_BASELINE[0][0]}', 'new_flag'), ('{fx.MIXED_BASELINE[5][0]}', 'amount_text')) as t(dataset_urn, new_column)",
     "analysis_checks": "select scenario, state, asset, broken is null as ok, broken as object from (select s.scenario, state, asset from (values ('rename'), ('drop')) as s(scenario), (values ('before'), ('after')) as b(state), (values "
