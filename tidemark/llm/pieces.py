@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import sliced
 
 BLANK, END = "▁", ""
-KEEP, KEEP_CHARS, KEEP_PAIRS = 400_000, 48, 200_000
+KEEP, KEEP_CHARS, KEEP_PAIRS = 1_500_000, 48, 500_000  # a few hundred megabytes a worker at most
 
 
 class Merging:
@@ -71,10 +71,13 @@ class Merging:
 
 
 class Transducer:
-    """pieces: id and weight by text; byte_arcs: id and weight by byte; follows: whether a piece has an arc after another, None if always."""
+    """pieces: id and weight by text; byte_arcs: id and weight by byte; follows: whether a piece has an arc after another, None if always.
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_arcs: dict[int, tuple[int, float]], follows: Callable[[str, str], bool] | None = None):
-        self.pieces, self.byte_arcs, self.follows = pieces, byte_arcs, follows
+    single: that follows leaves one path to each position, as merging does; further arcs there need no look.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_arcs: dict[int, tuple[int, float]], follows: Callable[[str, str], bool] | None = None, single: bool = False):
+        self.pieces, self.byte_arcs, self.follows, self.single = pieces, byte_arcs, follows, single
         self.normaliser = str.maketrans({" ": BLANK})
         #: A state of the trie holds the next states by character and, under END, the piece that ends there and its weight.
         self.trie: dict = {}
@@ -105,25 +108,32 @@ class Transducer:
         back[position][memory] is the least weight of a path to that state, where its last arc began and what
         the machine remembered there.
         """
-        root, follows, n = self.trie, self.follows, len(text)
+        root, follows, single, n = self.trie, self.follows, self.single, len(text)
+
+        def relax(here: dict, there: dict, piece: str, weight: float, at: int) -> None:
+            for last, (cost, _, _) in here.items():
+                if not last or not follows or follows(last, piece):
+                    memory, total = piece if follows else "", cost + weight
+                    if memory not in there or total < there[memory][0]:
+                        there[memory] = (total, at, last)
+
+        if single and text in self.pieces:
+            return [text]  # merging leaves it whole, so no other path goes through
         back: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
         back[0][""] = (0.0, -1, "")
-        for at, here in enumerate(back):
-            if not here or at == n:
+        for at in range(n):
+            if not (here := back[at]):
                 continue
-            state, arcs, i = root, [], at
+            state, i, covered = root, at, False
             while i < n and (state := state.get(text[i])) is not None:
                 i += 1
-                if (end := state.get(END)) is not None:
-                    arcs.append(end)
-            if not arcs or len(arcs[0][0]) > 1:
-                arcs.append(self.bytes_of(text[at]))
-            for last, (cost, _, _) in here.items():
-                for piece, weight in arcs:
-                    if not follows or not last or follows(last, piece):
-                        memory, there, total = piece if follows else "", back[at + len(piece)], cost + weight
-                        if memory not in there or total < there[memory][0]:
-                            there[memory] = (total, at, last)
+                if END in state:
+                    covered = covered or i == at + 1
+                    there = back[i]
+                    if not (single and there):
+                        relax(here, there, *state[END], at)
+            if not covered and not (single and back[at + 1]):
+                relax(here, back[at + 1], *self.bytes_of(text[at]), at)
         memory, at, found = min(back[n], key=lambda m: back[n][m][0]), n, []
         while at:
             _, before, last = back[at][memory]
@@ -192,7 +202,7 @@ def transducer(path: str) -> Transducer:
         raise ValueError("only models that keep all characters and put a blank first")
     merging = Merging({text[i]: model.get_score(i) for i in plain})
     met = {text[i]: (i, -model.get_score(i)) for i in plain if merging.merged(text[i]) == [text[i]]}  # others are never met
-    compiled = Transducer(met, byte_arcs, merging.may_follow)
+    compiled = Transducer(met, byte_arcs, merging.may_follow, single=True)
     compiled.out += [b""] * (size - len(compiled.out))
     for i in plain:  # any id can be decoded
         compiled.out[i] = text[i].replace(BLANK, " ").encode()
