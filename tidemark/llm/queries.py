@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import id_files, language, lm, packing, pieces, quality, simhash, topk, toxicity, url_filters
+from tidemark.llm import clustering, clustering_sql, id_files, language, lm, packing, pieces, quality, simhash, topk, toxicity, url_filters
 from tidemark.llm.common import fold, new_path, table
 from tidemark.llm.tokens import BLANKS_DROPPED, BLANKS_KEPT, vocabulary
 
@@ -74,9 +74,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_pieces, op3_lm, op4_token_ids, op5_quality, op6_packing, op7_simhash, op8_topk, op9_url_filters, op10_language)
+    for f in (
+        op1_toxicity, op2_pieces, op3_lm, op4_token_ids, op5_quality, op6_packing, op7_simhash, op8_topk, op9_url_filters, op10_language,
+        op11_clusters,
+    )
 }
 
 OP5_SQL = r"""
@@ -152,4 +159,4 @@ from (select *, row_number() over (partition by r order by score desc, vec_id) a
 where rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": OP5_SQL, "op8_topk": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_quality": OP5_SQL, "op8_topk": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_clusters": clustering_sql.sql()}
