@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import clustering, clustering_sql, id_files, language, lm, packing, pieces, quality, simhash, topk, toxicity, url_filters
+from tidemark.llm import clustering, clustering_sql, id_files, language, lm, packing, pieces, pii, quality, simhash, topk, toxicity, url_filters
 from tidemark.llm.common import fold, new_path, table
 from tidemark.llm.tokens import BLANKS_DROPPED, BLANKS_KEPT, vocabulary
 
@@ -78,11 +78,15 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_pieces, op3_lm, op4_token_ids, op5_quality, op6_packing, op7_simhash, op8_topk, op9_url_filters, op10_language,
-        op11_clusters,
+        op11_clusters, op12_pii,
     )
 }
 
