@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import clustering, clustering_sql, id_files, language, lm, packing, pieces, pii, quality, simhash, topk, toxicity, url_filters
+from tidemark.llm import clustering, clustering_sql, conversations, conversations_sql, id_files, language, lm, packing, pieces, pii, quality, simhash, topk, toxicity, url_filters
 from tidemark.llm.common import fold, new_path, table
 from tidemark.llm.tokens import BLANKS_DROPPED, BLANKS_KEPT, vocabulary
 
@@ -82,11 +82,15 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audited(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_pieces, op3_lm, op4_token_ids, op5_quality, op6_packing, op7_simhash, op8_topk, op9_url_filters, op10_language,
-        op11_clusters, op12_pii,
+        op11_clusters, op12_pii, op13_conversations,
     )
 }
 
@@ -163,4 +167,4 @@ from (select *, row_number() over (partition by r order by score desc, vec_id) a
 where rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": OP5_SQL, "op8_topk": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_clusters": clustering_sql.sql()}
+ORACLE_SQL: dict[str, str] = {"op5_quality": OP5_SQL, "op8_topk": OP8_SQL, "op9_url_filters": OP9_SQL, "op11_clusters": clustering_sql.sql(), "op13_conversations": conversations_sql.SQL}
