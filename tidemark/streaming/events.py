@@ -9,13 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 SCHEMA = "run_id string, seq long, ts timestamp, phase string, level string, title string, detail string, data string"
 
 
 def number(rows: DataFrame, start: int = 0) -> DataFrame:
-    """Events of each run in order of time, numbered after start."""
-    order = Window.partitionBy("run_id").orderBy("ts", "title")
-    return rows.withColumn("seq", F.row_number().over(order).cast("long") + start)
+    """Events of each run in order of time, numbered after start.
+
+    Ranges of (run, time) spread a long run over tasks; a task's share of a run is numbered from how many events
+    its shares before hold.
+    """
+    order = ("run_id", "ts", "title")
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    shares = placed.groupBy("run_id", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("run_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select(F.col("run_id").alias("_run"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    found = placed.join(shares, placed["run_id"].eqNullSafe(shares["_run"]) & (placed["_part"] == shares["_p"]))
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1 + start).alias("seq"))
 
 
 def append(rows: DataFrame, path: str) -> None:
