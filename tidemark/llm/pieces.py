@@ -14,7 +14,8 @@ leaves just these two. Merging never crosses a boundary whose sides keep it in i
 are the segmentations that merging leaves. Such arcs are compiled when two pieces first meet.
 
 Composition is by parts that no piece can span (before a blank after a non-blank, at a line break, between
-neighbours that no piece holds), and each worker keeps the paths of KEEP short parts. Decoding runs the inverse: ids to
+neighbours that no piece holds). Each worker keeps the paths of short parts in two generations of KEEP_BYTES: when
+the younger is full it becomes the older, which goes; what is met again moves to the younger. Decoding runs the inverse: ids to
 bytes, blanks back, first one off.
 
 Defined results: a null or empty text has no ids; equal rows each keep theirs; very long texts are encoded
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import sliced
 
 BLANK, END = "▁", ""
-KEEP, KEEP_CHARS, KEEP_PAIRS = 1_500_000, 48, 500_000  # a few hundred megabytes a worker at most
+#: What a worker keeps: parts of so many characters at most, twice so many bytes of them, so many ends of parts, and so many pairs of pieces.
+KEEP_CHARS, KEEP_BYTES, KEEP_ENDS, KEEP_PAIRS = 48, 160 << 20, 300_000, 500_000
+ENTRY = 260  # bytes that Python takes for a kept part besides its characters and ids
 
 
 class Merging:
@@ -78,7 +81,7 @@ class Transducer:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_arcs: dict[int, tuple[int, float]], follows: Callable[[str, str], bool] | None = None, single: bool = False):
         self.pieces, self.byte_arcs, self.follows, self.single = pieces, byte_arcs, follows, single
-        self.normaliser = str.maketrans({" ": BLANK})
+        self.normaliser = {" ": BLANK}
         #: A state of the trie holds the next states by character and, under END, the piece that ends there and its weight.
         self.trie: dict = {}
         for piece, (_, weight) in pieces.items():
@@ -90,6 +93,10 @@ class Transducer:
         most = max((i for i, _ in [*pieces.values(), *byte_arcs.values()]), default=0)
         self.dtype = "<u2" if most < 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
+        self.ends: dict[tuple[str, str], bytes | None] = {}
+        self.coded: dict[str, bytes] = {}
         self.out = [b""] * (most + 1)
         for piece, (i, _) in pieces.items():
             self.out[i] = piece.replace(BLANK, " ").encode()
@@ -97,7 +104,9 @@ class Transducer:
             self.out[i] = bytes([b])
 
     def normalised(self, text: str) -> str:
-        return BLANK + text.translate(self.normaliser) if text else ""
+        for before, after in self.normaliser.items():  # one state, and the arcs don't meet
+            text = text.replace(before, after)
+        return BLANK + text if text else ""
 
     def bytes_of(self, character: str) -> tuple[str, float]:
         return character, sum(self.byte_arcs[b][1] for b in character.encode())
@@ -108,7 +117,9 @@ class Transducer:
         back[position][memory] is the least weight of a path to that state, where its last arc began and what
         the machine remembered there.
         """
-        root, follows, single, n = self.trie, self.follows, self.single, len(text)
+        if self.single:
+            return self.only_path(text)
+        root, follows, n = self.trie, self.follows, len(text)
 
         def relax(here: dict, there: dict, piece: str, weight: float, at: int) -> None:
             for last, (cost, _, _) in here.items():
@@ -117,8 +128,6 @@ class Transducer:
                     if memory not in there or total < there[memory][0]:
                         there[memory] = (total, at, last)
 
-        if single and text in self.pieces:
-            return [text]  # merging leaves it whole, so no other path goes through
         back: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
         back[0][""] = (0.0, -1, "")
         for at in range(n):
@@ -129,10 +138,8 @@ class Transducer:
                 i += 1
                 if END in state:
                     covered = covered or i == at + 1
-                    there = back[i]
-                    if not (single and there):
-                        relax(here, there, *state[END], at)
-            if not covered and not (single and back[at + 1]):
+                    relax(here, back[i], *state[END], at)
+            if not covered:
                 relax(here, back[at + 1], *self.bytes_of(text[at]), at)
         memory, at, found = min(back[n], key=lambda m: back[n][m][0]), n, []
         while at:
@@ -141,6 +148,42 @@ class Transducer:
             at, memory = before, last
         return found[::-1]
 
+    def arcs(self, text: str, at: int) -> list[str]:
+        """The pieces that begin at a place, the longest last."""
+        state, i, n, found = self.trie, at, len(text), []
+        while i < n:
+            state = state.get(text[i])
+            if state is None:
+                break
+            i += 1
+            if END in state:
+                found.append(state[END][0])
+        if not found or len(found[0]) > 1:
+            found.insert(0, text[at])  # by its bytes
+        return found
+
+    def only_path(self, text: str) -> list[str]:
+        """The same where a position has one path at most, composed depth first: longer arcs first, and no position twice."""
+        if text in self.pieces:
+            return [text]  # merging leaves it whole, so no other path goes through
+        follows, n, at, path = self.follows, len(text), 0, [""]
+        met, ahead = {0}, [self.arcs(text, 0)]
+        while at < n:
+            arcs = ahead[-1]
+            if not arcs:  # no path goes through here
+                ahead.pop()
+                at -= len(path.pop())
+                continue
+            piece = arcs.pop()
+            to = at + len(piece)
+            if to not in met and (not at or follows(path[-1], piece)):
+                met.add(to)
+                path.append(piece)
+                at = to
+                if at < n:
+                    ahead.append(self.arcs(text, at))
+        return path[1:]
+
     def ids_of(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         return [self.byte_arcs[b][0] for b in piece.encode()] if found is None else [found[0]]
@@ -154,31 +197,68 @@ class Transducer:
                 start = i
         return [*found, part[start:]]
 
+    def keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= KEEP_CHARS and part not in self.known:
+            self.known[part] = ids
+            self.kept_bytes += ENTRY + 2 * len(part) + len(ids)
+            if self.kept_bytes > KEEP_BYTES:
+                self.known, self.older, self.kept_bytes = {}, self.known, 0
+
+    def kept(self, part: str) -> bytes | None:
+        ids = self.known.get(part)
+        if ids is None and (ids := self.older.get(part)) is not None:
+            self.keep(part, ids)
+        return ids
+
+    def code(self, piece: str) -> bytes:
+        found = self.coded.get(piece)
+        if found is None:
+            found = np.asarray(self.ids_of(piece), self.dtype).tobytes()
+            if piece in self.pieces:
+                self.coded[piece] = found
+        return found
+
+    def end(self, last: str, text: str) -> bytes | None:
+        """The ids along the only path from the state (last piece) through a short rest of a part; None if there is none.
+
+        Parts end alike more often than they are alike, so these are kept by state and rest.
+        """
+        key = last, text
+        if key in self.ends:
+            return self.ends[key]
+        found, follows = None, self.follows
+        for piece in reversed(self.arcs(text, 0)):
+            if not last or follows(last, piece):
+                rest = self.end(piece, text[len(piece) :]) if len(piece) < len(text) else b""
+                if rest is not None:
+                    found = self.code(piece) + rest
+                    break
+        if last:
+            if len(self.ends) >= KEEP_ENDS:
+                self.ends.clear()
+            self.ends[key] = found
+        return found
+
     def look_up(self, part: str) -> bytes:
-        found = b""
-        for cut in self.cuts(part):
-            if (ids := self.known.get(cut)) is None:
-                ids = np.asarray([i for piece in self.shortest(cut) for i in self.ids_of(piece)], self.dtype).tobytes()
-                if len(cut) <= KEEP_CHARS:
-                    self.known[cut] = ids
-            found += ids
-        if len(part) <= KEEP_CHARS:
-            self.known[part] = found
+        if (found := self.kept(part)) is not None:
+            return found
+        if self.single and len(part) <= KEEP_CHARS:
+            found = self.code(part) if part in self.pieces else self.end("", part)
+        else:
+            found = b"".join(self.code(piece) for cut in self.cuts(part) for piece in self.shortest(cut))
+        self.keep(part, found)
         return found
 
     #: Parts that no piece spans, as blanks begin pieces and line breaks are none's.
     parts = staticmethod(re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+").findall)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.known) > KEEP:
-            self.known.clear()
         words = self.parts(self.normalised(text))
-        get = self.known.get
-        found = [get(w) for w in words]
+        found = list(map(self.known.get, words))
         if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = get(w) or self.look_up(w)
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.look_up(words[i])
         return np.frombuffer(b"".join(found), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
