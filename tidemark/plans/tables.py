@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import incident_id
+from tidemark.operators import store
 from tidemark.sources.shared import new_path
 from tidemark.sources.warehouse import parquet
 from tidemark.streaming import delivery, events
@@ -47,7 +49,70 @@ def resumed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivered(spark, sf_dir, users.agg(F.floor(F.count(F.lit(1)) * 2 / 3).alias("after")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (delivered_events, resumed_events)}
+def stored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's events said last, by type, after three overlapping change sets of which the oldest comes again at the end."""
+    kinds = ("click", "error", "signup")
+    rows = parquet(spark, sf_dir, "events").select(
+        F.lit("events").alias("dataset_urn"), F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("version"),
+        *(F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in kinds),
+    )
+    table = store.notes(new_path(spark, "notes"), dict.fromkeys(kinds, "double"))
+    third = F.col("version") % 3
+    for some in (third != 2, third != 0, third != 1, third != 2):
+        store.merge(spark, table, rows.where(some))
+    return store.read(spark, table).drop("dataset_urn")
+
+
+def stored_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of each user's events as tags, put in twice."""
+    rows = parquet(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("urn"), F.lit("type").alias("field"), F.col("event_type").alias("tag"))
+    table = store.tags(new_path(spark, "tags"))
+    store.merge(spark, table, rows.where("urn >= '5'"))
+    store.merge(spark, table, rows)
+    return store.read(spark, table)
+
+
+def stored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An incident for each user and day with an error; fixed where there is a signup too, which is known before some errors are."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = parquet(spark, sf_dir, "events").select(F.concat(F.lit("drop-"), day).alias("drift"), F.col("user_id").cast("string").alias("dataset_urn"), F.col("event_type").alias("column"), "event_id")
+    named = incident_id(F.col("drift"), F.col("dataset_urn"), F.lit("error")).alias("id")
+    errors = rows.where("column = 'error'")
+    opened = errors.select(named, "drift", "dataset_urn", "column", F.lit("TRIAGE").alias("status"), F.lit(0).alias("version"))
+    reviewed = rows.where("column = 'signup'").join(errors.select("drift", "dataset_urn").distinct(), ["drift", "dataset_urn"], "left_semi")
+    fixed = reviewed.select(named, F.lit("FIXED").alias("status"), F.lit(1).alias("version"))
+    table = store.incidents(new_path(spark, "incidents"))
+    for changes in (opened, fixed, opened):
+        store.merge(spark, table, changes)
+    return store.read(spark, table)
+
+
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host's addresses without their queries, under the first page's label; later pages are put in before earlier ones."""
+    url = F.regexp_extract("url", "^[^?#]*", 0)
+    rows = parquet(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("urn"), url.alias("url"), F.concat(F.lit("page "), "page_id").alias("label"), F.col("page_id").alias("version"))
+    table = store.links(new_path(spark, "links"))
+    for some in (F.col("version") % 2 == 1, F.col("version") % 2 == 0, F.lit(True)):
+        store.merge(spark, table, rows.where(some))
+    return store.read(spark, table)
+
+
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From parts to the suppliers that ship them; then those of some suppliers are only what was returned, replaced twice."""
+    items = parquet(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("up_urn"), F.lit("part").alias("up_path"), F.col("l_suppkey").cast("string").alias("down_urn"), F.lit("supplier").alias("down_path"), "l_returnflag")
+    shipped = items.drop("l_returnflag").distinct().withColumns({"operation": F.lit("SHIPPED"), "version": F.lit(0)})
+    returned = items.where("l_returnflag = 'R'").drop("l_returnflag").distinct().withColumns({"operation": F.lit("RETURNED"), "version": F.lit(1)})
+    some = parquet(spark, sf_dir, "supplier").where("s_acctbal < 2500").select(F.col("s_suppkey").cast("string").alias("down_urn"))
+    table = store.edges(new_path(spark, "edges"))
+    store.merge(spark, table, shipped)
+    for _ in range(2):
+        store.replace(spark, table, some, returned)
+    return store.read(spark, table).select("up_urn", "down_urn", "operation")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (delivered_events, resumed_events, stored_notes, stored_tags, stored_incidents, stored_links, stored_edges)
+}
 
 # What marks the tools of a phase.
 PHASE = """case when regexp_matches(event_type, 'detect') then 'detect' when regexp_matches(event_type, 'impact|lineage|schema|quer|search') then 'impact'
@@ -60,4 +125,13 @@ ORACLE_SQL: dict[str, str] = {
     "delivered_events": f"select run_id, seq as position, seq, event_id, phase, skipped from ({NUMBERED})",
     "resumed_events": f"""select run_id, seq - had as position, seq, event_id, phase, skipped
 from (select *, case when user_id % 2 = 0 then n * 2 // 3 else 0 end as had from ({NUMBERED})) where seq > had""",
+    "stored_notes": """select cast(user_id as varchar) as name, max_by(value, event_id) filter (event_type = 'click') as click,
+max_by(value, event_id) filter (event_type = 'error') as error, max_by(value, event_id) filter (event_type = 'signup') as signup from events group by user_id""",
+    "stored_tags": "select distinct cast(user_id as varchar) as urn, 'type' as field, event_type as tag from events",
+    "stored_incidents": """select md5('{"drift":"' || drift || '","dataset":"' || urn || '","column":"error"}') as id, drift, urn as dataset_urn, 'error' as column, case when fixed then 'FIXED' else 'TRIAGE' end as status
+from (select 'drop-' || strftime(ts, '%Y-%m-%d') as drift, cast(user_id as varchar) as urn, bool_or(event_type = 'signup') as fixed, bool_or(event_type = 'error') as failed from events group by 1, 2) where failed""",
+    "stored_links": """select regexp_extract(url, '://([^/?#]*)', 1) as urn, regexp_extract(url, '^[^?#]*') as url, 'page ' || min(page_id) as label from pages group by 1, 2""",
+    "stored_edges": """with chosen as (select s_suppkey from supplier where s_acctbal < 2500)
+select distinct cast(l_partkey as varchar) as up_urn, cast(l_suppkey as varchar) as down_urn, case when s_suppkey is null then 'SHIPPED' else 'RETURNED' end as operation
+from lineitem left join chosen on l_suppkey = s_suppkey where s_suppkey is null or l_returnflag = 'R'""",
 }
