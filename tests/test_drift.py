@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from tidemark.functions import names
-from tidemark.operators import drift
+from tidemark.operators import drift, matching
 from tidemark.plans import fixtures as fx
 
 URN = fx.urn("orders")
@@ -67,7 +67,7 @@ def test_missing_and_new_datasets_take_no_part(spark):
 
 @pytest.mark.parametrize("a, b, ratio", [("order_placed_at", "order_created_at", 0.7742), ("placed_at", "created_at", 0.6316), ("placed_at", "new_flag", 0.2353), ("customer_email", "customer_mail", 0.963), ("billing_zip", "billing_postcode", 0.6667)])
 def test_similarity(spark, a, b, ratio):
-    got = fx.local(spark, [(a, b)], "a string, b string").select(drift.similarity("a", "b")).first()[0]
+    got = fx.local(spark, [(a, b)], "a string, b string").select(matching.similarity("a", "b")).first()[0]
     assert got == SequenceMatcher(None, a, b).ratio() == pytest.approx(ratio, abs=1e-4)
 
 

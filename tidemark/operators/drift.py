@@ -6,27 +6,18 @@ snapshot has take no part. Names compare with their case.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from tidemark.functions.names import dataset_name, drift_id
+from tidemark.operators import matching
 from tidemark.operators.lineage import cut
 
-THRESHOLD = 0.55
+LEAST = (11, 20)
+THRESHOLD = LEAST[0] / LEAST[1]
 EVENT = ("id", "kind", "dataset_urn", "dataset_name", "old_column", "new_column", "old_type", "new_type", "confidence", "rationale")
 
 
-@pandas_udf(T.DoubleType())
-def similarity(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of two names without their case; the order of the two matters."""
-    return pd.Series([SequenceMatcher(None, a.casefold(), b.casefold()).ratio() for a, b in zip(old, new)], dtype="float64")
-
-
 def _side(snapshot: DataFrame, prefix: str) -> DataFrame:
     return snapshot.select("dataset_urn", F.col("name").alias(f"{prefix}_column"), F.col("native_type").alias(f"{prefix}_type"), F.col("ordinal").alias(f"{prefix}_ordinal"))
 
@@ -48,46 +39,55 @@ def added(baseline: DataFrame, live: DataFrame) -> DataFrame:
     return removed(live, baseline).toDF("dataset_urn", "new_column", "new_type", "new_ordinal")
 
 
+Sides = tuple[DataFrame, DataFrame]
+
+
+def sides(baseline: DataFrame, live: DataFrame) -> Sides:
+    """Removed columns and added ones, each with how many of either its dataset has; datasets that lack one kind have none to pair."""
+    old, new = removed(baseline, live), added(baseline, live)
+    n_old = old.groupBy("dataset_urn").agg(F.count_distinct("old_column").cast("int").alias("n_removed"))
+    n_new = new.groupBy("dataset_urn").agg(F.count_distinct("new_column").cast("int").alias("n_added"))
+    counts = cut(n_old.join(n_new, "dataset_urn"))
+    return old.join(counts, "dataset_urn"), new.join(counts.select("dataset_urn"), "dataset_urn")
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("same_type", F.col("old_type") == F.col("new_type")).withColumn("same_ordinal", F.col("old_ordinal") == F.col("new_ordinal"))
+
+
 def candidates(baseline: DataFrame, live: DataFrame) -> DataFrame:
     """Every removed column of a dataset beside every added one, with what ranks them."""
-    pairs = removed(baseline, live).join(added(baseline, live), "dataset_urn")
-    whole = Window.partitionBy("dataset_urn")
-    pairs = pairs.withColumn("n_removed", F.size(F.collect_set("old_column").over(whole))).withColumn("n_added", F.size(F.collect_set("new_column").over(whole)))
-    return pairs.withColumn("same_type", F.col("old_type") == F.col("new_type")).withColumn("same_ordinal", F.col("old_ordinal") == F.col("new_ordinal"))
+    old, new = sides(baseline, live)
+    return compared(old.join(new, "dataset_urn"))
 
 
-def renamed_fast(baseline: DataFrame, live: DataFrame) -> DataFrame:
+def renamed_fast(baseline: DataFrame, live: DataFrame, known: Sides | None = None) -> DataFrame:
     """One column gone, one come, of the same type: a rename whatever the names."""
-    return candidates(baseline, live).where("n_removed = 1 and n_added = 1 and same_type").withColumn("confidence", F.lit(0.95)).withColumn("similarity", F.lit(None).cast("double"))
+    old, new = known or sides(baseline, live)
+    pairs = compared(old.where("n_removed = 1 and n_added = 1").join(new, "dataset_urn"))
+    return pairs.where("same_type").withColumn("confidence", F.lit(0.95)).withColumn("similarity", F.lit(None).cast("double"))
 
 
-def renamed_greedy(baseline: DataFrame, live: DataFrame) -> DataFrame:
+def renamed_greedy(baseline: DataFrame, live: DataFrame, known: Sides | None = None) -> DataFrame:
     """Otherwise the best pair first, then the best of what is left, down to the threshold.
 
-    Taking pairs in turn depends on those taken before, so each dataset's candidates (a few columns beside a
-    few) are taken in one pass over them in rank order.
+    Only names whose letters allow the threshold are compared, and pairs are taken in rounds over all datasets
+    (operators.matching).
     """
-    many = candidates(baseline, live).where("not (n_removed = 1 and n_added = 1)").withColumn("similarity", similarity("old_column", "new_column"))
-    many = many.where(F.col("similarity") >= THRESHOLD)
-
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        ranked = part.sort_values(["same_type", "similarity", "same_ordinal", "old_column", "new_column"], ascending=False)
-        old, new, kept = set(), set(), []
-        for a, b in zip(ranked["old_column"], ranked["new_column"]):
-            kept.append(a not in old and b not in new)
-            if kept[-1]:
-                old.add(a)
-                new.add(b)
-        return ranked[kept]
-
-    taken = many.groupBy("dataset_urn").applyInPandas(take, many.schema)
+    old, new = known or sides(baseline, live)
+    old = cut(old.where("not (n_removed = 1 and n_added = 1)"))
+    named = matching.alike(old.select("dataset_urn", F.col("old_column").alias("name")), new.join(old.select("dataset_urn").distinct(), "dataset_urn", "left_semi").select("dataset_urn", F.col("new_column").alias("name")), ["dataset_urn"], LEAST)
+    named = named.withColumnsRenamed({"old": "old_column", "new": "new_column"})
+    many = compared(named.join(old, ["dataset_urn", "old_column"]).join(new, ["dataset_urn", "new_column"]))
+    ends = ["dataset_urn", "old_column"], ["dataset_urn", "new_column"]
+    taken = matching.greedy(many, *ends, ["same_type", "similarity", "same_ordinal", "old_column", "new_column"])
     score = F.when(F.col("same_type"), 0.5).otherwise(0.0) + 0.4 * F.col("similarity") + F.when(F.col("same_ordinal"), 0.1).otherwise(0.0)
     return taken.withColumn("confidence", F.least(F.lit(0.9), score))
 
 
 def renamed(baseline: DataFrame, live: DataFrame) -> DataFrame:
-    fast = renamed_fast(baseline, live)
-    return fast.unionByName(renamed_greedy(baseline, live))
+    known = sides(baseline, live)
+    return renamed_fast(baseline, live, known).unionByName(renamed_greedy(baseline, live, known))
 
 
 def dropped(baseline: DataFrame, live: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

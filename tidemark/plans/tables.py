@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import incident_id
-from tidemark.operators import store
+from tidemark.operators import drift, matching, store
 from tidemark.sources.shared import new_path
 from tidemark.sources.warehouse import parquet
 from tidemark.streaming import delivery, events
@@ -110,8 +110,49 @@ def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, table).select("up_urn", "down_urn", "operation")
 
 
+def part_columns(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    """The parts with even or odd keys as columns of one dataset for each brand: named by name and type, at the place of their least size."""
+    rows = parquet(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd)
+    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.lower("p_type")).alias("name")
+    urn = F.concat(F.lit("urn:li:dataset:(urn:li:dataPlatform:shop,shop.parts."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(",PROD)")).alias("dataset_urn")
+    return rows.groupBy(urn, name).agg(F.min("p_size").alias("ordinal"), F.min("p_type").alias("native_type"))
+
+
+def similar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By brand, names of even parts beside those of odd ones that their letters allow to be alike, and how many letters they share."""
+    old, new = (part_columns(spark, sf_dir, odd).select("dataset_urn", "name") for odd in (0, 1))
+    return matching.candidates(old, new, ["dataset_urn"], drift.LEAST)
+
+
+def pruned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By brand, how many pairs of names there are, and how many of them need to be compared letter by letter."""
+    old, new = (part_columns(spark, sf_dir, odd).select("dataset_urn", "name") for odd in (0, 1))
+    n = [x.groupBy("dataset_urn").agg(F.count(F.lit(1)).alias(c)) for x, c in ((old, "n_old"), (new, "n_new"))]
+    kept = matching.candidates(old, new, ["dataset_urn"], drift.LEAST).groupBy("dataset_urn").agg(F.count(F.lit(1)).alias("compared"))
+    both = n[0].join(n[1], "dataset_urn").join(kept, "dataset_urn", "left")
+    return both.select("dataset_urn", (F.col("n_old") * F.col("n_new")).alias("pairs"), F.coalesce("compared", F.lit(0)).alias("compared"))
+
+
+def renamed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames from the even parts' columns to the odd ones', greedily by dataset."""
+    found = drift.renamed_greedy(part_columns(spark, sf_dir, 0), part_columns(spark, sf_dir, 1))
+    return found.select("dataset_urn", "old_column", "new_column", "similarity", "confidence")
+
+
+def nearest_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a nation whose balances are within 500, paired greedily, the nearest first."""
+    width, cents = 50_000, lambda c: F.round(F.col(c) * 100).cast("long")
+    one = parquet(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), cents("c_acctbal").alias("a"))
+    two = parquet(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), cents("s_acctbal").alias("b"))
+    band = lambda c: F.floor(F.col(c) / width)
+    one = one.withColumn("band", F.explode(F.array(*(band("a") + i for i in (-1, 0, 1)))))
+    pairs = one.join(two.withColumn("band", band("b")), ["nation", "band"]).withColumn("apart", F.abs(F.col("a") - F.col("b"))).where(F.col("apart") <= width)
+    pairs = pairs.select("nation", "customer", "supplier", "apart", (-F.col("apart")).alias("near"), (-F.col("customer")).alias("c"), (-F.col("supplier")).alias("s"))
+    return matching.greedy(pairs, ["nation", "customer"], ["nation", "supplier"], ["near", "c", "s"]).select("nation", "customer", "supplier", "apart")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (delivered_events, resumed_events, stored_notes, stored_tags, stored_incidents, stored_links, stored_edges)
+    f.__name__: f for f in (delivered_events, resumed_events, stored_notes, stored_tags, stored_incidents, stored_links, stored_edges, similar_candidates, pruned_candidates, renamed_parts, nearest_accounts)
 }
 
 # What marks the tools of a phase.
@@ -121,7 +162,33 @@ when regexp_matches(event_type, 'pull|pr') then 'pr' when regexp_matches(event_t
 NUMBERED = f"""select cast(user_id as varchar) as run_id, row_number() over (partition by user_id order by ts, event_id) as seq, count(*) over (partition by user_id) as n,
 event_id, {PHASE} as phase, cast(0 as bigint) as skipped, user_id from events"""
 
+URN = "'urn:li:dataset:(urn:li:dataPlatform:shop,shop.parts.' || replace(p_brand, '#', '') || ',PROD)'"
+CANDIDATES = f"""with n as (select distinct p_partkey % 2 as odd, {URN} as dataset_urn, replace(p_name, ' ', '_') || '_' || lower(p_type) as name from part),
+l as (select odd, dataset_urn, name, letter, count(*) as times from (select *, unnest(string_split(name, '')) as letter from n) group by all),
+shared as (
+  select a.dataset_urn, a.name as old, b.name as new, cast(sum(least(a.times, b.times)) as int) as shared
+  from l a join l b on a.odd = 0 and b.odd = 1 and a.dataset_urn = b.dataset_urn and a.letter = b.letter group by all
+),
+kept as (select * from shared where 40 * shared >= 11 * (length(old) + length(new)))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "similar_candidates": f"{CANDIDATES} select * from kept",
+    "pruned_candidates": f"""{CANDIDATES}, compared as (select dataset_urn, count(*) as compared from kept group by dataset_urn)
+select dataset_urn, pairs, coalesce(compared, 0) as compared
+from (select dataset_urn, count(*) filter (odd = 0) * count(*) filter (odd = 1) as pairs from n group by dataset_urn) left join compared using (dataset_urn) where pairs > 0""",
+    "nearest_accounts": """with recursive p as (
+  select c_nationkey as nation, c_custkey as customer, s_suppkey as supplier, abs(cast(round(c_acctbal * 100) as bigint) - cast(round(s_acctbal * 100) as bigint)) as apart
+  from customer join supplier on c_nationkey = s_nationkey
+),
+r as (select *, row_number() over (partition by nation order by apart, customer, supplier) as k from p where apart <= 50000),
+g as (
+  select distinct nation, cast(0 as bigint) as k, cast([] as bigint[]) as cs, cast([] as bigint[]) as ss, cast(null as bigint) as customer, cast(null as bigint) as supplier, cast(null as bigint) as apart from r
+  union all
+  select g.nation, r.k, case when free then list_append(cs, r.customer) else cs end, case when free then list_append(ss, r.supplier) else ss end,
+         case when free then r.customer end, case when free then r.supplier end, case when free then r.apart end
+  from g join r on r.nation = g.nation and r.k = g.k + 1, lateral (select not list_contains(cs, r.customer) and not list_contains(ss, r.supplier) as free)
+)
+select nation, customer, supplier, apart from g where customer is not null""",
     "delivered_events": f"select run_id, seq as position, seq, event_id, phase, skipped from ({NUMBERED})",
     "resumed_events": f"""select run_id, seq - had as position, seq, event_id, phase, skipped
 from (select *, case when user_id % 2 = 0 then n * 2 // 3 else 0 end as had from ({NUMBERED})) where seq > had""",
