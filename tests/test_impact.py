@@ -139,12 +139,38 @@ def test_repairs_spare_literals_comments_and_longer_names(spark):
     got = [r["text"] for r in repair.rename(code, patch, "placed_at", "made_at").orderBy("line").collect()]
     assert got == ["select o.made_at, MADE_AT as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at", "from t o", "order by made_at desc limit 5"]
     got = [r["text"] for r in repair.retype(code, patch, "placed_at", "DATE").orderBy("line").collect()]
-    assert got[0] == "select CAST(o.placed_at AS DATE), CAST(PLACED_AT AS DATE) as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at"
+    assert got[0] == "select CAST(o.placed_at AS DATE) AS placed_at, CAST(PLACED_AT AS DATE) as x, 'placed_at, placed_at' as s, placed_at_utc -- placed_at"
     bare, _ = code_of(spark, "select", "    o.placed_at,", "    id", "from t o")
     got = [r["text"] for r in repair.retype(bare, patch, "placed_at", "DATE").orderBy("line").collect()]
     assert got[1] == "    CAST(o.placed_at AS DATE) AS placed_at,"
 
 
+def test_a_retyped_item_keeps_its_name_wherever_it_stands(spark):
+    code, patch = code_of(spark, "select id, f(id, amount, 1), AMOUNT from (select distinct amount, sum(amount) over (partition by id, amount, k) s from t) u", "where amount > 1 group by id, amount, k")
+    got = [r["text"] for r in repair.retype(code, patch, "amount", "N").orderBy("line").collect()]
+    assert got == [
+        "select id, f(id, CAST(amount AS N), 1), CAST(AMOUNT AS N) AS AMOUNT from (select distinct CAST(amount AS N) AS amount, sum(CAST(amount AS N)) over (partition by id, CAST(amount AS N), k) s from t) u",
+        "where CAST(amount AS N) > 1 group by id, CAST(amount AS N), k",
+    ]
+    again, _ = code_of(spark, *got)
+    assert [r["text"] for r in repair.retype(again, patch, "amount", "N").orderBy("line").collect()] == got
+
+
+def test_retype_gives_the_published_patch(spark):
+    after = {p["asset"]: p["after"] for p in repair.patches(fx.code_lines(spark), q.repaired(spark, "retype")[0]).collect()}
+    assert "order_placed_at, CAST(gross_amount AS NUMBER(12,2)) AS gross_amount\n" in after["extract_recent_orders"]
+    assert "    CAST(gross_amount AS NUMBER(12,2)) AS gross_amount,\n    CAST(gross_amount AS NUMBER(12,2)) - coalesce(discount_amount, 0) as net_amount\n" in after["stg_orders"]
+
+
+def test_comments_and_quoted_names_are_no_references(spark):
+    lines = ["select a, /* a, old */ old -- old", "  , '/* old', \"old\", 'it''s -- old' /* old", "old */ + old as x /* a */ , b /*", " /* old", "'old' */ from t where old = '--' and b = old -- */ old", "/* old"]
+    code, patch = code_of(spark, *lines)
+    found = references.matching(references.find(code), "old").collect()
+    assert sorted((r["line"], r["bare"]) for r in found) == [(1, True), (3, False), (5, False), (5, False)]
+    got = [r["text"] for r in repair.rename(code, patch, "old", "new").orderBy("line").collect()]
+    assert got == ["select a, /* a, old */ new -- old", lines[1], "old */ + new as x /* a */ , b /*", " /* old", "'old' */ from t where new = '--' and b = new -- */ old", "/* old"]
+
+
 def test_analysis_names_what_is_missing(spark):
     from tidemark.operators import analysis
 

@@ -14,16 +14,36 @@ from pyspark.sql import functions as F
 
 #: Words of the workload's SQL that are never columns.
 KEYWORDS = ["select", "from", "where", "group", "by", "left", "join", "on", "as", "with", "and", "or", "not", "is", "null", "false", "true", "case", "when", "then", "else", "end", "day", "inner", "distinct", "having", "order", "limit", "in", "like", "between", "over", "partition", "asc", "desc", "union", "all", "exists", "interval"]
-WORD = r"""'[^']*'|\{\w+\}|:?[A-Za-z_]\w*|\d+|<>|[^\s\w]"""
-
-COMMENT = "--.*$"
+#: A literal, a quoted name, a comment (to its end, or the line's), a name, a number or a sign; what comes first in a line decides.
+#: Words that begin a clause.
+CLAUSES = ["select", "from", "where", "group", "having", "order", "limit", "on"]
+WORD = r"""'[^']*'|"[^"]*"|--.*$|/\*.*?(?:\*/|$)|\{\w+\}|:?[A-Za-z_]\w*|\d+|<>|[^\s\w]"""
+#: What a comment that an earlier line opened takes of a line: all of it, or up to its end.
+REST = r"^(?:(?!\*/).)*(?:\*/|$)"
+
+
+def split(code: DataFrame) -> DataFrame:
+    """code with words: the line's words, each with the blanks before it; of a line that begins in a comment, the comment's rest is the first.
+
+    Whether a line ends in a comment doesn't depend on the lines before unless it neither opens nor closes one, so
+    the last line that does tells for all after it.
+    """
+    parts = lambda text: F.regexp_extract_all(text, F.lit(rf"\s*(?:{WORD})"), F.lit(0))
+    opens = lambda words: F.exists(words, lambda w: F.ltrim(w).startswith("/*") & ~w.endswith("*/"))
+    rest = F.regexp_extract("text", REST, 0)
+    inside, outside = F.concat(F.array(rest), parts(F.substring(F.col("text"), F.length(rest) + 1, F.length("text")))), parts(F.col("text"))
+    rows = code.withColumn("_out", outside).withColumn("_in", inside)
+    ends = F.when(opens(F.col("_out")), True).when(F.contains("text", F.lit("*/")), opens(F.col("_in")))
+    before = Window.partitionBy("asset_urn").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(False))
+    return rows.withColumn("words", F.when(begins, F.col("_in")).otherwise(F.col("_out"))).withColumn("commented", begins).drop("_in", "_out")
 
 
 def words(code: DataFrame) -> DataFrame:
-    """asset_urn, asset, kind, line, at (its number in the line), word."""
-    plain = F.regexp_replace("text", COMMENT, "")
-    split = F.posexplode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("at", "word")
-    return code.select("asset_urn", "asset", "kind", "line", split)
+    """asset_urn, asset, kind, line, at (its number in the line), word; comments aren't words, but are numbered."""
+    rows = split(code).select("asset_urn", "asset", "kind", "line", "commented", F.posexplode("words").alias("at", "word"))
+    comment = (F.col("commented") & (F.col("at") == 0)) | F.ltrim("word").startswith("--") | F.ltrim("word").startswith("/*")
+    return rows.where(~comment).select("asset_urn", "asset", "kind", "line", "at", F.trim("word").alias("word"))
 
 
 def placed(code: DataFrame) -> DataFrame:
@@ -31,7 +51,7 @@ def placed(code: DataFrame) -> DataFrame:
     order = Window.partitionBy("asset_urn").orderBy("line", "at")
     low = F.lower("word")
     rows = words(code).withColumn("low", low)
-    for n in (1, 2, 3):
+    for n in (1, 2, 3, 4):
         rows = rows.withColumn(f"prev{n}", F.coalesce(F.lag("low", n).over(order), F.lit("")))
     for n in (1, 2):
         rows = rows.withColumn(f"next{n}", F.coalesce(F.lead("low", n).over(order), F.lit("")))
@@ -40,7 +60,9 @@ def placed(code: DataFrame) -> DataFrame:
     opens = (F.col("word") == "(") & (F.col("prev1") == "as") & (F.col("depth") == 1)
     outer = F.when((F.col("word") == "(") & (F.col("depth") == 1), F.when(opens, F.col("prev2")).otherwise(""))
     rows = rows.withColumn("body", F.last(outer, ignorenulls=True).over(order))
-    return rows.withColumn("scope", F.when((F.col("depth") > 0) & (F.col("body") != ""), F.col("body")))
+    rows = rows.withColumn("scope", F.when((F.col("depth") > 0) & (F.col("body") != ""), F.col("body")))
+    clause = F.last(F.when(F.col("low").isin(*CLAUSES), F.struct("low", "depth")), ignorenulls=True).over(order)
+    return rows.withColumn("clause", clause)
 
 
 def tables(code: DataFrame) -> DataFrame:
@@ -52,7 +74,7 @@ def tables(code: DataFrame) -> DataFrame:
 
 
 def find(code: DataFrame) -> DataFrame:
-    """asset_urn, asset, kind, line, scope, qualifier, name."""
+    """asset_urn, asset, kind, line, at, scope, qualifier, name, bare (it is an item of a select list, with no name of its own) and cast (it is all that a cast holds)."""
     rows = placed(code)
     is_name = F.col("word").rlike("^[A-Za-z_]\\w*$") & ~F.col("low").isin(*KEYWORDS)
     is_table = F.col("prev1").isin("from", "join")
@@ -60,7 +82,11 @@ def find(code: DataFrame) -> DataFrame:
     is_local = (F.col("next1") == "as") & (F.col("next2") == "(")
     used = is_name & ~is_table & ~is_alias & ~is_local & (F.col("prev1") != "as") & ~F.col("next1").isin("(", ".")
     qualifier = F.when(F.col("prev1") == ".", F.col("prev2"))
-    return rows.where(used).select("asset_urn", "asset", "kind", "line", "at", "scope", qualifier.alias("qualifier"), F.col("word").alias("name"))
+    ahead = F.when(F.col("prev1") == ".", F.col("prev3")).otherwise(F.col("prev1"))
+    listed = (F.col("clause.low") == "select") & (F.col("clause.depth") == F.col("depth"))
+    bare = listed & ahead.isin("select", "distinct", ",") & F.col("next1").isin(",", "from", "")
+    cast = (ahead == "(") & (F.when(F.col("prev1") == ".", F.col("prev4")).otherwise(F.col("prev2")) == "cast") & (F.col("next1") == "as")
+    return rows.where(used).select("asset_urn", "asset", "kind", "line", "at", "scope", qualifier.alias("qualifier"), F.col("word").alias("name"), bare.alias("bare"), cast.alias("cast"))
 
 
 def matching(references: DataFrame, column: str) -> DataFrame:

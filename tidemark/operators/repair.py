@@ -17,51 +17,51 @@ from tidemark.operators import references
 
 
 def _referring(code: DataFrame, patch: DataFrame, column: str) -> DataFrame:
-    """code with refs: where, among a line's words, an asset to patch (asset_urn) names the column; null if nowhere."""
+    """code with its words, and refs: where, among a line's words, an asset to patch (asset_urn) names the column; null if nowhere.
+
+    bare and cast: where it is a select item of its own, and where a cast holds it.
+    """
     found = references.matching(references.find(code), column).join(patch.select("asset_urn").distinct(), "asset_urn", "left_semi")
-    return code.join(found.groupBy("asset_urn", "line").agg(F.collect_set("at").alias("refs")), ["asset_urn", "line"], "left")
+    where = lambda c: F.collect_set(F.when(F.col(c), F.col("at"))).alias(c)
+    found = found.groupBy("asset_urn", "line").agg(F.collect_set("at").alias("refs"), where("bare"), where("cast"))
+    return references.split(code).join(found, ["asset_urn", "line"], "left")
 
 
-def _edited(text: Column, refs: Column, edit: Callable[[Column, Column, Column], Column]) -> Column:
-    """A line whose words are edited by place; what lies between and after them, comments too, stays to the byte.
+def _edited(edit: Callable[[Column, Column], Column]) -> Column:
+    """A line whose words are edited by place; all other text, comments too, stays to the byte.
 
-    edit takes all words with the blanks before them, a word and its place.
+    edit takes a word with the blanks before it, and its place.
     """
-    plain = F.regexp_replace(text, references.COMMENT, "")
-    split = F.regexp_extract_all(plain, F.lit(rf"\s*(?:{references.WORD})"), F.lit(0))
-    rest = F.substring(text, F.length(F.array_join(split, "")) + 1, F.length(text))
-    return F.when(refs.isNull(), text).otherwise(F.concat(F.array_join(F.transform(split, lambda w, i: edit(split, w, i)), ""), rest))
+    rest = F.substring(F.col("text"), F.length(F.array_join("words", "")) + 1, F.length("text"))
+    return F.when(F.col("refs").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("words", edit), ""), rest))
 
 
 def rename(code: DataFrame, patch: DataFrame, old: str, new: str) -> DataFrame:
     """Every reference by its new name, in the case it is written in. An output called by its input is then renamed as well."""
-    rows = _referring(code, patch, old)
 
-    def edit(split: Column, word: Column, at: Column) -> Column:
+    def edit(word: Column, at: Column) -> Column:
         name = F.trim(word)
         to = F.when(name == F.upper(name), F.lit(new.upper())).when(name == F.lower(name), F.lit(new.lower())).otherwise(F.lit(new))
         return F.when(F.array_contains("refs", at), F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(name)), to)).otherwise(word)
 
-    return rows.withColumn("text", _edited(F.col("text"), F.col("refs"), edit)).select(*code.columns)
+    return _referring(code, patch, old).withColumn("text", _edited(edit)).select(*code.columns)
 
 
 def retype(code: DataFrame, patch: DataFrame, column: str, old_type: str) -> DataFrame:
-    """Every reference cast back to its old type; a bare select item keeps its name."""
-    rows = _referring(code, patch, column)
-    bare = rf"(?i)^\s*(?:\w+\.)?{re.escape(column)}\s*,?\s*$"
-    done = rf"(?i)cast\(\s*(\w+\.)?{re.escape(column)}\s+as\s+{re.escape(old_type)}\)"
-    named = F.when(F.col("text").rlike(bare), F.lit(f" AS {old_type}) AS {column}")).otherwise(F.lit(f" AS {old_type})"))
-
-    def edit(split: Column, word: Column, at: Column) -> Column:
-        word_at = lambda i: F.coalesce(F.trim(F.get(split, i)), F.lit(""))
-        ends = F.array_contains("refs", at)
-        begins = F.when(word_at(at + 1) == ".", F.array_contains("refs", at + 2)).otherwise(ends & (word_at(at - 1) != "."))
+    """Every reference cast back to its old type, unless it is; a select item of its own keeps its name."""
+    done = F.col("text").rlike(rf"(?i)cast\(\s*(\w+\.)?{re.escape(column)}\s+as\s+{re.escape(old_type)}\s*\)")
+    goes = lambda at: F.array_contains("refs", at) & ~(done & F.array_contains("cast", at))
+
+    def edit(word: Column, at: Column) -> Column:
+        word_at = lambda i: F.coalesce(F.trim(F.get("words", i)), F.lit(""))
+        ends = goes(at)
+        begins = F.when(word_at(at + 1) == ".", goes(at + 2)).otherwise(ends & (word_at(at - 1) != "."))
         name = F.trim(word)
         blanks = F.substring(word, F.lit(1), F.length(word) - F.length(name))
+        named = F.when(F.array_contains("bare", at), F.concat(F.lit(f" AS {old_type}) AS "), name)).otherwise(F.lit(f" AS {old_type})"))
         return F.concat(blanks, F.when(begins, F.lit("CAST(")).otherwise(F.lit("")), name, F.when(ends, named).otherwise(F.lit("")))
 
-    edited = F.when(F.col("text").rlike(done), F.col("text")).otherwise(_edited(F.col("text"), F.col("refs"), edit))
-    return rows.withColumn("text", edited).select(*code.columns)
+    return _referring(code, patch, column).withColumn("text", _edited(edit)).select(*code.columns)
 
 
 def drop(code: DataFrame, patch: DataFrame, column: str, dated: str) -> DataFrame:

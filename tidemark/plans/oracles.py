@@ -219,7 +219,7 @@ from information_schema.columns where table_name in ('region', 'nation', 'custom
     "reference_locations": f"select asset_urn, cast(n as bigint) as n_references, lines from (values ('{fx.urn('extract_recent_orders')}', 2, '2,4'), ('{fx.urn('stg_orders')}', 1, '7'), ('{fx.urn('fct_orders')}', 1, '12')) as t(asset_urn, n, lines)",
     "drift_rename_greedy": f"select '{fx.MIXED_BASELINE[0][0]}' as dataset_urn, old_column, new_column, least(0.9, 0.5 * cast(same as int) + 0.4 * ratio + 0.1) as confidence from (values ('placed_at', 'created_at', true, 12.0 / 19), ('customer_email', 'customer_mail', true, 26.0 / 27), ('billing_zip', 'billing_postcode', true, 18.0 / 27)) as t(old_column, new_column, same, ratio)",
     "drift_add": f"select * from (values ('{fx.MIXED_BASELINE[0][0]}', 'new_flag'), ('{fx.MIXED_BASELINE[5][0]}', 'amount_text')) as t(dataset_urn, new_column)",
-    "analysis_checks": "select scenario, state, asset, broken is null as ok, broken as object from (select s.scenario, state, asset from (values ('rename'), ('drop')) as s(scenario), (values ('before'), ('after')) as b(state), (values "
+    "analysis_checks": "select scenario, state, asset, broken is null as ok, broken as object from (select s.scenario, state, asset from (values ('rename'), ('retype'), ('drop')) as s(scenario), (values ('before'), ('after')) as b(state), (values "
     + ", ".join(f"('{a}')" for a in (*fx.MODELS, *fx.EXTRACTS))
     + ") as a(asset)) left join (values ('rename', 'before', 'stg_orders', 'order_placed_at'), ('rename', 'before', 'extract_recent_orders', 'order_placed_at'), ('drop', 'before', 'stg_customers', 'marketing_opt_in')) as f(scenario, state, asset, broken) using (scenario, state, asset)",
     "catalog_consistency": f"select regexp_extract(dataset_urn, '([^.]+),PROD', 1) as model, cast(count(*) as int) as n_columns, true as declared_same, true as traced_same from {COLS} where contains(dataset_urn, 'dataPlatform:dbt') group by 1",

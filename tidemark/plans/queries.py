@@ -357,9 +357,9 @@ def saved_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which statements Spark resolves on the changed columns, before and after the repair."""
-    found, order, as_of = None, [*EXTRACTS, *MODELS], {":as_of": "timestamp_ntz'1998-08-02 00:00:00'"}
+    found, order, as_of = None, [*EXTRACTS, *MODELS], {":as_of": "timestamp_ntz'1998-08-02 00:00:00'", "NUMBER(": "DECIMAL("}
     texts = spark.createDataFrame([(a, 1, sql) for a, sql in (MODELS | EXTRACTS).items()], "asset string, line int, text string")
-    for s in ("rename", "drop"):
+    for s in SCENARIOS:
         mended = repaired(spark, s)[0].select("asset", "line", "text")
         mended = mended.unionByName(texts.join(mended.select("asset").distinct(), "asset", "left_anti"))
         for state, code in (("before", texts), ("after", mended)):
