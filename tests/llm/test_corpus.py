@@ -218,3 +218,23 @@ def test_few_blocks_are_scored(spark, monkeypatch):
 def test_scores_beyond_doubles_are_exact():
     big = np.array([[2.0**40, 1.0]])
     assert topk.dot(big, big)[0][0] == 2**80 + 1
+
+
+def test_lm_parts_send_no_empty_rows():
+    texts = [" ".join(f"w{(7 * i + k) % 50}" for k in range(40)) for i in range(20)]
+    for shards in (1, 1000, 10**6):
+        for table, n in zip(lm.asked(3, texts, [True] * 10 + [False] * 10, shards, 3, 64), (1, 2, 3)):
+            keys = [np.cumsum(lm.unpacked(k, "<u8"), dtype=np.uint64) for k in table["keys"].to_pylist()]
+            distinct = np.unique(np.concatenate(keys))
+            assert all(map(len, keys)) and len(table) <= min(shards, len(distinct)) and set(table["n"].to_pylist()) == {n}
+            assert len(distinct) == sum(map(len, keys)) and (np.diff(table["shard"].to_numpy()) > 0).all()
+
+
+def test_lm_scores_do_not_depend_on_parts_and_shards(spark, monkeypatch):
+    docs = documents(spark, [(i, " ".join(f"w{(i * k) % 31}" for k in range(i % 17)), None, None, 0) for i in range(120)])
+    scores = []
+    for part, shard in ((8_000_000, 16_000_000), (300, 20), (50, 5)):
+        monkeypatch.setattr(lm, "PART", part)
+        monkeypatch.setattr(lm, "SHARD", shard)
+        scores.append(sorted(map(tuple, lm.score(docs, fold("doc_id", 7) != 2).collect())))
+    assert scores[0] == scores[1] == scores[2] or all(a[:4] == b[:4] and a[4:] == pytest.approx(b[4:]) for s in scores[1:] for a, b in zip(scores[0], s))

@@ -11,8 +11,8 @@ an arc.
 
 The model is as large as the corpus, so no task holds it. Texts are dealt by hash into parts of about PART
 characters. A part sends the distinct n-grams of its texts, as sorted hashes with their counts in training
-texts, to shards by hash; a shard adds the counts of all parts up and answers each part with the totals of
-what it sent, in its order. A part then compiles the arcs and states that its own texts can meet, and
+texts, to shards by hash, a row to each shard that gets any; a shard adds the counts of all parts up and answers
+each part with the totals of what it sent, in its order. Totals over all words are counted before. A part then compiles the arcs and states that its own texts can meet, and
 traverses them. A frequent n-gram is sent once by each part, so no shard is hot; both exchanges follow the
 number of distinct n-grams by part, and a task's memory PART, or its longest text where that is longer.
 Words have 64-bit hashes; those of longer n-grams keep SPARE bits beyond the logarithm of the corpus's size,
@@ -36,16 +36,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import sliced, text_or_empty
 
 ORDER, BACKOFF, POWER = 3, 0.95, 0.2
 PART, SHARD = 8_000_000, 16_000_000  # characters
+FEW = 64  # numbers that are sent as they are
 SPARE = 20
 RUN = 1 << 22  # bytes of a text that are split into words at a time
 BEGIN, END = np.array([xxhash.xxh64_intdigest(x) for x in (b" ", b"\n")], np.uint64)  # of texts that are no words
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
 ASKED = "part long, n int, shard long, keys binary, counts binary"
-TOLD = "part long, n int, shard long, counts binary, tokens long, words long, once long, twice long"
+TOLD = "part long, n int, shard long, counts binary"
+SUMS = ("tokens", "words", "once", "twice")
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -118,13 +120,17 @@ def ngrams(path: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.nd
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned integers as planes of their bytes, each compressed apart: high planes are nearly empty, low ones random."""
+    """Unsigned integers as planes of their bytes, each compressed apart: high planes are nearly empty, low ones random; a few as they are."""
+    if len(numbers) < FEW:
+        return numbers.tobytes() + b"\0"
     zipped = zstandard.ZstdCompressor(level=1)
     planes = [zipped.compress(x) for x in np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)]
-    return np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes)
+    return np.array([len(x) for x in planes], "<u4").tobytes() + b"".join(planes) + b"\1"
 
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    if not blob[-1]:
+        return np.frombuffer(blob[:-1], kind)
     size, unzipped = np.dtype(kind).itemsize, zstandard.ZstdDecompressor()
     ends = 4 * size + np.cumsum([0, *np.frombuffer(blob, "<u4", size)])
     planes = [np.frombuffer(unzipped.decompress(blob[a:b]), np.uint8) for a, b in zip(ends[:-1], ends[1:])]
@@ -132,32 +138,64 @@ def unpacked(blob: bytes, kind: str) -> np.ndarray:
 
 
 def asked(part: int, texts: list[str], trains: list[bool], shards: int, order: int, bits: int) -> Iterator[pa.Table]:
-    """A part's n-grams by shard: sorted hashes, as differences, and how often training texts hold them."""
+    """A part's n-grams by shard: sorted hashes, as differences, and how often training texts hold them; a row for each shard that gets any."""
     path, starts = path_of(texts)
     training = np.repeat(np.array(trains, bool), np.diff([*starts, len(path)]))
     for n, at, key in ngrams(path, order, bits):
         distinct, where = np.unique(key, return_inverse=True)
         counts = np.bincount(where, training[at], len(distinct)).astype("<u4")
         shard = ((distinct >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # ascending, as the hashes are
-        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-        out = {k: [] for k in ("keys", "counts")}
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            out["keys"].append(packed(np.diff(distinct[a:b], prepend=np.uint64(0)).astype("<u8")))
-            out["counts"].append(packed(counts[a:b]))
-        yield pa.table({"part": [part] * shards, "n": pa.array([n] * shards, pa.int32()), "shard": np.arange(shards), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+        named, begins = np.unique(shard, return_index=True)
+        keys, sent = np.split(distinct, begins[1:]), np.split(counts, begins[1:])
+        keys = [packed(np.diff(k, prepend=np.uint64(0)).astype("<u8")) for k in keys if len(k)]
+        columns = {"shard": named.astype(np.int64), "keys": pa.array(keys, pa.binary()), "counts": pa.array([packed(c) for c in sent if len(c)], pa.binary())}
+        yield pa.table({"part": pa.array([part] * len(named), pa.int64()), "n": pa.array([n] * len(named), pa.int32())} | columns)
 
 
-def told(n: int, asking: pa.Table) -> pa.Table:
-    """A shard's answers: to each part, the counts over all parts; with words, its share of the totals."""
+def added(asking: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What each part asks a shard, the counts of the shard's n-grams over all parts, and of which of them each part's are."""
     keys = [np.cumsum(unpacked(k, "<u8"), dtype=np.uint64) for k in asking["keys"].to_pylist()]
     counts = np.concatenate([unpacked(c, "<u4") for c in asking["counts"].to_pylist()])
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+    return keys, np.bincount(where, counts, len(distinct)).astype(np.int64), where
+
+
+def told(asking: pa.Table) -> pa.Table:
+    """A shard's answers: to each part, the counts over all parts."""
+    keys, total, where = added(asking)
     answers = np.split(total.astype("<u8")[where], np.cumsum([len(k) for k in keys])[:-1])
-    seen = total[total > 0] if n == 1 else total[:0]
-    sums = (seen.sum(), len(seen), (seen == 1).sum(), (seen == 2).sum())
-    columns = {k: pa.array([int(v)] * len(asking), pa.int64()) for k, v in zip(("tokens", "words", "once", "twice"), sums)}
-    return pa.table({k: asking[k] for k in ("part", "n", "shard")} | {"counts": pa.array(map(packed, answers), pa.binary())} | columns)
+    return pa.table({k: asking[k] for k in ("part", "n", "shard")} | {"counts": pa.array(map(packed, answers), pa.binary())})
+
+
+def summed(asking: pa.Table) -> pa.Table:
+    """A shard's share of the totals over words."""
+    _, total, _ = added(asking)
+    seen = total[total > 0]
+    return pa.table({k: [int(v)] for k, v in zip(SUMS, (seen.sum(), len(seen), (seen == 1).sum(), (seen == 2).sum()))})
+
+
+def totals_of(training: DataFrame, shards: int) -> Totals:
+    """Over the words of all training texts, which are counted where they lie and added up by shard; four numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in sliced(batches):
+            for text in batch.column("text").to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= PART:
+                    yield from words(held)
+                    held, size = [], 0
+        if held:
+            yield from words(held)
+
+    def words(texts: list[str]) -> Iterator[pa.RecordBatch]:
+        for table in asked(0, texts, [True] * len(texts), shards, 1, 64):
+            yield from table.to_batches()
+
+    sums = training.select("text").mapInArrow(count, ASKED).groupBy("shard").applyInArrow(summed, ", ".join(f"{c} long" for c in SUMS))
+    tokens, distinct, once, twice = (x or 0 for x in sums.agg(*(F.sum(c) for c in SUMS)).first())
+    return Totals(tokens, distinct, discount(once, twice))
 
 
 @dataclass
@@ -225,13 +263,11 @@ def compiled(path: np.ndarray, starts: np.ndarray, counts: list[np.ndarray], tot
     return a, word_counts
 
 
-def scored(doc_ids: pa.ChunkedArray, texts: list[str], answers: pa.Table, order: int, bits: int) -> pa.Table:
+def scored(doc_ids: pa.ChunkedArray, texts: list[str], answers: pa.Table, totals: Totals, order: int, bits: int) -> pa.Table:
     path, starts = path_of(texts)
     answers = answers.sort_by([("n", "ascending"), ("shard", "ascending")])
-    sums = [sum(answers[k].to_pylist()) for k in ("tokens", "words", "once", "twice")]
-    totals = Totals(sums[0], sums[1], discount(*sums[2:]))
     ns, blobs = np.array(answers["n"]), answers["counts"].to_pylist()
-    counts = [np.concatenate([unpacked(blobs[i], "<u8") for i in np.flatnonzero(ns == n)]) for n in range(1, order + 1)]
+    counts = [np.concatenate([np.empty(0, "<u8"), *(unpacked(blobs[i], "<u8") for i in np.flatnonzero(ns == n))]) for n in range(1, order + 1)]
     a, c = compiled(path, starts, counts, totals, order, bits)
     ends = np.append(starts[1:], len(path))
     own = starts - np.arange(len(starts))  # where each text begins among the tokens
@@ -257,12 +293,10 @@ def score(docs: DataFrame, training: Column, order: int = ORDER) -> DataFrame:
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         return pa.concat_tables(asked(key[0].as_py(), table["text"].to_pylist(), table["trains"].to_pylist(), shards, order, bits))
 
-    def tell(key: tuple, table: pa.Table) -> pa.Table:
-        return told(key[0].as_py(), table)
-
     def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return scored(table["doc_id"], table["text"].to_pylist(), answers, order, bits)
+        return scored(table["doc_id"], table["text"].to_pylist(), answers, totals, order, bits)
 
+    totals = totals_of(dealt.where("trains"), shards)
     # The texts are exchanged once: both uses of dealt by part are the same exchange.
-    answers = dealt.groupBy("part").applyInArrow(ask, ASKED).groupBy("n", "shard").applyInArrow(tell, TOLD)
+    answers = dealt.groupBy("part").applyInArrow(ask, ASKED).groupBy("n", "shard").applyInArrow(told, TOLD)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(walk, SCORED)
