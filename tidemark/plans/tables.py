@@ -110,12 +110,13 @@ def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, table).select("up_urn", "down_urn", "operation")
 
 
-def part_columns(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+def part_columns(spark: SparkSession, sf_dir: str, odd: int, named_by_type: bool = True, by_size: bool = False) -> DataFrame:
     """The parts with even or odd keys as columns of one dataset for each brand: named by name and type, at the place of their least size."""
     rows = parquet(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == odd)
-    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.lower("p_type")).alias("name")
-    urn = F.concat(F.lit("urn:li:dataset:(urn:li:dataPlatform:shop,shop.parts."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(",PROD)")).alias("dataset_urn")
-    return rows.groupBy(urn, name).agg(F.min("p_size").alias("ordinal"), F.min("p_type").alias("native_type"))
+    name = [F.replace("p_name", F.lit(" "), F.lit("_")), *([F.lower("p_type")] if named_by_type else [])]
+    dataset = [F.replace("p_brand", F.lit("#"), F.lit("")), *([F.lit("_"), F.col("p_size").cast("string")] if by_size else [])]
+    urn = F.concat(F.lit("urn:li:dataset:(urn:li:dataPlatform:shop,shop.parts."), *dataset, F.lit(",PROD)")).alias("dataset_urn")
+    return rows.groupBy(urn, F.concat_ws("_", *name).alias("name")).agg(F.min("p_size").alias("ordinal"), F.min("p_type").alias("native_type"))
 
 
 def similar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
