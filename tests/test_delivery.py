@@ -7,7 +7,7 @@ from tidemark.streaming import delivery, events
 
 
 def log(spark, rows):
-    return spark.createDataFrame([(r, s, datetime(2025, 1, 1, microsecond=s) + timedelta(seconds=i), "detect", "info", t, "é", None) for i, (r, s, t) in enumerate(rows)], events.SCHEMA)
+    return spark.createDataFrame([(r, s, datetime(2025, 1, 1, microsecond=s or 0) + timedelta(seconds=i), "detect", "info", t, "é", None) for i, (r, s, t) in enumerate(rows)], events.SCHEMA)
 
 
 def rows(frame):

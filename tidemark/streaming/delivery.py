@@ -42,10 +42,10 @@ class InOrder(StatefulProcessor):
         self.sent = handle.getValueState("sent", "seq long, position long, held long, due long")
         self.held = handle.getMapState("held", "seq long", "event string")
 
-    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:  # noqa: N802
-        self.sent.update((int(initial["after"].max()), 0, 0, 0))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self.sent.update((int(initialState["after"].max()), 0, 0, 0))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         seq, position, held, due = self.sent.get() if self.sent.exists() else (0, 0, 0, 0)
         before = seq
         for part in rows:
@@ -59,10 +59,10 @@ class InOrder(StatefulProcessor):
                 if not (held and self.held.containsKey((n,))):
                     self.held.updateValue((n,), (event,))
                     held += 1
-        due = self.timed(held, due, seq != before, timers)
+        due = self.timed(held, due, seq != before, timerValues)
         self.sent.update((seq, position, held, due))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         seq, position, held, _ = self.sent.get()
         if held:
             first = min(n for (n,) in self.held.keys())
@@ -70,7 +70,7 @@ class InOrder(StatefulProcessor):
             found.loc[0, "skipped"] = first - 1 - seq
             seq = after
             yield found
-        self.sent.update((seq, position, held, self.timed(held, 0, False, timers)))
+        self.sent.update((seq, position, held, self.timed(held, 0, False, timerValues)))
 
     def advance(self, key, fresh: dict[int, str], seq: int, position: int, held: int) -> tuple[pd.DataFrame, int, int, int]:
         """What can be delivered now, of fresh events and held ones; those are taken away."""
