@@ -116,6 +116,24 @@ def test_an_added_column_has_an_empty_report(spark):
     assert set(got) == {*q.SCENARIOS, "add"}
 
 
+def test_many_drifts_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    begin = spark.range(20_000).select(F.concat(F.lit("d"), "id").alias("drift"), F.lit(fx.urn("orders")).alias("urn"), F.when(F.col("id") % 1000 == 7, "order_placed_at").otherwise(F.concat(F.lit("c"), "id")).alias("path"))
+    found = lineage.cut(impact.classify(fx.code_lines(spark), fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), begin, unreached=False))
+    assert found.where("bucket = 'REQUIRES_PATCH'").count() == 3 * 20
+    counts = {tuple(r[c] for c in ("requires_patch", "downstream_unaffected", "skipped", "total_scanned", "n")) for r in impact.stats(found, begin, 12).groupBy("requires_patch", "downstream_unaffected", "skipped", "total_scanned").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {(3, 2, 7, 12, 20), (0, 0, 12, 12, 19_980)}
+
+
+def test_reached_assets_are_those_of_the_whole_report(spark):
+    whole, some = (lineage.cut(q.assets(spark, unreached=u)) for u in (True, False))
+    assert some.exceptAll(whole).count() == 0
+    assert {r["bucket"] for r in whole.exceptAll(some).collect()} == {"SKIPPED"}
+    total = impact.universe(fx.code_lines(spark), fx.catalog_columns(spark)).count()
+    assert sorted(impact.stats(whole, q.starts(spark)).collect()) == sorted(impact.stats(some, q.starts(spark), total).collect())
+
+
 def test_shown_edges_have_both_ends(spark):
     shown = {(r["up_urn"], r["down_urn"]) for r in q.shown_edges(spark, "").collect()}
     assert shown == {(fx.urn("orders"), fx.urn("stg_orders")), (fx.urn("stg_orders"), fx.urn("fct_orders"))}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import asset_name
 from tidemark.operators import lineage, references
 
-LIMIT, DRIFTS = 25, 10_000
+LIMIT = 25
 
 
 def consumed(edges: DataFrame) -> DataFrame:
@@ -23,32 +23,41 @@ def unmapped_hits(hits: DataFrame, assets: DataFrame) -> DataFrame:
     return hits.join(assets, "urn", "left_anti")
 
 
-def classify(code: DataFrame, edges: DataFrame, table_edges: DataFrame, catalog: DataFrame, begin: DataFrame, max_hops: int = 3) -> DataFrame:
-    """drift, urn, asset, kind, bucket, hops, matched_columns, n_references, reason: by drift, for datasets with code or in
-    the catalog, and jobs with code.
+def universe(code: DataFrame, catalog: DataFrame) -> DataFrame:
+    """urn, asset, kind: datasets with code or in the catalog, and jobs with code."""
+    assets = code.select(F.col("asset_urn").alias("urn"), "asset", "kind").distinct()
+    named = catalog.where(F.col("dataset_urn").contains("dataPlatform:dbt")).select(F.col("dataset_urn").alias("urn")).distinct()
+    return named.join(assets, "urn", "full")
+
+
+def classify(code: DataFrame, edges: DataFrame, table_edges: DataFrame, catalog: DataFrame, begin: DataFrame, max_hops: int = 3, unreached: bool = True) -> DataFrame:
+    """drift, urn, asset, kind, bucket, hops, matched_columns, n_references, reason: by drift, for the assets of universe().
 
     begin: drift, urn and path of each changed column (lineage.starts); all drifts are classified in one plan. A drift
-    that adds a column has no path and so nothing to classify: its report is empty.
+    that adds a column has no path and so nothing to classify: its report is empty. With unreached, every asset has a
+    row under every drift, as a report lists them all: that is as many rows as there are pairs. Without, assets that a
+    drift's lineage and name don't reach, which are SKIPPED, have none, and all joins are on equal keys; stats() counts
+    them from the number of assets.
     """
     begin = begin.where("path is not null")
-    if begin.count() > DRIFTS:
-        raise ValueError(f"at most {DRIFTS} drifts at a time, as they are broadcast")
-    begin = F.broadcast(begin)
     changed = begin.select("drift", F.col("urn").alias("changed_urn"), F.col("path").alias("changed"))
-    assets = code.select(F.col("asset_urn").alias("urn"), "asset", "kind").distinct()
+    assets = universe(code, catalog)
     hits = lineage.cut(lineage.column_impact(edges, begin, max_hops).withColumnRenamed("hops", "column_hops"))
-    if missing := sorted({r["urn"] for r in unmapped_hits(hits, assets).limit(10).collect()}):
+    if missing := sorted({r["urn"] for r in unmapped_hits(hits, assets.where("asset is not null")).limit(10).collect()}):
         raise LookupError(f"the column's lineage reaches {missing}, which have no code mapped; map it first")
-    tables = lineage.table_downstreams(table_edges, begin, max_hops).withColumnRenamed("hops", "table_hops")
-    named = catalog.where(F.col("dataset_urn").contains("dataPlatform:dbt")).select(F.col("dataset_urn").alias("urn")).distinct()
-    universe = named.join(assets, "urn", "full")
+    tables = lineage.cut(lineage.table_downstreams(table_edges, begin, max_hops).withColumnRenamed("hops", "table_hops"))
     refs = references.find(code)
     used = refs.groupBy(F.col("asset_urn").alias("urn")).agg(F.sort_array(F.collect_set("name")).alias("used"))
     matched = references.locations(refs.join(changed, F.lower("name") == F.lower("changed")), "drift", "asset_urn").withColumnRenamed("asset_urn", "urn")
-
-    # Every asset has a verdict under every drift, as a report lists them all.
-    rows = universe.join(used, "urn", "left").join(consumed(edges), "urn", "left").withColumn("changes", F.lit(1)).join(changed.withColumn("changes", F.lit(1)), "changes")
-    rows = rows.join(hits, ["drift", "urn"], "left").join(tables, ["drift", "urn"], "left").join(matched.drop("lines"), ["drift", "urn"], "left")
+    matched = lineage.cut(matched.drop("lines"))
+
+    if unreached:
+        pairs = assets.withColumn("changes", F.lit(1)).join(changed.withColumn("changes", F.lit(1)), "changes")
+    else:
+        met = [x.select("drift", "urn") for x in (hits, tables, matched)]
+        pairs = met[0].union(met[1]).union(met[2]).distinct().join(assets, "urn").join(changed, "drift")
+    rows = pairs.join(used, "urn", "left").join(consumed(edges), "urn", "left")
+    rows = rows.join(hits, ["drift", "urn"], "left").join(tables, ["drift", "urn"], "left").join(matched, ["drift", "urn"], "left")
     rows = rows.withColumn("n_references", F.coalesce("n_references", F.lit(0)))
     job, on_path, names_it = F.col("kind") == "airflow_task", F.col("column_hops").isNotNull(), F.col("n_references") > 0
     in_graph = F.col("table_hops").isNotNull()
@@ -99,16 +108,22 @@ def listed(assets: DataFrame, limit: int = LIMIT) -> DataFrame:
     return assets.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def stats(assets: DataFrame, drifts: DataFrame) -> DataFrame:
-    """drift and its counts; zeros for a drift (a column of drifts) without assets."""
+def stats(assets: DataFrame, drifts: DataFrame, total: int | None = None) -> DataFrame:
+    """drift and its counts; zeros for a drift (a row of drifts) without assets.
+
+    total: how many assets there are, where assets lacks those that a drift doesn't reach; a drift with a null path has none.
+    """
+    drifts = drifts if "path" in drifts.columns else drifts.withColumn("path", F.lit(""))
     count = lambda b: F.count_if(F.col("bucket") == b)
-    return drifts.select("drift").distinct().join(assets, "drift", "left").groupBy("drift").agg(
+    found = drifts.select("drift", "path").distinct().join(assets, "drift", "left").groupBy("drift", "path").agg(
         count("REQUIRES_PATCH").alias("requires_patch"),
         count("DOWNSTREAM_UNAFFECTED").alias("downstream_unaffected"),
-        count("SKIPPED").alias("skipped"),
-        F.count("urn").alias("total_scanned"),
+        F.count("urn").alias("rows"),
         F.coalesce(F.max(F.coalesce("hops", F.lit(0))), F.lit(0)).alias("max_hops_reached"),
     )
+    scanned = F.col("rows") if total is None else F.when(F.col("path").isNotNull(), total).otherwise(0).cast("long")
+    found = found.withColumn("total_scanned", scanned)
+    return found.select("drift", "requires_patch", "downstream_unaffected", (scanned - F.col("requires_patch") - F.col("downstream_unaffected")).alias("skipped"), "total_scanned", "max_hops_reached")
 
 
 def graph_nodes(assets: DataFrame, begin: DataFrame, limit: int = LIMIT) -> DataFrame:

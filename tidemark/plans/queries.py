@@ -201,8 +201,8 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.dangling(fx.column_edges(spark), live_catalog(spark, "rename"))
 
 
-def assets(spark: SparkSession, *scenarios: str) -> DataFrame:
-    return impact.classify(fx.code_lines(spark), fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), starts(spark, *scenarios))
+def assets(spark: SparkSession, *scenarios: str, unreached: bool = True) -> DataFrame:
+    return impact.classify(fx.code_lines(spark), fx.column_edges(spark), fx.table_edges(spark), fx.catalog_columns(spark), starts(spark, *scenarios), unreached=unreached)
 
 
 def impact_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,8 @@ def impact_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def impact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a drift that adds a column, whose report is empty."""
     added = fx.local(spark, [("add", fx.urn("orders"), None)], "drift string, urn string, path string")
-    return impact.stats(assets(spark), starts(spark).unionByName(added)).withColumnRenamed("drift", "scenario")
+    total = impact.universe(fx.code_lines(spark), fx.catalog_columns(spark)).count()
+    return impact.stats(assets(spark, unreached=False), starts(spark).unionByName(added), total).withColumnRenamed("drift", "scenario")
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
