@@ -11,7 +11,7 @@ Copies are one node: only distinct fingerprints enter the grid, so a group of ex
 Links are joined on cells, between distinct fingerprints; they become components by star contraction.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; null ids get a
-fingerprint, and the smallest id of their component if it has one; equal rows each keep theirs; an very long texts
+fingerprint, and the smallest id of their component if it has one; equal rows each keep theirs; very long texts
 count whole; an empty table gives no rows; other columns are ignored.
 """
 
