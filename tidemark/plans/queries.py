@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import asset_name, dataset_name
 from tidemark.operators import analysis, docs, dq, drift, impact, lineage, references, repair, snapshot, validate, writeback
 from tidemark.plans import fixtures as fx
-from tidemark.plans import graphs, tables
+from tidemark.plans import graphs, markup, tables
 from tidemark.plans.models import EXTRACTS, MODELS, build
 from tidemark.plans.oracles import ORACLES
 from tidemark.sources.warehouse import parquet
@@ -410,6 +410,6 @@ QUERIES: dict[str, Query] = {name: model_query(name) for name in [*MODELS, *EXTR
     )
 }
 
-QUERIES |= tables.QUERIES | graphs.QUERIES
+QUERIES |= tables.QUERIES | graphs.QUERIES | markup.QUERIES
 
-ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES} | tables.ORACLE_SQL | graphs.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES} | tables.ORACLE_SQL | graphs.ORACLE_SQL | markup.ORACLE_SQL
