@@ -189,6 +189,30 @@ def test_comments_and_quoted_names_are_no_references(spark):
     assert got == ["select a, /* a, old */ new -- old", lines[1], "old */ + new as x /* a */ , b /*", " /* old", "'old' */ from t where new = '--' and b = new -- */ old", "/* old"]
 
 
+def test_names_resolve_through_nested_scopes(spark):
+    from tidemark.operators import lineage
+
+    lines = [
+        "with big as (select b.id, b.total from (select id, total from {t}) b where b.total > 1)",
+        "select o.id, s.n, gone, s.id, (select max(x) from {u} where u.key = o.id and total = 1) as top",
+        "from big as o",
+        "join (select count(*) as n, x from {u} where x in (select y from {v} where y = key and z = id) group by x) s on s.x = o.id",
+        "where exists (select * from (select y from {v}) w where w.y = o.total and w.z = 1)",
+    ]
+    code, patch = code_of(spark, *lines)
+    catalog = fx.local(spark, [("t", "id"), ("t", "total"), ("u", "x"), ("u", "key"), ("v", "y")], "dataset_urn string, name string")
+    inputs = fx.local(spark, [(x, x) for x in "tuv"], "input string, dataset_urn string")
+    got = [(r["line"], r["column"], r["table"], r["status"]) for r in lineage.cut(validate.checks(code, catalog, patch, inputs, "RENAME", "t", "none")).collect()]
+    bad = sorted((line, column) for line, column, _, status in got if status != "OK")
+    # s has no id, o is out of sight within what is joined, w passes y alone.
+    assert bad == [(2, "gone"), (2, "id"), (4, "id"), (4, "z"), (5, "z")]
+    held = {(line, column, table) for line, column, table, status in got if status == "OK"}
+    assert {(2, "key", "u"), (2, "total", "CTE big"), (4, "key", "u"), (4, "y", "v"), (5, "total", "CTE big"), (2, "id", "CTE big")} <= held
+    places = {(r["line"], r["name"], (r["scope"] or "").split("#")[0], "#" in (r["scope"] or "")) for r in references.find(code).collect()}
+    assert {p[2:] for p in places if p[:2] == (1, "total")} == {("big", True), ("big", False)}
+    assert {p[2:] for p in places if p[:2] == (2, "gone")} == {("", False)} and {p[2:] for p in places if p[:2] == (5, "y")} == {("", True)}
+
+
 def test_analysis_names_what_is_missing(spark):
     from tidemark.operators import analysis
 

@@ -10,12 +10,33 @@ innermost of those is the one meant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut
 
 
+def within(rows: DataFrame, by: list[str], at: str, step: Column, wanted: Column) -> DataFrame:
+    """rows with opens, closes (the place of the opening it closes) and inside: the place of the innermost wanted opening around each row, null where none is.
+
+    step: 1 where a row opens, -1 where it closes, else 0; wanted tells which openings count. An opening is inside
+    itself, a closing is outside again; what is never closed lasts to the end. Rows are told apart by `at`, are used
+    once, and only windows pass over them.
+    """
+    order = Window.partitionBy(*by).orderBy(at)
+    rows = rows.withColumn("_step", step).withColumn("_sum", F.sum("_step").over(order))
+    rows = rows.withColumn("_low", F.least(F.lit(0), F.min("_sum").over(order)))
+    stray = F.col("_low") < F.lag("_low", 1, 0).over(order)
+    level = F.when(F.col("_step") != 0, F.col("_sum") - F.col("_low") + F.when(F.col("_step") < 0, 1).otherwise(0))
+    rows = rows.withColumn("_stray", stray).withColumn("_level", level).withColumn("opens", (F.col("_step") > 0) & wanted)
+    same = Window.partitionBy(*by, "_stray", "_level").orderBy(at)
+    opened = F.lag(F.when(F.col("opens"), F.col(at))).over(same)
+    rows = rows.withColumn("closes", F.when((F.col("_step") < 0) & ~F.col("_stray"), opened))
+    rows = rows.withColumn("_depth", F.sum(F.when(F.col("opens"), 1).when(F.col("closes").isNotNull(), -1).otherwise(0)).over(order))
+    last = F.last(F.when(F.col("opens"), F.col(at)), ignorenulls=True).over(Window.partitionBy(*by, "_depth").orderBy(at))
+    return rows.withColumn("inside", F.when(F.col("_depth") > 0, last)).drop("_step", "_sum", "_low", "_stray", "_level", "_depth")
+
+
 def pairs(marks: DataFrame, by: list[str]) -> DataFrame:
     """by, begin, end: marks (by, at, step: 1 opens, -1 closes) paired; openings and closings without a partner are left out.
 

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import nesting
+from tidemark.operators.lineage import cut
+
 #: Words of the workload's SQL that are never columns.
 KEYWORDS = ["select", "from", "where", "group", "by", "left", "join", "on", "as", "with", "and", "or", "not", "is", "null", "false", "true", "case", "when", "then", "else", "end", "day", "inner", "distinct", "having", "order", "limit", "in", "like", "between", "over", "partition", "asc", "desc", "union", "all", "exists", "interval"]
 #: A literal, a quoted name, a comment (to its end, or the line's), a name, a number or a sign; what comes first in a line decides.
@@ -47,7 +50,13 @@ def words(code: DataFrame) -> DataFrame:
 
 
 def placed(code: DataFrame) -> DataFrame:
-    """words with their neighbours in lower case, and scope: the local table whose body a word is in, else null."""
+    """words with their neighbours in lower case, and scope: the subquery that a word is in, else the local table whose body it is in, else null.
+
+    A subquery's scope is named by its local table, if any, and its place: opens and closes tell where it does, parent
+    the scope around it. What is placed already stays as it is.
+    """
+    if "parent" in code.columns:
+        return code
     order = Window.partitionBy("asset_urn").orderBy("line", "at")
     low = F.lower("word")
     rows = words(code).withColumn("low", low)
@@ -60,17 +69,41 @@ def placed(code: DataFrame) -> DataFrame:
     opens = (F.col("word") == "(") & (F.col("prev1") == "as") & (F.col("depth") == 1)
     outer = F.when((F.col("word") == "(") & (F.col("depth") == 1), F.when(opens, F.col("prev2")).otherwise(""))
     rows = rows.withColumn("body", F.last(outer, ignorenulls=True).over(order))
-    rows = rows.withColumn("scope", F.when((F.col("depth") > 0) & (F.col("body") != ""), F.col("body")))
+    rows = rows.withColumn("local", F.when((F.col("depth") > 0) & (F.col("body") != ""), F.col("body"))).withColumn("n", F.row_number().over(order))
+    step = F.when(F.col("word") == "(", 1).when(F.col("word") == ")", -1).otherwise(0)
+    rows = nesting.within(rows, ["asset_urn"], "n", step, (F.col("next1") == "select") & ~opens)
+    rows = rows.withColumn("scope", F.when(F.col("inside").isNotNull(), subquery("inside")).otherwise(F.col("local")))
+    rows = rows.withColumn("parent", F.lag("scope").over(order)).drop("inside")
     clause = F.last(F.when(F.col("low").isin(*CLAUSES), F.struct("low", "depth")), ignorenulls=True).over(order)
     return rows.withColumn("clause", clause)
 
 
+def subquery(place: str | Column) -> Column:
+    """The scope of the subquery that opens at a place."""
+    return F.concat_ws("#", "local", F.col(place) if isinstance(place, str) else place)
+
+
+def visible(code: DataFrame) -> DataFrame:
+    """asset_urn, scope, outer, distance: the scopes whose tables a scope's words may mean, nearest first: its own and, but for what stands in place of a table, those around it."""
+    rows = cut(placed(code).select("asset_urn", "scope", "parent", "opens", "prev1"))
+    around = rows.where("opens and prev1 not in ('from', 'join')").select("asset_urn", F.col("scope").alias("outer"), "parent")
+    found = frontier = cut(rows.select("asset_urn", "scope", F.col("scope").alias("outer"), F.lit(0).alias("distance")).distinct())
+    while not frontier.isEmpty():
+        frontier = cut(frontier.join(around, ["asset_urn", "outer"]).select("asset_urn", "scope", F.col("parent").alias("outer"), (F.col("distance") + 1).alias("distance")))
+        found = found.union(frontier)
+    return found
+
+
 def tables(code: DataFrame) -> DataFrame:
-    """asset_urn, scope, alias, target: what each name of a table stands for; target is {input} or a local table."""
-    rows = placed(code).where(F.col("prev1").isin("from", "join"))
-    named = F.when(F.col("next1").rlike("^[a-z_]\\w*$") & ~F.col("next1").isin(*KEYWORDS), F.col("next1"))
+    """asset_urn, scope, alias, target: what each name of a table stands for; target is {input}, a local table or the scope of a subquery."""
+    rows, is_name = placed(code), lambda c: F.col(c).rlike("^[a-z_]\\w*$") & ~F.col(c).isin(*KEYWORDS)
+    named = F.when(is_name("next1"), F.col("next1")).when((F.col("next1") == "as") & is_name("next2"), F.col("next2"))
     own = F.regexp_replace("low", "[{}]", "")
-    return rows.select("asset_urn", "scope", F.coalesce(named, own).alias("alias"), F.col("low").alias("target")).distinct()
+    plain = rows.where(F.col("prev1").isin("from", "join") & (F.col("word") != "("))
+    begun = rows.where(F.col("opens") & F.col("prev1").isin("from", "join")).select("asset_urn", F.col("n").alias("closes"))
+    derived = rows.join(begun, ["asset_urn", "closes"], "left_semi")
+    found = plain.select("asset_urn", "scope", F.coalesce(named, own).alias("alias"), F.col("low").alias("target"))
+    return found.union(derived.select("asset_urn", "scope", F.coalesce(named, F.lit("")), subquery("closes"))).distinct()
 
 
 def find(code: DataFrame) -> DataFrame:
@@ -80,7 +113,8 @@ def find(code: DataFrame) -> DataFrame:
     is_table = F.col("prev1").isin("from", "join")
     is_alias = F.col("prev2").isin("from", "join") & (F.col("prev1") != ".")
     is_local = (F.col("next1") == "as") & (F.col("next2") == "(")
-    used = is_name & ~is_table & ~is_alias & ~is_local & (F.col("prev1") != "as") & ~F.col("next1").isin("(", ".")
+    # A name right after a bracket is what the bracket is called.
+    used = is_name & (F.col("prev1") != ")") & ~is_table & ~is_alias & ~is_local & (F.col("prev1") != "as") & ~F.col("next1").isin("(", ".")
     qualifier = F.when(F.col("prev1") == ".", F.col("prev2"))
     ahead = F.when(F.col("prev1") == ".", F.col("prev3")).otherwise(F.col("prev1"))
     listed = (F.col("clause.low") == "select") & (F.col("clause.depth") == F.col("depth"))

@@ -6,10 +6,11 @@ that the repaired models will have, and else by the live catalog. What does not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import references
+from tidemark.operators.lineage import cut
 
 
 def outputs(code: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def outputs(code: DataFrame) -> DataFrame:
 
 
 def stars(code: DataFrame) -> DataFrame:
-    """asset_urn, scope, source: local tables that pass all columns of another table on."""
+    """asset_urn, scope, source: local tables and subqueries that pass all columns of another table on."""
     rows = references.placed(code)
     star = rows.where((F.col("word") == "*") & (F.col("prev1") == "select") & (F.col("next1") == "from"))
-    return star.select("asset_urn", "scope", F.col("next2").alias("source"))
+    return star.select("asset_urn", "scope", F.when(F.col("next2") == "(", references.subquery(F.col("n") + 3)).otherwise(F.col("next2")).alias("source"))
 
 
 def checks(code: DataFrame, catalog: DataFrame, patched: DataFrame, inputs: DataFrame, kind: str, drift_urn: str, old: str) -> DataFrame:
@@ -37,7 +38,7 @@ def checks(code: DataFrame, catalog: DataFrame, patched: DataFrame, inputs: Data
     code: the repaired lines. catalog: the live columns. patched: asset_urn of the files of the repair.
     inputs: input (as code names it in braces), dataset_urn.
     """
-    code = code.join(patched.select("asset_urn").distinct(), "asset_urn", "left_semi")
+    code = cut(references.placed(code.join(patched.select("asset_urn").distinct(), "asset_urn", "left_semi")))
     refs = references.find(code).withColumn("ref", F.monotonically_increasing_id())
     tables = references.tables(code)
     passed = stars(code)
@@ -53,9 +54,10 @@ def checks(code: DataFrame, catalog: DataFrame, patched: DataFrame, inputs: Data
     known = known.select(F.col("dataset_urn").alias("k_urn"), F.lower("name").alias("k_name"), "source").distinct()
     local = outputs(code).where("scope is not null").select(F.col("asset_urn").alias("l_asset"), F.col("scope").alias("l_table"), F.lower("name").alias("l_name"), F.lit(True).alias("is_local"))
 
-    t, r = tables.alias("t"), refs.alias("r")
-    same = (F.col("t.asset_urn") == F.col("r.asset_urn")) & F.col("t.scope").eqNullSafe(F.col("r.scope")) & (F.col("r.qualifier").isNull() | (F.col("r.qualifier") == F.col("t.alias")))
-    met = r.join(t, same, "left").select("r.*", F.col("t.target").alias("target"), F.col("t.dataset_urn").alias("dataset_urn"))
+    seen = tables.withColumnRenamed("scope", "outer").alias("s").join(references.visible(code).alias("v"), (F.col("s.asset_urn") == F.col("v.asset_urn")) & F.col("s.outer").eqNullSafe(F.col("v.outer")))
+    t, r = seen.select("s.asset_urn", "v.scope", "s.alias", "s.target", "s.dataset_urn", "v.distance").alias("t"), refs.alias("r")
+    same = (F.col("t.asset_urn") == F.col("r.asset_urn")) & F.col("t.scope").eqNullSafe(F.col("r.scope")) & (F.col("r.qualifier").isNull() | (F.lower("r.qualifier") == F.col("t.alias")))
+    met = r.join(t, same, "left").select("r.*", "t.target", "t.dataset_urn", "t.distance")
     met = met.join(known, (F.col("dataset_urn") == F.col("k_urn")) & (F.lower("name") == F.col("k_name")), "left")
     met = met.join(local, (F.col("asset_urn") == F.col("l_asset")) & (F.col("target") == F.col("l_table")) & (F.lower("name") == F.col("l_name")), "left")
     has_schema = catalog.select(F.col("dataset_urn").alias("s_urn")).distinct().withColumn("has_schema", F.lit(True))
@@ -63,6 +65,9 @@ def checks(code: DataFrame, catalog: DataFrame, patched: DataFrame, inputs: Data
 
     stale = F.lit(kind in ("RENAME", "DROP")) & (F.lower("name") == old.lower()) & (F.col("dataset_urn") == drift_urn)
     is_known = F.col("is_local").isNotNull() | F.col("source").isNotNull()
+    # The nearest scope that has the table or the column is the one meant.
+    nearest = F.min(F.when(is_known | stale | F.col("qualifier").isNotNull(), F.col("distance"))).over(Window.partitionBy("ref"))
+    met = met.withColumn("nearest", nearest).where("nearest is null or distance is null or distance <= nearest")
     one = met.groupBy("ref", "asset", "line", "name").agg(
         F.count("target").alias("tables"),
         F.count_if(F.col("target").startswith("{") & F.col("has_schema").isNull()).alias("unknown_tables"),
