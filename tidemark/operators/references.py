@@ -80,7 +80,7 @@ def placed(code: DataFrame) -> DataFrame:
 
 def subquery(place: str | Column) -> Column:
     """The scope of the subquery that opens at a place."""
-    return F.concat_ws("#", "local", F.col(place) if isinstance(place, str) else place)
+    return F.concat(F.coalesce("local", F.lit("")), F.lit("#"), F.col(place) if isinstance(place, str) else place)
 
 
 def visible(code: DataFrame) -> DataFrame:
