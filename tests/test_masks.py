@@ -47,7 +47,7 @@ def whole(text):
 def test_same_as_a_scan_of_the_whole(spark, chunk):
     rnd = np.random.default_rng(5)
     texts = {i: "".join(rnd.choice(PARTS, rnd.integers(1, 60))) for i in range(300)} | {900: "", 901: None, 902: "<!--" * 40, 903: 'a<b "' + "y" * 50}
-    frame = spark.createDataFrame(list(texts.items()), "page int, html string")
+    frame = spark.createDataFrame([*texts.items(), (None, "<!-- nameless -->")], "page int, html string")
     parts = masks.pieces(frame, "page", "html", chunk).persist()
     got = {}
     for r in masks.spans(parts).collect():

@@ -120,14 +120,14 @@ def entered(parts: pd.DataFrame) -> pd.DataFrame:
 def pieces(texts: DataFrame, key: str, text: str, chunk: int | None = None) -> DataFrame:
     """key, at, kind (null: kept), begin, text: each text in order, cut where spans begin and end; a long span comes in several pieces.
 
-    key: a column that tells texts apart. Null and empty texts have no pieces. A span that isn't closed ends with its
+    key: a column that tells texts apart; texts without one have no pieces, nor do null and empty texts. A span that isn't closed ends with its
     text; what looks like markup within a span is part of it. Offsets count code points.
     """
     size = chunk or CHUNK
     if size <= AHEAD:
         raise ValueError(f"chunk must be more than {AHEAD} characters")
     cut = lambda group: F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(.{{1,{size}}})(?=(.{{0,{AHEAD}}}))"), F.lit(group))
-    rows = texts.select(F.col(key).alias("key"), F.posexplode(F.arrays_zip(cut(1).alias("body"), cut(2).alias("ahead"))).alias("chunk", "part"))
+    rows = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(F.arrays_zip(cut(1).alias("body"), cut(2).alias("ahead"))).alias("chunk", "part"))
     size_of = F.length("part.body")
     rows = rows.select("key", "chunk", (F.col("chunk") * size).alias("start"), F.concat("part.body", "part.ahead").alias("body"), size_of.alias("size"), (F.length("part.ahead") > 0).alias("more"))
     # Long texts spread over tasks by chunk.
