@@ -80,3 +80,43 @@ def test_renamed_parts_by_brute_force(spark, small):
     want = [(g, a, b, min(0.9, 0.5 * r[0] + 0.4 * r[1] + 0.1 * r[2])) for g, a, b, r in in_turn(pairs)]
     got = sorted((r["dataset_urn"], r["old_column"], r["new_column"], r["confidence"]) for r in tables.renamed_parts(spark, small).collect())
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want]) and len(got) > 10
+
+
+def placed(spark, rows):
+    return spark.createDataFrame(rows, "g long, key long, at long")
+
+
+@pytest.mark.parametrize("spread, width", [(12, 3), (60, 8), (4000, 200), (1, 0)])
+def test_nearest_takes_what_turns_take(spark, spread, width):
+    rnd = np.random.default_rng(spread)
+    one, two = ([(g, i, int(rnd.integers(-spread, spread))) for g in range(3) for i in range(n)] for n in (70, 45))
+    pairs = [(g, a, b, (-abs(x - y), -a, -b)) for g, a, x in one for h, b, y in two if g == h and abs(x - y) <= width]
+    want = sorted((g, a, b, -r[0]) for g, a, b, r in nearest_in_turn(pairs))
+    odd = [(None, 1, 0), (0, None, 0), (0, 999, None)]
+    got = matching.nearest(placed(spark, one + odd), placed(spark, two + odd), ["g"], width)
+    assert sorted(map(tuple, got.select("g", "left", "right", "apart").collect())) == want and want
+
+
+def nearest_in_turn(pairs):
+    left, right, out = set(), set(), []
+    for g, a, b, r in sorted(pairs, key=lambda p: p[3], reverse=True):
+        if (g, a) not in left and (g, b) not in right:
+            out.append((g, a, b, r))
+            left.add((g, a))
+            right.add((g, b))
+    return out
+
+
+def test_nearest_lists_no_pairs_and_takes_equal_places_at_once(spark, monkeypatch):
+    rows, write = [], matching.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(matching, "written", counted)
+    one, two = ([(0, i, 10 * s + 100 * (i % 3)) for i in range(n)] for s, n in ((0, 600), (1, 500)))
+    got = matching.nearest(placed(spark, one), placed(spark, two), ["g"], 1000).collect()
+    assert len(got) == 500 and max(n for _, n in rows) <= 1100  # all pairs are 300,000
+    assert sum(name == "taken" for name, _ in rows) <= 4

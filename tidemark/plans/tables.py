@@ -142,14 +142,9 @@ def renamed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers of a nation whose balances are within 500, paired greedily, the nearest first."""
-    width, cents = 50_000, lambda c: F.round(F.col(c) * 100).cast("long")
-    one = parquet(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), cents("c_acctbal").alias("a"))
-    two = parquet(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), cents("s_acctbal").alias("b"))
-    band = lambda c: F.floor(F.col(c) / width)
-    one = one.withColumn("band", F.explode(F.array(*(band("a") + i for i in (-1, 0, 1)))))
-    pairs = one.join(two.withColumn("band", band("b")), ["nation", "band"]).withColumn("apart", F.abs(F.col("a") - F.col("b"))).where(F.col("apart") <= width)
-    pairs = pairs.select("nation", "customer", "supplier", "apart", (-F.col("apart")).alias("near"), (-F.col("customer")).alias("c"), (-F.col("supplier")).alias("s"))
-    return matching.greedy(pairs, ["nation", "customer"], ["nation", "supplier"], ["near", "c", "s"]).select("nation", "customer", "supplier", "apart")
+    placed = lambda name, nation, key, balance: parquet(spark, sf_dir, name).select(F.col(nation).alias("nation"), F.col(key).alias("key"), F.round(F.col(balance) * 100).cast("long").alias("at"))
+    customers, suppliers = placed("customer", "c_nationkey", "c_custkey", "c_acctbal"), placed("supplier", "s_nationkey", "s_suppkey", "s_acctbal")
+    return matching.nearest(customers, suppliers, ["nation"], 50_000).select("nation", F.col("left").alias("customer"), F.col("right").alias("supplier"), "apart")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
