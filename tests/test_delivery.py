@@ -3,6 +3,9 @@
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
+
 from tidemark.streaming import delivery, events
 
 
@@ -68,3 +71,50 @@ def test_long_runs_are_numbered_over_ranges(spark):
         assert [s for s, _, _ in run] == list(range(11, 11 + len(run)))
         assert [x[1:] for x in run] == sorted(x[1:] for x in run)
     assert sum(map(len, got.values())) == len(rows)
+
+
+class Kept:
+    """A value or a map of the state store, and how often it was called."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None,
+            "get": lambda: self.value,
+            "update": lambda x: setattr(self, "value", x),
+            "keys": lambda: iter(list(self.map)),
+            "containsKey": lambda k: k in self.map,
+            "getValue": self.map.get,
+            "updateValue": self.map.__setitem__,
+            "removeKey": lambda k: self.map.pop(k, None),
+        }[name]
+
+
+class Now:
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return 1_000_000
+
+
+class Timers:
+    def __init__(self):
+        self.calls = 0
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+def test_waiting_events_cost_few_calls_a_batch():
+    rnd = np.random.default_rng(2)
+    process, order, got = delivery.InOrder(3_600_000), rnd.permutation(np.repeat(np.arange(1, 1001), 2)), []
+    process.handle, process.sent, process.held = Timers(), Kept(), Kept()
+    for batch in np.array_split(order, 8):
+        part = pd.DataFrame({"seq": batch, "event": [f"e{n}" for n in batch]})
+        for found in process.handleInputRows(("a",), iter([part.iloc[:100], part.iloc[100:]]), Now()):
+            got += list(zip(found["seq"], found["position"], found["event"]))
+    assert got == [(n, n, f"e{n}") for n in range(1, 1001)] and not process.held.map
+    assert process.sent.calls + process.held.calls + process.handle.calls < 300
