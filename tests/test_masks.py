@@ -1,6 +1,7 @@
 """Masked spans against a scanner of whole texts, at chunk sizes that cut markers anywhere."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import masks
@@ -77,3 +78,17 @@ def test_no_texts(spark):
 def test_a_chunk_holds_a_marker(spark):
     with pytest.raises(ValueError):
         masks.pieces(spark.createDataFrame([], "page int, html string"), "page", "html", masks.AHEAD)
+
+
+def test_pieces_of_many_pages_come_out_a_few_at_a_time():
+    n = 2000
+    columns = {"key": pa.array(range(n)), "start": pa.array([0] * n, pa.int32()), "body": pa.array(['<a b="c">d<!-- e -->' * 5] * n), "size": pa.array([100] * n, pa.int32()), "entry": pa.array([0] * n, pa.int32()), "open_at": pa.array([-1] * n, pa.int32())}
+    batches = list(masks.cut_pieces(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert max(b.num_rows for b in batches) < 1000
+    keys = [k for b in batches for k in b["key"].to_pylist()]
+    assert keys == sorted(keys) and len(set(keys)) == n
+    text: dict[int, str] = {}
+    for b in batches:
+        for k, t in zip(b["key"].to_pylist(), b["text"].to_pylist()):
+            text[k] = text.get(k, "") + t
+    assert text == dict(enumerate(columns["body"].to_pylist()))

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +93,32 @@ def cut_up(text: str, size: int, entry: int, begun: int) -> Iterator[tuple[int,
         yield done, KINDS.get(mode), begin if mode in KINDS else done, text[done:size]
 
 
-PASSAGE = "struct<ends:array<int>,begun:array<int>>"
-PIECES = "array<struct<at:int,kind:string,begin:int,text:string>>"
+#: Chunks at a time of which a task holds Python objects, so they don't add up over a whole batch.
+ROWS = 16
 
 
-def passages(text: pd.Series, size: pd.Series) -> pd.DataFrame:
-    found = [passage(t, n) for t, n in zip(text, size)]
-    return pd.DataFrame({"ends": [f[0] for f in found], "begun": [f[1] for f in found]})
+def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, chunk, start, ends and begun, of key, chunk, start, body and size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            found = [passage(t, n) for t, n in zip(part["body"].to_pylist(), part["size"].to_pylist())]
+            ends, begun = (pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([part["key"], part["chunk"], part["start"], ends, begun], ["key", "chunk", "start", "ends", "begun"])
 
 
-def cut_pieces(text: pd.Series, size: pd.Series, entry: pd.Series, begun: pd.Series) -> pd.Series:
-    keys = ("at", "kind", "begin", "text")
-    return pd.Series([[dict(zip(keys, p)) for p in cut_up(*row)] for row in zip(text, size, entry, begun)])
+def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, at, kind, begin and text of each piece, of key, start, body, size, entry and open_at."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part, row, out = batch.slice(at, ROWS), [], {"at": [], "kind": [], "begin": [], "text": []}
+            for i, (start, body, size, entry, open_at) in enumerate(zip(*(part[c].to_pylist() for c in ("start", "body", "size", "entry", "open_at")))):
+                for place, kind, begin, text in cut_up(body, size, entry, open_at - start):
+                    row.append(i)
+                    for c, v in zip(out, (start + place, kind, start + begin, text)):
+                        out[c].append(v)
+            kinds = {"at": pa.int32(), "kind": pa.string(), "begin": pa.int32(), "text": pa.string()}
+            yield pa.RecordBatch.from_arrays([part["key"].take(pa.array(row, pa.int32())), *(pa.array(v, kinds[c]) for c, v in out.items())], ["key", *out])
 
 
 def entered(parts: pd.DataFrame) -> pd.DataFrame:
@@ -133,13 +148,11 @@ def pieces(texts: DataFrame, key: str, text: str, chunk: int | None = None) -> D
     # Long texts spread over tasks by chunk.
     rows = rows.repartition("key", "chunk")
     # A text of one chunk is entered at its begin, so only others have functions to compose.
-    long = rows.where(F.col("more") | (F.col("chunk") > 0)).withColumn("f", F.pandas_udf(passages, PASSAGE)("body", "size")).select("key", "chunk", "start", "f.ends", "f.begun")
-    schema = f"key {texts.schema[key].dataType.simpleString()}, chunk int, entry int, open_at int"
-    entries = long.groupBy("key").applyInPandas(entered, schema)
-    rows = rows.join(entries, ["key", "chunk"], "left")
-    begun = F.coalesce("open_at", F.lit(-1)) - F.col("start")
-    rows = rows.withColumn("p", F.explode(F.pandas_udf(cut_pieces, PIECES)("body", "size", F.coalesce("entry", F.lit(0)), begun)))
-    return rows.select("key", (F.col("start") + F.col("p.at")).alias("at"), "p.kind", (F.col("start") + F.col("p.begin")).alias("begin"), "p.text")
+    named = f"key {texts.schema[key].dataType.simpleString()}"
+    long = rows.where(F.col("more") | (F.col("chunk") > 0)).select("key", "chunk", "start", "body", "size").mapInArrow(passages, f"{named}, chunk int, start int, ends array<int>, begun array<int>")
+    entries = long.groupBy("key").applyInPandas(entered, f"{named}, chunk int, entry int, open_at int")
+    rows = rows.join(entries, ["key", "chunk"], "left").select("key", "start", "body", "size", F.coalesce("entry", F.lit(0)).alias("entry"), F.coalesce("open_at", F.lit(-1)).alias("open_at"))
+    return rows.mapInArrow(cut_pieces, f"{named}, at int, kind string, begin int, text string")
 
 
 def spans(parts: DataFrame) -> DataFrame:
