@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.operators import lineage
+from tidemark.operators import lineage, store
 from tidemark.sources import shared
 
 EDGE = "up_urn string, up_path string, down_urn string, down_path string, operation string"
@@ -29,3 +29,12 @@ def test_staged_and_pathless_searches_find_the_same(spark):
         assert rows(lineage.column_impact(edges, begin, hops, staged=True)) == rows(plain)
         assert rows(lineage.reached(edges, begin, hops)) == rows(plain.select("drift", "urn")) != []
         assert rows(lineage.shortest_paths(edges, begin, hops, staged=True)) == rows(lineage.shortest_paths(edges, begin, hops))
+
+
+def test_a_table_partition_is_written_by_several_tasks_if_shuffles_have_many(spark, tmp_path):
+    table = store.tags(str(tmp_path / "tags"), parts=1)
+    rows = spark.range(500).selectExpr("cast(id as string) as urn", "'f' as field", "'t' as tag", "1L as version")
+    with shared.spread(spark, 12 * shared.ROWS):
+        store.merge(spark, table, rows)
+    assert len(store.stored(spark, table).inputFiles()) > 1
+    assert sorted(int(r["urn"]) for r in store.read(spark, table).collect()) == list(range(500))

@@ -82,9 +82,10 @@ def touched(rows: DataFrame) -> list[int]:
 
 
 def exchange(spark: SparkSession, table: Records, parts: list[int]) -> None:
-    """What is pending, in place of what these partitions hold; each partition is written by tasks of its own."""
+    """What is pending, in place of what these partitions hold; each partition is written by tasks of its own, by several if a shuffle has more tasks than the table partitions."""
     rows = awaiting(spark, table).where(F.col("part").isin(parts))
-    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table.path)
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // table.parts)
+    rows.repartition("part", F.pmod(F.xxhash64(*table.keys), F.lit(shares))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table.path)
 
 
 def best(table: Records, column: str, of: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import incident_id
 from tidemark.operators import drift, matching, store
-from tidemark.sources.shared import new_path
+from tidemark.sources.shared import new_path, spread
 from tidemark.sources.warehouse import parquet
 from tidemark.streaming import delivery, events
 
@@ -104,9 +104,10 @@ def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = items.where("l_returnflag = 'R'").drop("l_returnflag").distinct().withColumns({"operation": F.lit("RETURNED"), "version": F.lit(1)})
     some = parquet(spark, sf_dir, "supplier").where("s_acctbal < 2500").select(F.col("s_suppkey").cast("string").alias("down_urn"))
     table = store.edges(new_path(spark, "edges"))
-    store.merge(spark, table, shipped)
-    for _ in range(2):
-        store.replace(spark, table, some, returned)
+    with spread(spark, items.count()):
+        store.merge(spark, table, shipped)
+        for _ in range(2):
+            store.replace(spark, table, some, returned)
     return store.read(spark, table).select("up_urn", "down_urn", "operation")
 
 
