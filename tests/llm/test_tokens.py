@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.cases import ROWS, clashing, collected, documents
-from tidemark.llm import id_codec, id_files, packing, pieces
+from tidemark.llm import id_codec, id_files, packing, pieces, tokens
 from tidemark.llm.common import new_path
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.tokens import BLANKS_DROPPED, BLANKS_KEPT, encoder, vocabulary
@@ -33,6 +33,33 @@ def test_ids_are_the_library_s(name, parts):
             assert library.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
 
 
+PLAIN = [" ", " ", " ", "\n", "a", "The", "\u00c9t\u00e9", "\xff", "10", ".", ",", "!!", "'", "'s", "'S", "'ll", "(", "-", "zz", "|", "\x85", "\u2019"]
+VOCABULARIES = pytest.mark.parametrize("name, parts", [("byte_bpe_50k.json", BLANKS_KEPT), ("word_bpe_49k.json", BLANKS_DROPPED)])
+
+
+@VOCABULARIES
+def test_plain_and_odd_texts_together_with_a_full_memory(name, parts, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 100)
+    monkeypatch.setattr(tokens, "TOGETHER_CHARS", 500)
+    rnd, ours = random.Random(3), tokens.Encoder(vocabulary(name), parts)
+    some = ["".join(rnd.choice(PLAIN[: rnd.choice((20, 22))]) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
+    for text, ids in zip(some, ours.encode(some)):
+        assert ours.library.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
+    assert len(ours.known) + len(ours.known_before) < 1000
+    assert [len(x) for x in ours.encode([])] == [] and [len(x) for x in ours.encode(["", ""])] == [0, 0]
+
+
+@VOCABULARIES
+def test_a_word_is_encoded_once_whatever_signs_follow(name, parts, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 10)
+    ours = tokens.Encoder(vocabulary(name), parts)
+    ours.encode(["x thtion. thtion, thtion!! thtion\nx thtion"])
+    assert sum("thtion" in part for part in ours.known) == 1
+    for i in range(3):  # a word that comes again stays, though the memory was full
+        ours.encode(["x thtion " + " ".join("abcdefghijkl"[i:] + x for x in "abcdefghijkl")])
+        assert "x" in ours.known and " thtion" in ours.known and len(ours.known) + len(ours.known_before) < 40
+
+
 def test_pieces_are_the_library_s():
     from sentencepiece import SentencePieceProcessor
 

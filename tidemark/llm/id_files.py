@@ -58,7 +58,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, parts: str, end_id: i
             held.clear()
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, 512):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 held.append((doc_id, np.append(ids, np.array([end_id], ids.dtype))))
                 size += len(ids) + 1
