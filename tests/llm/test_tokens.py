@@ -60,6 +60,13 @@ def test_a_word_is_encoded_once_whatever_signs_follow(name, parts, monkeypatch):
         assert "x" in ours.known and " thtion" in ours.known and len(ours.known) + len(ours.known_before) < 40
 
 
+def test_capital_and_small_letters_share_a_part_where_case_is_dropped():
+    ours = tokens.Encoder(vocabulary("word_bpe_49k.json"), BLANKS_DROPPED)
+    ids = ours.encode(["x Thtion thtion. THTION \u00c9t \u00e9t"])[0]
+    assert ours.library.encode("x thtion thtion. thtion \u00e9t \u00e9t", add_special_tokens=False).ids == ids.tolist()
+    assert sum("thtion" in part.lower() for part in ours.known) == 1 and sum("t" in part.lower() for part in ours.known) == 2
+
+
 def test_pieces_are_the_library_s():
     from sentencepiece import SentencePieceProcessor
 
